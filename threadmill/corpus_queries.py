@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .functions.columns import norm_id
 from .operators import drift, hierarchy, nested, references
 from .session import table
 
@@ -33,14 +32,8 @@ def p3_children(spark: SparkSession, d: str) -> DataFrame:
     return nested.child_rows(nested.occurrences(table(spark, d, "raw_lines")))
 
 
-def standing(records: DataFrame, removed: DataFrame) -> DataFrame:
-    """Records without those taken out."""
-    gone = removed.select(norm_id("session_id").alias("g_session"), norm_id("uuid").alias("g_uuid")).distinct()
-    return records.join(gone, (norm_id("session_id") == F.col("g_session")) & (norm_id("uuid") == F.col("g_uuid")), "left_anti")
-
-
 def _records(spark: SparkSession, d: str) -> DataFrame:
-    return standing(table(spark, d, "records").select("session_id", "uuid", "parent_uuid", "line_no"), table(spark, d, "removed_records"))
+    return references.standing(table(spark, d, "records").select("session_id", "uuid", "parent_uuid", "line_no"), table(spark, d, "removed_records"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -80,33 +73,33 @@ def sql_id(c: str) -> str:
 
 _P1 = f"""
 gone AS (SELECT DISTINCT {sql_id('session_id')} AS session_id, {sql_id('uuid')} AS uuid FROM removed_records),
-r AS (SELECT {sql_id('session_id')} AS session_id, line_no, min(ingested_at) AS at, max_by({sql_id('uuid')}, ingested_at) AS uuid,
+r AS (SELECT {sql_id('session_id')} AS session_id, line_no, min(ingested_at) AS ts, max_by({sql_id('uuid')}, ingested_at) AS uuid,
              max_by({sql_id('parent_uuid')}, ingested_at) AS parent, max_by(provenance, ingested_at) AS provenance
       FROM records GROUP BY ALL),
 live AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.session_id = r.session_id AND g.uuid = r.uuid)),
-b AS (SELECT DISTINCT l.session_id, l.line_no, l.at, {sql_id('b.tool_use_id')} AS use, {sql_id('b.tool_id')} AS call
+b AS (SELECT DISTINCT l.session_id, l.line_no, l.ts, {sql_id('b.tool_use_id')} AS use, {sql_id('b.tool_id')} AS call
       FROM blocks b JOIN live l ON {sql_id('b.session_id')} = l.session_id AND b.line_no = l.line_no),
 refs AS (
-  SELECT 'parent' AS ref_kind, 'uuid' AS domain, session_id AS target, session_id, line_no, at, parent AS ref_id FROM live
+  SELECT 'parent' AS ref_kind, 'uuid' AS domain, session_id AS target, session_id, line_no, ts, parent AS ref_id FROM live
   UNION ALL
-  SELECT 'covered', 'uuid', coalesce({sql_id("(provenance).source_session_id")}, ''), session_id, line_no, at, {sql_id('u')}
+  SELECT 'covered', 'uuid', coalesce({sql_id("(provenance).source_session_id")}, ''), session_id, line_no, ts, {sql_id('u')}
   FROM (SELECT *, unnest((provenance).covered_uuids) AS u FROM live)
   UNION ALL
-  SELECT 'tool', 'tool', session_id, session_id, line_no, at, use FROM b),
+  SELECT 'tool', 'tool', session_id, session_id, line_no, ts, use FROM b),
 there AS (
-  SELECT 'uuid' AS domain, session_id AS target, uuid AS id, min(at) AS first_at FROM live WHERE uuid IS NOT NULL GROUP BY ALL
+  SELECT 'uuid' AS domain, session_id AS target, uuid AS id, min(ts) AS first_at FROM live WHERE uuid IS NOT NULL GROUP BY ALL
   UNION ALL
-  SELECT 'tool', session_id, call, min(at) FROM b WHERE call IS NOT NULL GROUP BY ALL),
+  SELECT 'tool', session_id, call, min(ts) FROM b WHERE call IS NOT NULL GROUP BY ALL),
 orphans AS (
-  SELECT DISTINCT ref_kind, session_id, line_no, ref_id, at
+  SELECT DISTINCT ref_kind, session_id, line_no, ref_id, ts
   FROM refs LEFT JOIN there ON refs.domain = there.domain AND refs.target = there.target AND refs.ref_id = there.id
-  WHERE ref_id IS NOT NULL AND (there.id IS NULL OR there.first_at > refs.at))
+  WHERE ref_id IS NOT NULL AND (there.id IS NULL OR there.first_at > refs.ts))
 """
 
 SQL = {
     "p1_found": f"WITH {_P1} SELECT ref_kind, session_id, line_no, ref_id FROM orphans",
     "p1_report": f"""WITH {_P1} SELECT CASE WHEN ref_kind = 'tool' THEN 'blocks' ELSE 'records' END AS table_name, ref_kind,
-        strftime(date_trunc('day', at), '%Y-%m-%d') AS period, count(*) AS n_orphans FROM orphans GROUP BY ALL""",
+        strftime(date_trunc('day', ts), '%Y-%m-%d') AS period, count(*) AS n_orphans FROM orphans GROUP BY ALL""",
     "p4_found": f"""WITH RECURSIVE gone AS (SELECT DISTINCT {sql_id('session_id')} AS session_id, {sql_id('uuid')} AS uuid FROM removed_records),
         n AS (SELECT session_id, uuid, arg_max(coalesce(up, ''), line_no) AS up FROM (
               SELECT {sql_id('session_id')} AS session_id, {sql_id('uuid')} AS uuid, {sql_id('parent_uuid')} AS up, line_no FROM records) x
