@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..corpus_queries import sql_id
 from ..operators.references import standing
-from ..session import table
-from . import bpe, conversations, packing, splitting
+from ..session import cut_lineage, table
+from . import bpe, conversations, packing, pii, secrets, splitting
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -34,6 +34,15 @@ def p6_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.rebuild(_standing(spark, d))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.find(table(spark, d, "blocks"))
+
+
+def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
+    blocks = table(spark, d, "blocks")
+    return secrets.redact(blocks, cut_lineage(secrets.confirmed(secrets.candidates(blocks))))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents"))
 
@@ -50,7 +59,16 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(packing.pack_corpus(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p2_segment_pieces, p6_found, p6_conversations, p8_ids, p8_token_counts, p9_containers, p9_fill)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(table(spark, d, "documents")).select("doc_id", "pii_kind").distinct()
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return pii.redact(docs, cut_lineage(pii.find(docs)))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p2_segment_pieces, p6_found, p6_conversations, p7_found, p7_redacted, p8_ids, p8_token_counts, p9_containers, p9_fill, p10_found, p10_redacted)}
 
 _TEXT = """CASE content_kind WHEN 'string' THEN json_extract_string(message, '$.content') WHEN 'array' THEN array_to_string(list_transform(
     list_filter(from_json(json_extract(message, '$.content'), '[{"type":"VARCHAR","text":"VARCHAR"}]'), lambda b: b.type = 'text' AND b.text IS NOT NULL), lambda b: b.text), chr(10)) END"""
