@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import cut_lineage
 
 #: Share of documents beyond which a word is common; rounds of bootstrapping; least score of an instance.
-COMMON, ROUNDS, LEAST = 0.0012, 3, 0.5
+COMMON, ROUNDS, LEAST = 0.0012, 4, 0.5
 
 #: Titles before a name, and words before a number that say what it is (fixed values).
 TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "herr", "frau", "don", "doña", "señor", "señora", "sr", "sra", "mme", "mlle", "monsieur", "madame", "pan", "pani", "sir"}
@@ -132,13 +132,13 @@ def mentions_in(text: str, common: set[str]) -> Iterator[tuple]:
         after = lambda k: words[k][2] if k < n and re.fullmatch(r"[ ,:]*", now[words[k - 1][1] : words[k][0]]) else "|"
         back = lambda k: words[k][2] if k >= 0 and re.fullmatch(r"[ ,:]*", now[words[k][1] : words[k + 1][0]]) else "|"
         ending = w[-4:]
-        h = i - 1
+        h, middle = i - 1, False
         if h >= 0 and _GAP.fullmatch(now[words[h][1] : a]):
             if len(words[h][2]) == 1 and h >= 1 and len(words[h - 1][2]) > 2 and _GAP.fullmatch(now[words[h - 1][1] : words[h][0]]) and "." not in now[words[h - 1][1] : words[h][0]]:
-                h -= 1  # a middle initial
+                h, middle = h - 1, True  # a middle initial
             head = words[h][2]
             if len(head) == 1 or head in TITLES or "." not in now[words[h][1] : words[h + 1][0]]:
-                yield "name", "<initial>" if len(head) == 1 else head, back(h - 1), after(i + 1), ending, "common" if head in common else None, *spot(words[h][0], b)
+                yield "name", "<initial>" if len(head) == 1 else head, "<middle>" if middle else back(h - 1), after(i + 1), ending, "common" if head in common else None, *spot(words[h][0], b)
         if i + 1 < n and re.fullmatch(r", ", now[b : words[i + 1][0]]) and words[i + 1][2] not in TITLES and len(words[i + 1][2]) > 1:
             yield "name", words[i + 1][2], back(i - 1), after(i + 2), ending, None, *spot(a, words[i + 1][1])
     for m in _KANJI.finditer(now):
@@ -209,7 +209,7 @@ def _edges(m: DataFrame) -> DataFrame:
         seed = F.when(F.col("l").isin(last), 1.0)
         for x in phrase:
             seed = seed.when(F.col("s").endswith(x), 1.0)
-        own = F.when(F.col("form").rlike(r"^\(?\+|^009{2}[ -]"), 1.0) if kind == "phone" else said  # an international prefix
+        own = F.when(F.col("form").rlike(r"^\(?\+|^009{2} |^009{2}-9{2,3}-9"), 1.0) if kind == "phone" else said  # an international prefix
         e = num.select(
             F.lit(kind).alias("kind"), "form", own.alias("form_seed"), seed.alias("pattern_seed"),
             F.explode(F.array(F.struct(F.lit("l").alias("part"), F.when(seed.isNotNull(), "<seed>").otherwise(F.col("l")).alias("pattern")),
@@ -217,10 +217,10 @@ def _edges(m: DataFrame) -> DataFrame:
         )
         out = e if out is None else out.unionByName(e)
     name = m.filter("slot = 'name'").select(
-        F.lit("name").alias("kind"), "form", F.when(F.col("form").isin(sorted(TITLES)), 1.0).alias("form_seed"), F.when(F.col("r") == "<title>", 1.0).alias("pattern_seed"),
+        F.lit("name").alias("kind"), "form", F.when(F.col("form").isin(sorted(TITLES)), 1.0).when(F.col("form") == "<initial>", 0.6).alias("form_seed"), F.lit(None).cast("double").alias("pattern_seed"),
         F.explode(F.array(*(F.struct(F.lit(p).alias("part"), F.col(p).alias("pattern")) for p in "lrs"))).alias("e"),
     )
-    name = name.withColumn("pattern_seed", F.when(F.col("e.part") == "r", F.col("pattern_seed")))
+    name = name.withColumn("pattern_seed", F.when(F.col("e.pattern").isin("<title>", "<middle>"), 1.0))
     return (
         out.unionByName(name).select("kind", "form", "form_seed", "pattern_seed", "e.part", "e.pattern").filter("pattern is not null and pattern not in ('', '|')")
         .groupBy("kind", "form", "part", "pattern").agg(F.count("*").alias("n"), F.max("form_seed").alias("form_seed"), F.max("pattern_seed").alias("pattern_seed"))
@@ -236,14 +236,17 @@ def find(docs: DataFrame) -> DataFrame:
 
     # numbers without any context are scored by their shape alone; international prefixes speak for themselves
     best = forms.filter(F.col("kind") != "name").groupBy("form").agg(F.max(F.struct("score", "kind")).alias("x")).filter(F.col("x.score") >= LEAST)
-    num = m.filter("slot = 'num'").join(best, "form", "left")
-    kind = F.when(F.col("form").rlike(r"^\(?\+"), "phone").otherwise(F.col("x.kind"))
+    other = best.select(F.col("form").alias("plain_form"), F.col("x.kind").alias("plain_kind"))
+    num = m.filter("slot = 'num'").join(best, "form", "left").withColumn(
+        "plain_form", F.when(F.col("x").isNull(), F.concat(F.regexp_replace(F.regexp_extract("form", "^0{1,2}", 0), "0", "9"), F.regexp_replace("form", "^0{1,2}", ""))))
+    num = num.join(other, "plain_form", "left")  # a shape that never has a context counts as the one without leading zeros
+    kind = F.when(F.col("form").rlike(r"^\(?\+"), "phone").otherwise(F.coalesce("x.kind", "plain_kind"))
     numbers = num.select("doc_id", kind.alias("pii_kind"), "start", "stop").filter("pii_kind is not null")
 
     name = m.filter("slot = 'name'")
     scored = forms.filter("kind = 'name'").select("form", "score")
     counts = name.groupBy("form").agg(F.count("*").alias("n_form"))
-    met = name.drop("kind").withColumn("is_common", name["kind"].isNotNull()).join(scored.join(counts, "form"), "form")
+    met = name.withColumn("is_common", F.col("kind").isNotNull()).drop("kind").join(scored.join(counts, "form"), "form")
     is_known = (F.col("score") >= LEAST) & (F.col("form") != "<initial>")
     # unseen first names, and initials: the ending and a neighbour have to score
     p_of = lambda p: patterns.filter((F.col("kind") == "name") & (F.col("part") == p) & (F.col("p") >= LEAST)).select(F.col("pattern").alias(p), F.lit(1).alias(f"p_{p}"))
@@ -263,9 +266,10 @@ def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
             texts = []
             for text, own in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 out, at = [], 0
-                for s in own:
-                    if s["start"] < at:
-                        continue
+                for i, s in enumerate(own):
+                    later = own[i + 1] if i + 1 < len(own) else None
+                    if s["start"] < at or later and later["start"] < s["stop"] < later["stop"]:
+                        continue  # of two that overlap the later is the tighter
                     out += [text[at : s["start"]], PLACEHOLDER[s["pii_kind"]]]
                     at = s["stop"]
                 texts.append("".join(out) + text[at:])
