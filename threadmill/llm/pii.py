@@ -134,10 +134,12 @@ def mentions_in(text: str, common: set[str]) -> Iterator[tuple]:
         ending = w[-4:]
         h, middle = i - 1, False
         if h >= 0 and _GAP.fullmatch(now[words[h][1] : a]):
-            if len(words[h][2]) == 1 and h >= 1 and len(words[h - 1][2]) > 2 and _GAP.fullmatch(now[words[h - 1][1] : words[h][0]]) and "." not in now[words[h - 1][1] : words[h][0]]:
+            if len(words[h][2]) == 1 and now[words[h][1]] == "." and h >= 1 and len(words[h - 1][2]) > 2 and now[words[h - 1][0]].isupper() and _GAP.fullmatch(now[words[h - 1][1] : words[h][0]]) and "." not in now[words[h - 1][1] : words[h][0]]:
                 h, middle = h - 1, True  # a middle initial
             head = words[h][2]
-            if len(head) == 1 or head in TITLES or "." not in now[words[h][1] : words[h + 1][0]]:
+            dot = "." in now[words[h][1] : words[h + 1][0]]
+            cased = now[a].isupper() or not now[words[h][0]].isupper()  # a name's parts are written alike
+            if cased and (dot if len(head) == 1 else head in TITLES or not dot):
                 yield "name", "<initial>" if len(head) == 1 else head, "<middle>" if middle else back(h - 1), after(i + 1), ending, "common" if head in common else None, *spot(words[h][0], b)
         if i + 1 < n and re.fullmatch(r", ", now[b : words[i + 1][0]]) and words[i + 1][2] not in TITLES and len(words[i + 1][2]) > 1:
             yield "name", words[i + 1][2], back(i - 1), after(i + 2), ending, None, *spot(a, words[i + 1][1])
