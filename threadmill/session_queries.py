@@ -1,4 +1,331 @@
-"""Queries of the transcript operators and their SQL."""
+"""Queries of the transcript operators over records, blocks, segments, documents, events and orders, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from .corpus_queries import sql_id
+from .functions.columns_text import truncate, truncate_head_tail
+from .operators import sessions as op
+from .plans import transcript as tr
+from .session import table
+
+TARGET = 1500
+
+
+def _r(f):
+    return lambda s, d: f(table(s, d, "records"))
+
+
+def _b(f):
+    return lambda s, d: f(table(s, d, "blocks"))
+
+
+def _br(f):
+    return lambda s, d: f(table(s, d, "blocks"), table(s, d, "records"))
+
+
+def head_records(spark: SparkSession, d: str) -> DataFrame:
+    return tr.segmented(table(spark, d, "records")).filter("seg < 0").select("session_id", "line_no", "rec_type")
+
+
+def genuine_user_turns(spark: SparkSession, d: str) -> DataFrame:
+    r = tr.records_once(table(spark, d, "records"), tr.first_text().alias("t"))
+    return r.filter("is_genuine").select("session_id", "line_no", F.coalesce(F.char_length("t"), F.lit(0)).cast("bigint").alias("n_chars"))
+
+
+def unknown_types(spark: SparkSession, d: str) -> DataFrame:
+    """Types outside the closed vocabularies, in records, blocks and (as a stand-in with unknown ones) events."""
+    seen = (
+        op.histogram(table(spark, d, "records"), "rec_type").filter(~F.col("type").isin(*tr.RECORD_TYPES)).withColumn("of", F.lit("record"))
+        .unionByName(op.histogram(table(spark, d, "blocks"), "block_type").filter(~F.col("type").isin(*tr.BLOCK_TYPES)).withColumn("of", F.lit("block")))
+        .unionByName(op.histogram(table(spark, d, "events"), "event_type").filter(~F.col("type").isin(*tr.RECORD_TYPES)).withColumn("of", F.lit("event")))
+    )
+    return seen.select("of", "type", "n")
+
+
+def off_path_count(spark: SparkSession, d: str) -> DataFrame:
+    records = table(spark, d, "records")
+    lines = lambda x: x.filter("uuid is not null").groupBy("session_id").agg(F.count("*").alias("n"))
+    a = lines(tr.active_path(records)).withColumnRenamed("n", "n_active")
+    return lines(tr.records_once(records)).join(a, "session_id", "left").select("session_id", (F.col("n") - F.coalesce("n_active", F.lit(0))).alias("n_off_path"))
+
+
+def budget_plan(spark: SparkSession, d: str) -> DataFrame:
+    return op.plan_budget(op.plan_units(table(spark, d, "blocks"), table(spark, d, "records")), TARGET)
+
+
+def budget_totals(spark: SparkSession, d: str) -> DataFrame:
+    return op.budget_totals(budget_plan(spark, d))
+
+
+def truncate_head(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", truncate("text", 80).alias("shown"))
+
+
+def truncate_head_tail_q(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", truncate_head_tail("text", 100, 0.6).alias("shown"))
+
+
+def cached_summary_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Units with the summary that an earlier pass cached under their content hash (here: of segments 0 to 2)."""
+    h = op.content_hash_parts(table(spark, d, "records")).filter("seg >= 0")
+    cache = h.filter("seg <= 2").groupBy("content_hash").agg(F.min(F.concat(F.lit("summary "), F.substring("content_hash", 1, 6))).alias("summary"))
+    return h.join(cache, "content_hash", "left").select("session_id", "seg", F.col("summary").isNotNull().alias("is_cached"))
+
+
+def uuid_prefix_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The row that the least selector of eight characters finds."""
+    records = table(spark, d, "records")
+    least = records.select(F.min(F.lower(F.substring("uuid", 1, 8)))).first()[0]
+    return op.uuid_lookup(records, least or "")
+
+
+def lineage_latest(spark: SparkSession, d: str) -> DataFrame:
+    return op.lineage_latest(op.lineage(table(spark, d, "orders")))
+
+
+def superseded(spark: SparkSession, d: str) -> DataFrame:
+    return op.superseded(op.lineage(table(spark, d, "orders")))
+
+
+def summary_batches(spark: SparkSession, d: str) -> DataFrame:
+    return op.batches(op.segment_summary(table(spark, d, "records")).filter("seg >= 0"), "tokens", 4, 2000).drop("blk")
+
+
+def split_parts(spark: SparkSession, d: str) -> DataFrame:
+    return op.split_parts(table(spark, d, "records"), table(spark, d, "blocks"))
+
+
+def verify_checks(spark: SparkSession, d: str) -> DataFrame:
+    return op.verify(table(spark, d, "records"), table(spark, d, "blocks"))
+
+
+def active_goal(spark: SparkSession, d: str) -> DataFrame:
+    return op.active_goal(table(spark, d, "events"))
+
+
+QUERIES = {
+    "segment_summary": _r(op.segment_summary),
+    "head_records": head_records,
+    "genuine_user_turns": genuine_user_turns,
+    "record_type_histogram": _r(lambda r: op.histogram(r, "rec_type")),
+    "block_type_histogram": _b(lambda b: op.histogram(b, "block_type")),
+    "unknown_types": unknown_types,
+    "active_path": _r(tr.active_path),
+    "off_path_count": off_path_count,
+    "tool_result_names": _br(lambda b, r: op.tool_result_names(b, r).select("session_id", "seg", "line_no", "pos", "tool_use_id", "tool")),
+    "dangling_tool_use": _b(op.dangling_tool_use),
+    "orphan_tool_result": _b(op.orphan_tool_result),
+    "graded_results": _br(op.graded_results),
+    "duplicate_results": _br(lambda b, r: op.graded_results(b, r).filter("status = 'duplicate'").select("session_id", "seg", "line_no", "pos")),
+    "derived_files": _br(op.derived_files),
+    "derived_tool_counts": _br(op.derived_tool_counts),
+    "derived_commands": _br(op.derived_commands),
+    "derived_errors": _br(op.derived_errors),
+    "chain_check": _r(op.chain_check),
+    "rechain": _r(op.rechain),
+    "keep_tail": _r(op.keep_tail),
+    "pinned_segments": _r(op.pinned_segments),
+    "suffix_file_overlap": _br(op.file_overlap),
+    "salience": _br(lambda b, r: op.salience(b, r).select("session_id", "seg", "is_error", F.round(F.col("salience").cast("double"), 4).alias("salience"))),
+    "mask_cost": _br(op.mask_costs),
+    "budget_plan": budget_plan,
+    "budget_totals": budget_totals,
+    "truncate_head": truncate_head,
+    "truncate_head_tail": truncate_head_tail_q,
+    "render_activity": _br(op.render_activity),
+    "unit_digest": _br(op.unit_digest),
+    "content_hash": _r(op.content_hash_parts),
+    "cached_summary_lookup": cached_summary_lookup,
+    "lineage_latest": lineage_latest,
+    "superseded": superseded,
+    "uuid_prefix_lookup": uuid_prefix_lookup,
+    "rehydrate_expand": _r(op.rehydrate),
+    "verify_checks": verify_checks,
+    "verify_fidelity": _r(op.verify_fidelity),
+    "split_parts": split_parts,
+    "summary_batches": summary_batches,
+    "active_goal": active_goal,
+    "session_scan": _r(op.session_scan),
+}
+
+_NB = lambda c: f"regexp_matches(coalesce({c}, ''), '\\S')"
+_BLOCKS = """from_json(json_extract(message, '$.content'), '[{"type":"VARCHAR","text":"VARCHAR"}]')"""
+_FIRST = f"""CASE content_kind WHEN 'string' THEN json_extract_string(message, '$.content')
+    WHEN 'array' THEN list_filter({_BLOCKS}, lambda b: b.type = 'text' AND b.text IS NOT NULL)[1].text END"""
+_OWN = "rec_type = 'user' AND NOT coalesce(is_meta, false) AND NOT coalesce(is_compact_summary, false) AND NOT coalesce(has_source_tool, false)"
+_R = f"""
+r AS (SELECT session_id, line_no, rec_type, uuid, parent_uuid, leaf_uuid, n_bytes, t, is_compact_summary, is_synthetic, is_masked, is_ledger, provenance, h,
+        own AND CASE content_kind WHEN 'string' THEN true WHEN 'array' THEN NOT has_result ELSE false END
+        AND NOT coalesce(starts_with(t, '{tr.TEAMMATE}'), false) AND NOT coalesce(starts_with(t, '{tr.NOTIFICATION}'), false) AS is_genuine
+      FROM (SELECT {sql_id('session_id')} AS session_id, line_no, coalesce(rec_type, '') AS rec_type, {sql_id('uuid')} AS uuid, {sql_id('parent_uuid')} AS parent_uuid,
+              {sql_id('leaf_uuid')} AS leaf_uuid, CAST(coalesce(strlen(message), 0) AS BIGINT) AS n_bytes, {_FIRST} AS t, content_kind, provenance, ({_OWN}) AS own,
+              coalesce(len(list_filter({_BLOCKS}, lambda b: b.type = 'tool_result')) > 0, false) AS has_result,
+              sha256(coalesce(rec_type, '') || chr(31) || coalesce(message, '')) AS h,
+              coalesce(is_compact_summary, false) AS is_compact_summary, coalesce(is_synthetic, false) AS is_synthetic, coalesce(is_masked, false) AS is_masked,
+              coalesce(is_ledger, false) AS is_ledger
+            FROM (SELECT * FROM records QUALIFY row_number() OVER (PARTITION BY {sql_id('session_id')}, line_no ORDER BY ingested_at DESC) = 1))),
+g AS (SELECT *, CAST(sum(CASE WHEN is_genuine THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY line_no) - 1 AS BIGINT) AS seg FROM r)"""
+_B = f"""
+b AS (SELECT DISTINCT {sql_id('session_id')} AS session_id, line_no, CAST(pos AS BIGINT) AS pos, block_type, text, {sql_id('tool_id')} AS tool_id, tool_name, tool_input,
+        {sql_id('tool_use_id')} AS tool_use_id, coalesce(is_error, false) AS is_error, result_text, coalesce(image_len, 0) AS image_len FROM blocks),
+bs AS (SELECT b.*, g.seg, g.rec_type, g.is_genuine FROM b JOIN g ON b.session_id = g.session_id AND b.line_no = g.line_no)"""
+_RES = f"""{_R}, {_B},
+uses AS (SELECT session_id, seg, tool_id, arg_max(coalesce(tool_name, ''), line_no * 100000 + pos) AS tool FROM bs WHERE block_type = 'tool_use' AND tool_id IS NOT NULL GROUP BY ALL),
+res AS (SELECT bs.session_id, bs.seg, bs.line_no, bs.pos, bs.tool_use_id, coalesce(u.tool, '') AS tool, is_error, coalesce(result_text, '') AS result
+        FROM bs LEFT JOIN uses u ON bs.session_id = u.session_id AND bs.seg = u.seg AND bs.tool_use_id = u.tool_id WHERE block_type = 'tool_result')"""
+
+
+def _cut(c: str, n: int, ratio: float) -> str:
+    h = f"CAST(floor(CAST({n} AS FLOAT) * CAST({ratio} AS FLOAT)) AS INTEGER)"
+    return f"CASE WHEN length({c}) <= {n} THEN {c} ELSE left({c}, {h}) || chr(10) || '…[' || CAST(length({c}) - {n} AS VARCHAR) || ' chars elided]…' || chr(10) || right({c}, {n} - {h}) END"
+
+
+def _head(c: str, n: int | str) -> str:
+    return f"CASE WHEN length({c}) <= {n} THEN {c} ELSE left({c}, {n}) || '…[+' || CAST(length({c}) - {n} AS VARCHAR) || ' chars]' END"
+
+
+_GRADED = f"""{_RES},
+graded AS (SELECT session_id, seg, line_no, pos, tool, result,
+    CASE WHEN is_error THEN 'error' WHEN NOT {_NB('result')} THEN 'empty'
+         WHEN row_number() OVER (PARTITION BY session_id, seg, tool, result, NOT is_error AND {_NB('result')} ORDER BY line_no, pos) > 1 THEN 'duplicate' ELSE 'ok' END AS status FROM res),
+shown AS (SELECT session_id, seg, line_no, pos, tool, status, CAST(length(result) AS BIGINT) AS chars,
+    CASE status WHEN 'error' THEN {_cut('result', 4000, 0.5)} WHEN 'empty' THEN '[empty result]' WHEN 'duplicate' THEN '[identical to an earlier result in this segment]'
+         ELSE {_cut('result', 1500, 0.6)} END AS shown FROM graded)"""
+_FILES = f"""{_R}, {_B},
+roles AS (SELECT session_id, seg, path, role, min(line_no * 100000 + pos) AS first FROM (
+    SELECT session_id, seg, line_no, pos, coalesce(json_extract_string(tool_input, '$.file_path'), json_extract_string(tool_input, '$.notebook_path')) AS path,
+      CASE WHEN tool_name = 'Read' THEN 'read' WHEN tool_name IN ('Edit', 'NotebookEdit') THEN 'edited' WHEN tool_name = 'Write' THEN 'written' END AS role
+    FROM bs WHERE block_type = 'tool_use') WHERE path IS NOT NULL AND role IS NOT NULL GROUP BY ALL),
+files AS (SELECT session_id, seg, path, string_agg(role, ',' ORDER BY first) AS roles FROM roles GROUP BY ALL)"""
+_OVERLAP = f"""{_FILES},
+lasts AS (SELECT session_id, path, max(seg) AS last_seg FROM files WHERE seg >= 0 GROUP BY ALL),
+overlap AS (SELECT f.session_id, f.seg, count(*) AS n_files, CAST(count(*) FILTER (WHERE l.last_seg > f.seg) AS BIGINT) AS n_later
+    FROM files f JOIN lasts l ON f.session_id = l.session_id AND f.path = l.path WHERE f.seg >= 0 GROUP BY ALL)"""
+_MARKERS = "'no', 'actually', 'wait', 'instead', 'revert', 'don''t', 'dont', 'stop', 'undo', 'wrong'"
+_SEGS = f"""
+segs AS (SELECT session_id, seg, bool_or(is_compact_summary) AS has_summary, bool_or(is_ledger) AS has_ledger, bool_or(is_synthetic) AS has_synthetic,
+    bool_or(NOT is_genuine AND uuid IS NOT NULL) AS has_activity,
+    bool_or(is_genuine AND coalesce(lower(regexp_extract(t, '^\\s*([\\p{{L}}\\p{{N}}'']*)', 1)) IN ({_MARKERS}), false)) AS corrects,
+    row_number() OVER (PARTITION BY session_id ORDER BY seg DESC) AS from_end FROM g WHERE seg >= 0 GROUP BY session_id, seg)"""
+_SAL = f"""{_OVERLAP}, {_SEGS},
+err AS (SELECT session_id, seg, count(*) FILTER (WHERE block_type = 'tool_result' AND is_error) AS error_count FROM bs GROUP BY ALL),
+sal AS (SELECT s.session_id, s.seg, coalesce(e.error_count, 0) > 0 AS is_error, has_summary OR has_ledger OR has_synthetic OR from_end <= 1 AS kept,
+    least(CAST(0.1 AS FLOAT) + CASE WHEN coalesce(e.error_count, 0) > 0 THEN CAST(0.4 AS FLOAT) ELSE CAST(0 AS FLOAT) END
+      + CAST(0.3 AS FLOAT) * coalesce(CAST(n_later AS FLOAT) / CAST(greatest(n_files, 1) AS FLOAT), CAST(0 AS FLOAT))
+      + CASE WHEN coalesce(lead(corrects) OVER (PARTITION BY s.session_id ORDER BY s.seg), false) THEN CAST(0.3 AS FLOAT) ELSE CAST(0 AS FLOAT) END, CAST(1 AS FLOAT)) AS salience
+  FROM segs s LEFT JOIN err e ON s.session_id = e.session_id AND s.seg = e.seg LEFT JOIN overlap o ON s.session_id = o.session_id AND s.seg = o.seg)"""
+_SZ = lambda c: f"coalesce(strlen({c}), 0)"
+_WHOLE = f"({_SZ('text')} + {_SZ('tool_input')} + {_SZ('result_text')} + least(image_len, {tr.IMAGE_CHARS}))"
+_MASK = f"""
+costs AS (SELECT session_id, seg, CAST(floor(sum({_WHOLE}) / 4) AS BIGINT) AS verbatim_tokens, CAST(floor(sum(coalesce(
+    CASE WHEN block_type = 'thinking' AND NOT {_NB('text')} THEN 0
+         WHEN block_type = 'tool_result' THEN CASE WHEN is_error THEN least({_SZ('result_text')}, {tr.ERROR_KEPT}) WHEN length(result_text) <= {tr.RESULT_KEPT} THEN {_SZ('result_text')} ELSE 60 END
+         WHEN block_type = 'tool_use' THEN least({_SZ('tool_input')}, {tr.INPUT_KEPT}) ELSE {_WHOLE} END, 0)) / 4) AS BIGINT) AS masked_tokens
+  FROM bs GROUP BY session_id, seg)"""
+_PLAN = f"""{_SAL}, {_MASK},
+units AS (SELECT s.session_id, s.seg, s.salience, s.is_error, coalesce(verbatim_tokens, 0) AS cost_v, least(coalesce(masked_tokens, 0), coalesce(verbatim_tokens, 0)) AS cost_m,
+    least(400, least(coalesce(masked_tokens, 0), coalesce(verbatim_tokens, 0))) AS cost_s FROM sal s LEFT JOIN costs c ON s.session_id = c.session_id AND s.seg = c.seg WHERE NOT kept),
+sv AS (SELECT *, cost_v - cost_m AS m1, CASE WHEN cost_v - cost_m > 0 THEN cost_v - cost_m WHEN NOT is_error THEN cost_v - cost_s ELSE 0 END AS s1,
+    CASE WHEN cost_v - cost_m > 0 AND NOT is_error THEN cost_m - cost_s ELSE 0 END AS s2 FROM units),
+steps AS (SELECT session_id, seg, 1 AS step, s1 AS saving, CAST(s1 AS FLOAT) * (CAST(1 AS FLOAT) - salience) AS eff, CASE WHEN m1 > 0 THEN 1 ELSE 2 END AS t FROM sv
+    UNION ALL SELECT session_id, seg, 2, s2, least(CAST(s2 AS FLOAT) * (CAST(1 AS FLOAT) - salience), CAST(s1 AS FLOAT) * (CAST(1 AS FLOAT) - salience)), 2 FROM sv),
+saved AS (SELECT *, coalesce(sum(saving) OVER (PARTITION BY session_id ORDER BY eff DESC, seg, step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS saved FROM steps WHERE saving > 0),
+total AS (SELECT session_id, sum(cost_v) AS total FROM units GROUP BY ALL),
+best AS (SELECT s.session_id, s.seg, max(t) AS t FROM saved s JOIN total USING (session_id) WHERE total - saved > {TARGET} GROUP BY ALL),
+plan AS (SELECT u.session_id, u.seg, CAST(coalesce(t, 0) AS INTEGER) AS treatment, CAST(CASE coalesce(t, 0) WHEN 0 THEN cost_v WHEN 1 THEN cost_m ELSE cost_s END AS BIGINT) AS cost
+    FROM units u LEFT JOIN best b ON u.session_id = b.session_id AND u.seg = b.seg)"""
+_NODES = """
+n AS (SELECT session_id, uuid, arg_max(coalesce(parent_uuid, ''), line_no) AS up, max(line_no) AS line_no FROM r WHERE uuid IS NOT NULL GROUP BY ALL),
+lp AS (SELECT session_id, arg_max(coalesce(leaf_uuid, ''), line_no) AS leaf FROM r WHERE rec_type = 'last-prompt' GROUP BY ALL),
+leafs AS (SELECT n.session_id, coalesce(max(CASE WHEN n.uuid = lp.leaf THEN n.uuid END), max_by(n.uuid, n.line_no)) AS leaf FROM n LEFT JOIN lp ON n.session_id = lp.session_id GROUP BY n.session_id),
+path AS (SELECT n.session_id, n.uuid, n.up, n.line_no FROM n JOIN leafs l ON n.session_id = l.session_id AND n.uuid = l.leaf
+    UNION SELECT n.session_id, n.uuid, n.up, n.line_no FROM path p JOIN n ON n.session_id = p.session_id AND n.uuid = p.up),
+active AS (SELECT session_id, line_no, uuid FROM path UNION ALL SELECT session_id, line_no, uuid FROM r WHERE uuid IS NULL)"""
+_PAIR = f"""{_B.split(',' + chr(10) + 'bs AS')[0]},
+pairs AS (SELECT session_id, CASE WHEN block_type = 'tool_use' THEN tool_id ELSE tool_use_id END AS id,
+    min(CASE WHEN block_type = 'tool_use' THEN line_no * 100000 + pos END) AS first_use, max(CASE WHEN block_type = 'tool_result' THEN line_no * 100000 + pos END) AS last_result
+  FROM b WHERE block_type IN ('tool_use', 'tool_result') GROUP BY ALL HAVING id IS NOT NULL),
+dangling AS (SELECT session_id, id FROM pairs WHERE first_use IS NOT NULL AND (last_result IS NULL OR last_result <= first_use)),
+orphaned AS (SELECT session_id, id FROM pairs WHERE last_result IS NOT NULL AND (first_use IS NULL OR first_use >= last_result))"""
+_CHAIN = "chain AS (SELECT session_id, line_no, uuid, parent_uuid, lag(uuid) OVER (PARTITION BY session_id ORDER BY line_no) AS before FROM r WHERE uuid IS NOT NULL)"
+_LINEAGE = """
+o AS (SELECT o_custkey, o_orderkey AS child, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rk, o_totalprice AS mtime FROM orders),
+l AS (SELECT o.child, p.child AS parent, o.rk, o.mtime, p.mtime AS p_mtime FROM o LEFT JOIN o p ON o.o_custkey = p.o_custkey AND p.rk = o.rk // 2)"""
+_RENDER = f"""{_GRADED},
+items AS (SELECT session_id, seg, line_no, pos, CASE WHEN block_type = 'text' THEN 'assistant_text' ELSE block_type END AS kind,
+    CASE WHEN block_type = 'tool_use' THEN coalesce(tool_name, '') ELSE {_head("coalesce(text, '')", 4000)} END AS shown
+    FROM bs WHERE NOT is_genuine AND rec_type = 'assistant' AND block_type IN ('text', 'thinking', 'tool_use')
+  UNION ALL SELECT session_id, seg, line_no, pos, 'tool_result', shown FROM shown)"""
+_HASH = """hashes AS (SELECT session_id, seg, CAST(sum(CAST(('0x' || substr(md5(CAST(line_no AS VARCHAR) || ':' || h), 1, 12)) AS UBIGINT)) AS VARCHAR) AS content_hash FROM g GROUP BY ALL)"""
+
+SQL = {
+    "segment_summary": f"WITH {_R} SELECT session_id, seg, count(*) AS n_records, CAST(floor(sum(n_bytes) / 4) AS BIGINT) AS tokens FROM g GROUP BY ALL",
+    "head_records": f"WITH {_R} SELECT session_id, line_no, rec_type FROM g WHERE seg < 0",
+    "genuine_user_turns": f"WITH {_R} SELECT session_id, line_no, CAST(coalesce(length(t), 0) AS BIGINT) AS n_chars FROM r WHERE is_genuine",
+    "record_type_histogram": "SELECT rec_type AS type, count(*) AS n FROM records GROUP BY ALL",
+    "block_type_histogram": "SELECT block_type AS type, count(*) AS n FROM blocks GROUP BY ALL",
+    "unknown_types": f"""SELECT 'record' AS "of", rec_type AS type, count(*) AS n FROM records WHERE rec_type NOT IN {tr.RECORD_TYPES} GROUP BY ALL
+        UNION ALL SELECT 'block', block_type, count(*) FROM blocks WHERE block_type NOT IN {tr.BLOCK_TYPES} GROUP BY ALL
+        UNION ALL SELECT 'event', event_type, count(*) FROM events WHERE event_type NOT IN {tr.RECORD_TYPES} GROUP BY ALL""",
+    "active_path": f"WITH RECURSIVE {_R}, {_NODES} SELECT * FROM active",
+    "off_path_count": f"""WITH RECURSIVE {_R}, {_NODES}, a AS (SELECT session_id, count(*) AS n FROM active WHERE uuid IS NOT NULL GROUP BY ALL)
+        SELECT x.session_id, x.n - coalesce(a.n, 0) AS n_off_path FROM (SELECT session_id, count(*) AS n FROM r WHERE uuid IS NOT NULL GROUP BY ALL) x LEFT JOIN a USING (session_id)""",
+    "tool_result_names": f"WITH {_RES} SELECT session_id, seg, line_no, pos, tool_use_id, tool FROM res",
+    "dangling_tool_use": f"WITH {_PAIR} SELECT * FROM dangling",
+    "orphan_tool_result": f"WITH {_PAIR} SELECT * FROM orphaned",
+    "graded_results": f"WITH {_GRADED} SELECT * FROM shown",
+    "duplicate_results": f"WITH {_GRADED} SELECT session_id, seg, line_no, pos FROM shown WHERE status = 'duplicate'",
+    "derived_files": f"WITH {_FILES} SELECT * FROM files",
+    "derived_tool_counts": f"WITH {_R}, {_B} SELECT session_id, seg, coalesce(tool_name, '') AS tool, count(*) AS n FROM bs WHERE block_type = 'tool_use' GROUP BY ALL",
+    "derived_commands": f"""WITH {_R}, {_B}, c AS (SELECT session_id, seg, line_no, pos, json_extract_string(tool_input, '$.command') AS c FROM bs WHERE block_type = 'tool_use' AND tool_name = 'Bash')
+        SELECT session_id, seg, line_no, pos, {_head('c', 200)} AS command FROM c WHERE c IS NOT NULL""",
+    "derived_errors": f"WITH {_R}, {_B} SELECT session_id, seg, count(*) FILTER (WHERE block_type = 'tool_result' AND is_error) AS error_count FROM bs GROUP BY ALL",
+    "chain_check": f"WITH {_R}, {_CHAIN} SELECT session_id, line_no, uuid, parent_uuid, before AS expected_parent FROM chain WHERE parent_uuid IS DISTINCT FROM before",
+    "rechain": f"WITH {_R}, {_CHAIN} SELECT session_id, line_no, uuid, before AS new_parent FROM chain",
+    "keep_tail": f"WITH {_R}, {_SEGS} SELECT session_id, seg FROM segs WHERE from_end <= 1",
+    "pinned_segments": f"""WITH {_R}, {_SEGS}, k AS (SELECT *, has_summary OR has_ledger OR has_synthetic OR from_end <= 1 AS kept FROM segs)
+        SELECT session_id, seg, kept AS kept_verbatim, NOT kept AND has_activity AS needs_summary FROM k""",
+    "suffix_file_overlap": f"WITH {_OVERLAP} SELECT * FROM overlap",
+    "salience": f"WITH {_SAL} SELECT session_id, seg, is_error, round(CAST(salience AS DOUBLE), 4) AS salience FROM sal",
+    "mask_cost": f"WITH {_R}, {_B}, {_MASK} SELECT * FROM costs",
+    "budget_plan": f"WITH {_PLAN} SELECT * FROM plan",
+    "budget_totals": f"""WITH {_PLAN} SELECT session_id, count(*) AS n_units, count(*) FILTER (WHERE treatment = 0) AS n_verbatim, count(*) FILTER (WHERE treatment = 1) AS n_masked,
+        count(*) FILTER (WHERE treatment = 2) AS n_summarized, CAST(sum(cost) AS BIGINT) AS tokens FROM plan GROUP BY ALL""",
+    "truncate_head": f"SELECT doc_id, {_head('text', 80)} AS shown FROM documents",
+    "truncate_head_tail": f"SELECT doc_id, {_cut('text', 100, 0.6)} AS shown FROM documents",
+    "render_activity": f"WITH {_RENDER} SELECT * FROM items",
+    "unit_digest": f"""WITH {_RENDER},
+        lim AS (SELECT *, replace(shown, chr(10), ' ') AS one, CASE kind WHEN 'tool_use' THEN 250 WHEN 'tool_result' THEN 400 ELSE 700 END AS lim FROM items WHERE kind <> 'thinking'),
+        d AS (SELECT session_id, seg, string_agg(kind || ': ' || {_head('one', 'lim')}, chr(10) ORDER BY line_no, pos) AS t FROM lim GROUP BY ALL)
+        SELECT session_id, seg, {_head('t', 8000)} AS digest FROM d""",
+    "content_hash": f"WITH {_R}, {_HASH} SELECT * FROM hashes",
+    "cached_summary_lookup": f"""WITH {_R}, {_HASH} SELECT session_id, seg, content_hash IN (SELECT content_hash FROM hashes WHERE seg BETWEEN 0 AND 2) AS is_cached FROM hashes WHERE seg >= 0""",
+    "lineage_latest": f"""WITH RECURSIVE {_LINEAGE}, nxt AS (SELECT parent, arg_max(child, rk) AS child FROM l WHERE parent IS NOT NULL AND mtime >= p_mtime GROUP BY parent),
+        w AS (SELECT child AS start, child AS cur, 0 AS hop FROM l UNION ALL SELECT w.start, n.child, hop + 1 FROM w JOIN nxt n ON n.parent = w.cur)
+        SELECT start, arg_max(cur, hop) AS latest FROM w GROUP BY start""",
+    "superseded": f"WITH {_LINEAGE} SELECT child, child IN (SELECT parent FROM l WHERE parent IS NOT NULL) AS is_superseded FROM l",
+    "uuid_prefix_lookup": f"""WITH {_R} SELECT session_id, line_no, uuid, NOT is_synthetic AND NOT is_masked AS is_ground FROM r
+        WHERE starts_with(uuid, (SELECT min(lower(substr(uuid, 1, 8))) FROM records))""",
+    "rehydrate_expand": f"""WITH {_R}, c AS (SELECT DISTINCT {sql_id('session_id')} AS session_id, line_no, {sql_id('(provenance).source_session_id')} AS source, {sql_id('u')} AS uuid
+          FROM (SELECT *, unnest((provenance).covered_uuids) AS u FROM records)),
+        raw AS (SELECT session_id, uuid, min(line_no) AS source_line FROM r WHERE uuid IS NOT NULL AND NOT is_synthetic AND NOT is_masked GROUP BY ALL)
+        SELECT c.session_id, c.line_no, c.source, raw.source_line, c.uuid FROM c JOIN raw ON c.source = raw.session_id AND c.uuid = raw.uuid""",
+    "verify_checks": f"""WITH {_R}, {_CHAIN}, {_PAIR}, s AS (SELECT DISTINCT session_id FROM r), k AS (SELECT DISTINCT session_id, uuid FROM r WHERE uuid IS NOT NULL),
+        bad AS (SELECT session_id, 'linear chain' AS c FROM chain WHERE parent_uuid IS DISTINCT FROM before
+          UNION SELECT session_id, 'parents exist' FROM r WHERE parent_uuid IS NOT NULL AND NOT EXISTS (SELECT 1 FROM k WHERE k.session_id = r.session_id AND k.uuid = r.parent_uuid)
+          UNION SELECT session_id, 'uuids unique' FROM r WHERE uuid IS NOT NULL GROUP BY session_id, uuid HAVING count(*) > 1
+          UNION SELECT session_id, 'leaf exists' FROM r WHERE rec_type = 'last-prompt' AND leaf_uuid IS NOT NULL AND NOT EXISTS (SELECT 1 FROM k WHERE k.session_id = r.session_id AND k.uuid = r.leaf_uuid)
+          UNION SELECT session_id, 'calls answered' FROM dangling UNION SELECT session_id, 'results called' FROM orphaned)
+        SELECT s.session_id, n AS check_name, NOT EXISTS (SELECT 1 FROM bad WHERE bad.session_id = s.session_id AND bad.c = n) AS ok
+        FROM s CROSS JOIN (SELECT unnest(['linear chain', 'parents exist', 'uuids unique', 'leaf exists', 'calls answered', 'results called']) AS n)""",
+    "verify_fidelity": f"""WITH RECURSIVE {_R}, {_NODES}, d AS (SELECT r.session_id, r.line_no, a.line_no IS NOT NULL AS known FROM r
+          LEFT JOIN active a ON r.session_id = a.session_id AND r.line_no = a.line_no WHERE r.is_genuine AND r.uuid IS NOT NULL),
+        m AS (SELECT session_id, max(line_no) FILTER (WHERE known) AS last_known FROM d GROUP BY ALL)
+        SELECT d.session_id, count(*) FILTER (WHERE coalesce(line_no < last_known, false)) AS n_holes, count(*) FILTER (WHERE NOT coalesce(line_no < last_known, false)) AS n_trailing
+        FROM d JOIN m ON d.session_id = m.session_id WHERE NOT known GROUP BY ALL""",
+    "active_goal": """SELECT user_id, coalesce(NOT arg_max(event_type = 'signup', (ts, event_id)) FILTER (WHERE event_type IN ('signup', 'error')), false) AS is_active FROM events GROUP BY user_id""",
+    "session_scan": f"""WITH {_R} SELECT session_id, count(*) AS n_records, count(uuid) AS n_uuids, count(*) FILTER (WHERE is_genuine) AS n_turns, CAST(floor(sum(n_bytes) / 4) AS BIGINT) AS tokens,
+        bool_or(is_synthetic) AS has_synthetic, bool_or(is_masked) AS has_masked, count(*) FILTER (WHERE is_compact_summary) AS n_summaries FROM r GROUP BY ALL""",
+}
