@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.columns import norm_id
 from ..functions.columns_text import corrects, is_blank, truncate, truncate_head_tail
 from ..plans import blocked, transcript as tr
+from ..session import cut_lineage
 
 LONG = "bigint"
 
@@ -28,10 +29,10 @@ def tool_result_names(blocks: DataFrame, records: DataFrame) -> DataFrame:
     """Results with the name of their call in the same segment; the last call of an id wins; '' where there is none."""
     b = tr.with_segments(blocks, records)
     uses = b.filter("block_type = 'tool_use' and tool_id is not null").groupBy("session_id", "seg", F.col("tool_id").alias("tool_use_id")).agg(
-        F.max(F.struct("line_no", "pos", F.coalesce("tool_name", F.lit("")).alias("tool_name"))).alias("x")
-    ).select("session_id", "seg", "tool_use_id", "x.tool_name")
+        F.max(F.struct("line_no", "pos", F.coalesce("tool_name", F.lit("")).alias("called"))).alias("x")
+    ).select("session_id", "seg", "tool_use_id", "x.called")
     return b.filter("block_type = 'tool_result'").join(uses, ["session_id", "seg", "tool_use_id"], "left").select(
-        "session_id", "seg", "line_no", "pos", "tool_use_id", F.coalesce("tool_name", F.lit("")).alias("tool"), "is_error", F.coalesce("result_text", F.lit("")).alias("result")
+        "session_id", "seg", "line_no", "pos", "tool_use_id", F.coalesce("called", F.lit("")).alias("tool"), "is_error", F.coalesce("result_text", F.lit("")).alias("result")
     )
 
 
@@ -114,9 +115,13 @@ def rechain(records: DataFrame) -> DataFrame:
     return blocked.previous(r, ["session_id"], "line_no", F.col("uuid"), "new_parent").select("session_id", "line_no", "uuid", "new_parent")
 
 
+def _with_corrections(records: DataFrame) -> DataFrame:
+    return records if "corrects" in records.columns else tr.segmented(records, F.when(tr.is_genuine(), corrects(tr.first_text())).alias("corrects"))
+
+
 def segments_of(records: DataFrame) -> DataFrame:
     """One row per segment from 0: flags, sizes, whether an agent acted in it, and its place from the end."""
-    r = tr.segmented(records, F.when(tr.is_genuine(), corrects(tr.first_text())).alias("corrects")).filter("seg >= 0")
+    r = _with_corrections(records).filter("seg >= 0")
     s = r.groupBy("session_id", "seg").agg(
         F.bool_or("is_compact_summary").alias("has_summary"), F.bool_or("is_ledger").alias("has_ledger"), F.bool_or("is_synthetic").alias("has_synthetic"),
         F.bool_or(~F.col("is_genuine") & F.col("uuid").isNotNull()).alias("has_activity"), F.bool_or(F.coalesce("corrects", F.lit(False))).alias("corrects"),
@@ -148,7 +153,8 @@ def file_overlap(blocks: DataFrame, records: DataFrame) -> DataFrame:
 
 def salience(blocks: DataFrame, records: DataFrame) -> DataFrame:
     """0.1, plus 0.4 if a result failed, 0.3 for the share of files touched again, 0.3 if the next turn corrects; at most 1."""
-    s = segments_of(records)
+    records = cut_lineage(_with_corrections(records)) if "corrects" not in records.columns else records
+    s = cut_lineage(segments_of(records))
     err = derived_errors(blocks, records)
     over = file_overlap(blocks, records)
     nxt = blocked.rank_from_end(s.select("session_id", "seg", "corrects"), ["session_id"], "seg", "k").select("session_id", (F.col("k") + 1).alias("from_end"), F.col("corrects").alias("next_corrects"))
@@ -179,6 +185,7 @@ def mask_costs(blocks: DataFrame, records: DataFrame) -> DataFrame:
 
 def plan_units(blocks: DataFrame, records: DataFrame, keep: int = 1) -> DataFrame:
     """Segments that may be demoted, with the costs of their treatments: verbatim, masked, summarised."""
+    records = cut_lineage(_with_corrections(records))  # read by each of the parts below
     p = pinned_segments(records, keep)
     c = mask_costs(blocks, records)
     mask = F.least("masked_tokens", "verbatim_tokens")
@@ -255,7 +262,7 @@ def lineage(orders: DataFrame) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     r = orders.select("o_custkey", F.col("o_orderkey").alias("child"), F.row_number().over(w).cast(LONG).alias("at"), F.col("o_totalprice").alias("mtime"))
     p = r.select("o_custkey", F.col("at").alias("p_at"), F.col("child").alias("parent"), F.col("mtime").alias("p_mtime"))
-    return r.join(p, (r.o_custkey == p.o_custkey) & (F.floor(r["at"] / 2) == p.p_at), "left").select(r.o_custkey, "child", "parent", "at", "mtime", "p_mtime")
+    return r.withColumn("p_at", F.floor(F.col("at") / 2)).join(p, ["o_custkey", "p_at"], "left").select("o_custkey", "child", "parent", "at", "mtime", "p_mtime")
 
 
 def lineage_latest(l: DataFrame, rounds: int = 20) -> DataFrame:
@@ -265,8 +272,6 @@ def lineage_latest(l: DataFrame, rounds: int = 20) -> DataFrame:
     """
     nxt = l.filter("parent is not null and mtime >= p_mtime").groupBy("parent").agg(F.max(F.struct("at", "child")).alias("x")).select(F.col("parent").alias("start"), F.col("x.child").alias("latest"))
     cur = l.select(F.col("child").alias("start")).join(nxt, "start", "left").select("start", F.coalesce("latest", "start").alias("latest"))
-    from ..session import cut_lineage
-
     for _ in range(rounds):
         hop = cur.select(F.col("start").alias("latest"), F.col("latest").alias("further"))
         new = cut_lineage(cur.join(hop, "latest").select("start", F.col("further").alias("latest"), F.col("latest").alias("was")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import TEXT_BLOCKS, flag, norm_id
 from ..operators import hierarchy
+from ..session import cut_lineage
 from . import blocked
 
 #: How delivered messages begin, and the closed vocabularies of types (fixed values).
@@ -64,7 +65,9 @@ def records_once(records: DataFrame, *extra: Column) -> DataFrame:
 
 
 def segmented(records: DataFrame, *extra: Column) -> DataFrame:
-    """records_once with seg: the number of genuine turns up to the row, less one; the head has -1."""
+    """records_once with seg: the number of genuine turns up to the row, less one; the head has -1. What has seg stays."""
+    if "seg" in records.columns:
+        return records
     r = blocked.running_sum(records_once(records, *extra), ["session_id"], "line_no", F.col("is_genuine").cast("int"), "seg")
     return r.withColumn("seg", F.col("seg") - 1)
 
@@ -97,13 +100,13 @@ def active_path(records: DataFrame) -> DataFrame:
     The last of several rows of one uuid counts; a cycle is walked once; a session without leaf is active as a whole
     (it has rows without uuid only).
     """
-    r = records_once(records)
+    r = cut_lineage(records_once(records))
     nodes = r.filter("uuid is not null").groupBy("session_id", "uuid").agg(F.max(F.struct("line_no", "parent_uuid")).alias("x"))
     leaf = leaf_of(r).select("session_id", F.col("leaf").alias("uuid"), F.lit(1).alias("is_leaf"))
     n = nodes.join(leaf, ["session_id", "uuid"], "left").select(
         F.col("session_id").alias("tree"), F.col("uuid").alias("id"), F.col("x.parent_uuid").alias("up"), F.col("x.line_no").alias("pos"), F.coalesce("is_leaf", F.lit(0)).alias("is_leaf")
     )
-    h = hierarchy.resolve(n, weight=F.col("is_leaf"))
+    h = cut_lineage(hierarchy.resolve(n, weight=F.col("is_leaf")))
     on_path = h.filter("total > 0").select(F.col("tree").alias("session_id"), F.col("id").alias("uuid"), F.col("pos").alias("line_no"))
     looped = _looped(h, leaf)
     bare = r.filter("uuid is null").select("session_id", "uuid", "line_no")
@@ -115,14 +118,12 @@ def _looped(h: DataFrame, leaf: DataFrame) -> DataFrame:
 
     Cycles are damage, and only sessions whose leaf runs into one take part; steps double, so rounds stay few.
     """
-    from ..session import cut_lineage
-
     bad = h.filter("status = 'cycle'").select("tree", "id", "up", "pos")
     start = bad.join(leaf.select(F.col("session_id").alias("tree"), F.col("uuid").alias("id")), ["tree", "id"]).select("tree")
     step = cut_lineage(bad.join(start, "tree").select("tree", "id", "up", "pos"))
     seen = step.join(leaf.select(F.col("session_id").alias("tree"), F.col("uuid").alias("id")), ["tree", "id"]).select("tree", "id")
     jump = step.select("tree", "id", F.col("up").alias("to"))
-    n = 0
+    n = 0 if seen.limit(1).count() else seen.count()
     while True:
         total = seen.count()
         if total == n:

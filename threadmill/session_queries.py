@@ -244,9 +244,10 @@ path AS (SELECT n.session_id, n.uuid, n.up, n.line_no FROM n JOIN leafs l ON n.s
     UNION SELECT n.session_id, n.uuid, n.up, n.line_no FROM path p JOIN n ON n.session_id = p.session_id AND n.uuid = p.up),
 active AS (SELECT session_id, line_no, uuid FROM path UNION ALL SELECT session_id, line_no, uuid FROM r WHERE uuid IS NULL)"""
 _PAIR = f"""{_B.split(',' + chr(10) + 'bs AS')[0]},
-pairs AS (SELECT session_id, CASE WHEN block_type = 'tool_use' THEN tool_id ELSE tool_use_id END AS id,
-    min(CASE WHEN block_type = 'tool_use' THEN line_no * 100000 + pos END) AS first_use, max(CASE WHEN block_type = 'tool_result' THEN line_no * 100000 + pos END) AS last_result
-  FROM b WHERE block_type IN ('tool_use', 'tool_result') GROUP BY ALL HAVING id IS NOT NULL),
+pairs AS (SELECT session_id, id, min(use_at) AS first_use, max(result_at) AS last_result FROM (
+    SELECT session_id, CASE WHEN block_type = 'tool_use' THEN tool_id ELSE tool_use_id END AS id,
+      CASE WHEN block_type = 'tool_use' THEN line_no * 100000 + pos END AS use_at, CASE WHEN block_type = 'tool_result' THEN line_no * 100000 + pos END AS result_at
+    FROM b WHERE block_type IN ('tool_use', 'tool_result')) WHERE id IS NOT NULL GROUP BY session_id, id),
 dangling AS (SELECT session_id, id FROM pairs WHERE first_use IS NOT NULL AND (last_result IS NULL OR last_result <= first_use)),
 orphaned AS (SELECT session_id, id FROM pairs WHERE last_result IS NOT NULL AND (first_use IS NULL OR first_use >= last_result))"""
 _CHAIN = "chain AS (SELECT session_id, line_no, uuid, parent_uuid, lag(uuid) OVER (PARTITION BY session_id ORDER BY line_no) AS before FROM r WHERE uuid IS NOT NULL)"
