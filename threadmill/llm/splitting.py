@@ -135,7 +135,7 @@ def message_pieces(records: DataFrame, limit: int = MESSAGE_LIMIT, overlap: int
         records.filter(F.col("rec_type").isin("user", "assistant") & (F.char_length("message") > limit))  # JSON is never shorter than its text
         .select(norm_id("session_id").alias("session_id"), "line_no", "ingested_at", message_text("message", "content_kind").alias("text"))
         .filter(F.char_length("text") > limit)
-        .groupBy("session_id", "line_no").agg(F.max_by("text", "ingested_at").alias("text"))
+        .groupBy("session_id", "line_no").agg(F.max(F.struct("ingested_at", "text"))["text"].alias("text"))
     )
     schema = "session_id string, line_no long, piece int, start int, n_chars int, piece_text string, text_chars int"
 
@@ -157,7 +157,7 @@ def segment_records(segments: DataFrame, records: DataFrame) -> DataFrame:
     """session_id, seg, line_no, size: the records of each segment's activity with the length of their message."""
     lines = segments.select(norm_id("session_id").alias("session_id"), "seg", F.explode("activity").alias("line_no")).filter("line_no is not null").distinct()
     sizes = records.select(norm_id("session_id").alias("session_id"), "line_no", "ingested_at", F.coalesce(F.char_length("message"), F.lit(0)).cast("long").alias("size"))
-    return lines.join(sizes.groupBy("session_id", "line_no").agg(F.max_by("size", "ingested_at").alias("size")), ["session_id", "line_no"])
+    return lines.join(sizes.groupBy("session_id", "line_no").agg(F.max(F.struct("ingested_at", "size"))["size"].alias("size")), ["session_id", "line_no"])
 
 
 def segment_pieces(segments: DataFrame, records: DataFrame, limit: int = SEGMENT_LIMIT, span: int = SPAN) -> DataFrame:
