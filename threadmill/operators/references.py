@@ -6,7 +6,7 @@ deltas is a sum, so a state can be kept and new deltas folded in (`fold`), in ba
 references but without existence is an orphan; one that exists only after its first reference is late.
 
 Defined results: null or blank ids are no references and no targets; a row delivered twice is one record that arrived
-at its first ingested_at; empty tables give empty results; extra columns are ignored; a hot key is pre-aggregated on
+at its first ingested_at (a record without one counts as in time); empty tables give empty results; extra columns are ignored; a hot key is pre-aggregated on
 the map side, and the join of references with the (few) orphan keys is left to AQE, which splits skewed partitions.
 """
 
@@ -34,7 +34,7 @@ def arrivals(records: DataFrame, removed: DataFrame) -> DataFrame:
             norm_id("uuid").alias("uuid"), norm_id("parent_uuid").alias("parent"),
             norm_id("provenance.source_session_id").alias("covered_session"), F.col("provenance.covered_uuids").alias("covered"),
         ).alias("x"),
-    ).groupBy("session_id", "line_no").agg(F.min("ingested_at").alias("at"), F.max_by("x", "ingested_at").alias("x"))
+    ).groupBy("session_id", "line_no").agg(F.min("ingested_at").alias("at"), F.max(F.struct("ingested_at", "x"))["x"].alias("x"))
     gone = removed.groupBy(norm_id("session_id").alias("session_id"), norm_id("uuid").alias("uuid")).agg(
         F.coalesce(F.min("removed_at"), F.lit("1970-01-01").cast("timestamp")).cast("timestamp").alias("gone_at")
     )
