@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut_lineage
 from .bpe import TOKENIZERS, read_ranks, worker_encoder
 
 CAPACITY, OPEN_BINS = 512, 64
@@ -108,7 +109,7 @@ def pack_corpus(docs: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN
             yield out()
 
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).filter("text <> ''")
-    packed = d.mapInArrow(first, ITEMS).persist()
+    packed = cut_lineage(d.mapInArrow(first, ITEMS))  # read by both parts below
     rest = packed.filter("is_open").groupBy("bin").agg(F.sum("n_tokens").alias("size"))
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
