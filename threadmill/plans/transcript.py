@@ -123,7 +123,7 @@ def _looped(h: DataFrame, leaf: DataFrame) -> DataFrame:
     step = cut_lineage(bad.join(start, "tree").select("tree", "id", "up", "pos"))
     seen = step.join(leaf.select(F.col("session_id").alias("tree"), F.col("uuid").alias("id")), ["tree", "id"]).select("tree", "id")
     jump = step.select("tree", "id", F.col("up").alias("to"))
-    n = 0 if seen.limit(1).count() else seen.count()
+    n = 0
     while True:
         total = seen.count()
         if total == n:
