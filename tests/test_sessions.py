@@ -201,3 +201,33 @@ def test_compaction_rejects_bad_options(spark, tmp_path):
         compact.assemble(lines, "shrink")
     with pytest.raises(ValueError):
         compact.assemble(lines, "summarize")
+
+
+# --- resetting folds
+
+def test_batches_against_a_loop(spark):
+    rng = random.Random(8)
+    rows = [(f"s{s}", i, rng.choice([1, 50, 900, 3000])) for s in range(5) for i in range(40)]
+    want = {}
+    for s in range(5):
+        n = total = b = 0
+        for t, i, size in rows:
+            if t == f"s{s}":
+                if n and (n == 4 or total + size > 2000):
+                    n, total, b = 0, 0, b + 1
+                n, total = n + 1, total + size
+                want[t, i] = b
+    df = spark.createDataFrame(rows, "session_id string, seg long, tokens long")
+    assert {(r.session_id, r.seg): r.batch for r in sessions.batches(df, "tokens", 4, 2000).collect()} == want
+
+
+def test_split_parts_close_after_delegations(make):
+    m = lambda n: json.dumps({"content": "x" * n})
+    rows = [dict(session_id="s", line_no=0, uuid="u0", rec_type="user", content_kind="string", message=m(4))]
+    blocks = []
+    for i in range(1, 7):
+        rows.append(dict(session_id="s", line_no=i, uuid=f"u{i}", rec_type="assistant" if i % 2 else "user", content_kind="array", message=json.dumps({"content": [{"type": "tool_result" if i % 2 == 0 else "tool_use", "x": "y" * 1200}]})))
+        blocks.append(dict(session_id="s", line_no=i, pos=0, block_type="tool_use" if i % 2 else "tool_result", tool_id=f"t{i}" if i % 2 else None, tool_use_id=None if i % 2 else f"t{i - 1}", tool_name="Task" if i == 1 else "Bash" if i % 2 else None))
+    parts = {r.line_no: r.part for r in sessions.split_parts(make.records(rows), make.blocks(blocks), 1000).collect()}
+    assert parts == {1: 0, 2: 0, 3: 1, 4: 1, 5: 2, 6: 2}
+    assert {r.part for r in sessions.split_parts(make.records(rows), make.blocks(blocks), 10**6).collect()} == {0}
