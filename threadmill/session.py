@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,16 @@ def build_session(app: str = "threadmill", master: str | None = None, **conf: st
     return b.getOrCreate()
 
 
+def show_package(spark: SparkSession) -> None:
+    """Lets Python workers import this package where only the driver's own path has it."""
+    root, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([*known, root])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    show_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
