@@ -191,6 +191,20 @@ def test_drift_changes(spark):
     assert drift.find_changes(lines.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [3, 30])
+def test_renames_are_decided_by_flooding(n):
+    """A container without likeness is found by its children; what is a plain swap of unlike fields is not a rename."""
+    def side(name, kids):
+        return {"id": frozenset({"string"}), name: frozenset({"object"}), **{f"{name}.{k}": frozenset({"string"}) for k in kids}}
+
+    words = [f"{'abcdefghij'[i % 10] * 3}{'klm'[i // 10] * 3}" for i in range(n)]
+    a, b = side("meta", [f"{w}_name" for w in words]), side("zq", [f"{w}Name" for w in words])
+    like = lambda x, y: drift.name_likeness(drift.name_of(x), drift.name_of(y)) if "." in x else 0.0
+    assert drift.correspondences(a, b, like) == {"meta": "zq"} | {f"meta.{w}_name": f"zq.{w}Name" for w in words}
+    assert drift.correspondences(side("meta", words), side("zq", [f"{i}" for i in range(n)]), lambda x, y: 0.0) == {}
+    assert drift.correspondences({"id": frozenset({"string"}), "u": frozenset({"string"})}, {"id": frozenset({"string"}), "v": frozenset({"string"})}, lambda x, y: 0.1) == {}
+
+
 def test_versions_carry_over_blocks(spark):
     rng = random.Random(5)
     rows = [(s, i, rng.choice(["1", "2", None, None, None])) for s in "ab" for i in range(60)] + [("c", i, None) for i in range(3)] + [("d", 5, "9"), ("d", 1, None)]

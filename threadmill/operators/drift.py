@@ -201,9 +201,9 @@ def flood(a: dict[str, frozenset], b: dict[str, frozenset], start: dict[tuple[st
     near: dict[tuple, dict[tuple, float]] = defaultdict(dict)
     for (x, y) in start:
         up = (parent_of(x), parent_of(y))
-        if up in start:
+        if x and y and up in start:
             near[up][x, y] = near[x, y][up] = 1.0
-        for t in a[x] & b[y]:
+        for t in a.get(x, frozenset()) & b.get(y, frozenset()):
             near[("type", t), ("type", t)][x, y] = near[x, y][("type", t), ("type", t)] = 1.0
     first = dict(start) | {k: 0.5 for k in near if k not in start}
     score = dict(first)
@@ -222,23 +222,50 @@ def flood(a: dict[str, frozenset], b: dict[str, frozenset], start: dict[tuple[st
     return score
 
 
+def depth_of(path: str) -> int:
+    return path.count(".") + path.count("[]")
+
+
 def correspondences(a: dict[str, frozenset], b: dict[str, frozenset], likeness, least: float = 0.5) -> dict[str, str]:
-    """Fields of a that fields of b continue under another name, below the same parent."""
-    gone, new = [p for p in a if p not in b], [p for p in b if p not in a]
-    start = {(p, p): 1.0 for p in a if p in b}
-    for x in gone:
-        for y in new:
-            if a[x] & b[y] and (name_of(x) == "[]") == (name_of(y) == "[]"):
-                start[x, y] = likeness(x, y)
-    score = flood(a, b, start)
+    """Fields of a that fields of b continue under another name, below the same parent.
+
+    The flooded score decides, likeness is only its seed: a pair counts if its score lies at `least` or more on the way
+    from what it gets where no pair has a likeness (by place and type alone) to what it gets where the likeliest pair of
+    each field is sure, each against the score of the records themselves. Parents go before children; of rivals the one
+    further on wins.
+    """
+    start = {("", ""): 1.0} | {(p, p): 1.0 for p in a if p in b}
+    gone, new = defaultdict(list), defaultdict(list)
+    for own, other, by in ((a, b, gone), (b, a, new)):
+        for p in own:
+            if p not in other:
+                by[parent_of(p)].append(p)
+    likeliest: dict[tuple, tuple] = {}  # (side, field, parent of the other) -> pair
+    todo = sorted({(p, p) for p in gone if p in new})
+    while todo:
+        up = todo.pop()
+        own = {(x, y): likeness(x, y) for x in gone[up[0]] for y in new[up[1]] if a[x] & b[y] and (name_of(x) == "[]") == (name_of(y) == "[]")}
+        start |= own
+        for k in sorted(own, key=lambda k: (-own[k], k)):
+            if (0, k[0], up[1]) not in likeliest and (1, k[1], up[0]) not in likeliest:
+                likeliest[0, k[0], up[1]] = likeliest[1, k[1], up[0]] = k
+        todo.extend(k for k in own if k[0] in gone and k[1] in new)
+    pairs = [k for k in start if k[0] != k[1]]
+    if not pairs:
+        return {}
+    runs = [flood(a, b, x) for x in (start, start | dict.fromkeys(pairs, 0.0), start | dict.fromkeys(likeliest.values(), 1.0))]
+    score, none, sure = ({k: run[k] / run["", ""] for k in pairs} for run in runs)
+    share = {}
+    for x, y in pairs:
+        best = likeliest.get((0, x, parent_of(y))) or likeliest[1, y, parent_of(x)]
+        way = sure[best] - none[best]
+        share[x, y] = (score[x, y] - none[x, y]) / way if way > 0 else 0.0
     out: dict[str, str] = {}
     taken: set[str] = set()
-    for (x, y), s in sorted(((k, score[k]) for k in start if k[0] != k[1]), key=lambda k: (-start[k[0]], -k[1], k[0])):
-        if start[x, y] >= least and x not in out and y not in taken and out.get(parent_of(x), parent_of(x)) == parent_of(y):
-            rivals = [k for k in start if k[0] != k[1] and (k[0] == x) != (k[1] == y) and k[0] not in out and k[1] not in taken and parent_of(k[1]) == parent_of(y) and parent_of(k[0]) == parent_of(x)]
-            if all(score[x, y] >= score[k] or start[x, y] > start[k] for k in rivals):
-                out[x] = y
-                taken.add(y)
+    for x, y in sorted(pairs, key=lambda k: (depth_of(k[0]), -share[k], -start[k], k)):
+        if share[x, y] >= least and x not in out and y not in taken and out.get(parent_of(x), parent_of(x)) == parent_of(y):
+            out[x] = y
+            taken.add(y)
     return out
 
 
