@@ -221,6 +221,23 @@ def test_batches_against_a_loop(spark):
     assert {(r.session_id, r.seg): r.batch for r in sessions.batches(df, "tokens", 4, 2000).collect()} == want
 
 
+@pytest.mark.parametrize("width", [1, 2, 3, 7, 64])
+def test_batches_run_over_blocks(spark, width):
+    """Numbers go on over the blocks, and no batch ends at a seam."""
+    rng = random.Random(width)
+    rows = [(f"s{s}", i, rng.choice([0, 1, 50, 900, 1100, 3000])) for s in range(4) for i in range(60) if rng.random() < 0.8]
+    want, last = {}, None
+    for t, i, size in rows:
+        if t != last:
+            last, n, total, b = t, 0, 0, 0
+        if n and (n == 4 or total + size > 2000):
+            n, total, b = 0, 0, b + 1
+        n, total = n + 1, total + size
+        want[t, i] = b
+    df = spark.createDataFrame(rows, "session_id string, seg long, tokens long")
+    assert {(r.session_id, r.seg): r.batch for r in sessions.batches(df, "tokens", 4, 2000, width=width).collect()} == want
+
+
 def test_split_parts_close_after_delegations(make):
     m = lambda n: json.dumps({"content": "x" * n})
     rows = [dict(session_id="s", line_no=0, uuid="u0", rec_type="user", content_kind="string", message=m(4))]

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from ..session import cut_lineage
+
 
 def map_fragments(df: DataFrame, keys: list[str], order: list[str], fn: Callable, schema: str, rows_out: int = 20_000, spread: bool = True) -> DataFrame:
     """Shuffles df on keys, sorts each partition by keys and order, and gives fn the columns of each group as lists.
@@ -60,6 +63,32 @@ def map_fragments(df: DataFrame, keys: list[str], order: list[str], fn: Callable
     return df.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
+def carried_fold(df: DataFrame, keys: str, pos: str, width: int, start: list[int], move: Callable, after: Callable, fold: Callable, schema: str) -> DataFrame:
+    """A sequential fold over groups of any size, in blocks of width positions: no task holds more than a block's rows.
+
+    keys is the schema of the group's columns. move(columns of a block) is what the block does to any state, as JSON;
+    after(move, state) is the state behind it. These are composed over the group's blocks, one row each, and
+    fold(columns of a block, state before it) then returns a dict of lists in schema's columns.
+    """
+    names = [c.split()[0] for c in keys.split(",")]
+    d = cut_lineage(df.withColumn("_blk", F.floor(F.col(pos) / width)))
+    own = [*names, "_blk"]
+
+    def moved(g: dict) -> dict:
+        return {k: g[k][:1] for k in own} | {"_move": [json.dumps(move(g))]}
+
+    def composed(g: dict) -> dict:
+        states, state = [], start
+        for m in g["_move"]:
+            states.append(json.dumps(state))
+            state = after(json.loads(m), state)
+        return {k: g[k] for k in own} | {"_state": states}
+
+    moves = map_fragments(d, own, [pos], moved, f"{keys}, _blk long, _move string")
+    states = map_fragments(moves, names, ["_blk"], composed, f"{keys}, _blk long, _state string")
+    return map_fragments(d.join(states, own), own, [pos], lambda g: fold(g, json.loads(g["_state"][0])), schema)
+
+
 def _schema(df: DataFrame, schema: str) -> pa.Schema:
     parsed = _parse_datatype_string(schema)
     assert isinstance(parsed, StructType)

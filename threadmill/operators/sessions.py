@@ -349,21 +349,46 @@ def uuid_lookup(records: DataFrame, prefix: str) -> DataFrame:
     return r.filter(match).select("session_id", "line_no", "uuid", (~F.col("is_synthetic") & ~F.col("is_masked")).alias("is_ground"))
 
 
-def batches(units: DataFrame, size: str, max_units: int = 10, max_size: int = 120_000) -> DataFrame:
-    """Contiguous batches of a session's units (at most max_units and max_size, one larger unit alone): a resetting fold."""
-    from ..functions.fragments import map_fragments
+def batches(units: DataFrame, size: str, max_units: int = 10, max_size: int = 120_000, width: int = 10_000) -> DataFrame:
+    """Contiguous batches of a session's units (at most max_units and max_size, one larger unit alone): a resetting fold.
 
-    def fold(g: dict) -> dict:
-        out, n, total, b = [], 0, 0, 0
+    session_id, seg, batch, numbered over the whole session. The fold's state (units and size of the open batch) is
+    carried over blocks of width segments: the open batch takes some of a block's first units, and what follows depends
+    on the place of the first new batch alone.
+    """
+    from ..functions.fragments import carried_fold
+
+    def taken(sizes: list, n: int, total: int) -> tuple[int, int, int]:
+        """How many of sizes the open batch takes, and what it then holds."""
+        i = 0
+        while i < len(sizes) and not (n and (n == max_units or total + sizes[i] > max_size)):
+            n, total, i = n + 1, total + sizes[i], i + 1
+        return i, n, total
+
+    def move(g: dict) -> dict:
+        sizes = g["size"]
+        ends: list = [None] * len(sizes)  # of a batch that begins at i: units and size of the last batch, batches from there
+        for i in range(len(sizes) - 1, -1, -1):
+            k, n, total = taken(sizes[i : i + max_units + 1], 0, 0)
+            ends[i] = [n, total, 1] if i + k == len(sizes) else [*ends[i + k][:2], ends[i + k][2] + 1]
+        return {"sizes": sizes[: max_units + 1], "ends": ends[: max_units + 1]}
+
+    def after(move: dict, state: list) -> list:
+        n, total, b = state
+        i, n, total = taken(move["sizes"], n, total)
+        return [n, total, b] if i == len(move["sizes"]) else [*move["ends"][i][:2], b + move["ends"][i][2]]
+
+    def fold(g: dict, state: list) -> dict:
+        out, (n, total, b) = [], state
         for s in g["size"]:
             if n and (n == max_units or total + s > max_size):
                 n, total, b = 0, 0, b + 1
             n, total = n + 1, total + s
             out.append(b)
-        return {"session_id": g["session_id"], "seg": g["seg"], "blk": g["blk"], "batch": out}
+        return {"session_id": g["session_id"], "seg": g["seg"], "batch": out}
 
-    d = units.select("session_id", "seg", F.col(size).alias("size"), F.floor(F.col("seg") / 10_000).alias("blk"))
-    return map_fragments(d, ["session_id", "blk"], ["seg"], fold, "session_id string, seg long, blk long, batch long")
+    d = units.select("session_id", "seg", F.col(size).alias("size"))
+    return carried_fold(d, "session_id string", "seg", width, [0, 0, 0], move, after, fold, "session_id string, seg long, batch long")
 
 
 def split_parts(records: DataFrame, blocks: DataFrame, threshold: int = 2000) -> DataFrame:

@@ -90,7 +90,7 @@ def superseded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def summary_batches(spark: SparkSession, d: str) -> DataFrame:
-    return op.batches(op.segment_summary(table(spark, d, "records")).filter("seg >= 0"), "tokens", 4, 2000).drop("blk")
+    return op.batches(op.segment_summary(table(spark, d, "records")).filter("seg >= 0"), "tokens", 4, 2000)
 
 
 def split_parts(spark: SparkSession, d: str) -> DataFrame:
