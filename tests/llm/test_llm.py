@@ -220,6 +220,26 @@ def test_personal_information(spark):
     assert red[200] == "Write to [EMAIL] now" and red[214] == "Pass​port [ID_NUMBER] here" and red[1].startswith("[NAME] repaired")
 
 
+def _names(first=("Maeve", "Colin", "Edith")):
+    out = {}
+    for i in range(60):
+        sur = f"{'abcdefghij'[i % 10]}rd{'klmnopqrst'[i // 10]}worth".capitalize()
+        out[i] = f"{first[i % 3]} {sur} repaired the clock." if i % 2 else f"Mrs. {sur} repaired the clock."
+        out[100 + i] = f"The driver repaired the clock near {'abcdefghij'[i % 10]}zy{'klmnopqrst'[i // 10]}ville."
+    return out
+
+
+def test_frequent_words_in_addresses_and_names(spark):
+    """A word's frequency decides nothing: addresses count by form, names by their first name, copies count once."""
+    texts = _names() | {200 + i: f"The nurse lives at Flat {i}, {i + 3}b Jaska Close, behind the wall." for i in range(20)}
+    texts |= {300 + i: f"The driver counted {i + 20} times the road, but not this." for i in range(20)} | {400: "Maeve Jaska repaired the clock."}
+    texts |= {500 + i: "Send it to 37 Sulmor Lane. Colin Zrdkworth repaired the clock." for i in range(40)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.pii_kind) for r in pii.find(docs).collect()}
+    assert {d for d, k in got if k == "street_address"} == {*range(200, 220), *range(500, 540)}
+    assert {d for d, k in got if k == "name"} == {*range(60), 400, *range(500, 540)}
+
+
 def test_all_queries_run(spark, sf):
     from threadmill.llm import queries
 

@@ -7,8 +7,13 @@ instances (shapes, first names) and patterns over their counted edges: patterns
 such patterns gain, and so on, until unseen shapes and names are scored; all counts cover the whole corpus. A mention
 counts if its instance scores, or if all its patterns do. Email and street addresses have a form of their own.
 
-The words that are common in the corpus are broadcast: a word is common if it is in more than COMMON of the documents,
-so there are at most (words per document) / COMMON of them, whatever the size of the corpus.
+The words that are common in the corpus are broadcast: a word is common if it is in more than COMMON of the distinct
+texts, so there are at most (words per text) / COMMON of them, whatever the size of the corpus. Names with a common word
+teach nothing, but count where what was learned from the others says so: beside a first name that scores, and beside a
+title or before a comma if the word follows such a first name somewhere. Addresses count by their form; one that reads
+as a phrase (a common word in small letters) counts if the word before it mostly stands before addresses.
+
+All counts are over distinct texts, so copies of a text change nothing.
 
 Defined results: null and empty texts have no mentions; repeated rows give their mentions once; full-width forms count
 as their plain forms and zero-width characters are passed over; names within an email or street address don't count;
@@ -60,7 +65,7 @@ _LATIN = re.compile(r"[^\W\d_]*[a-zÀ-ɏ][^\W\d_]*")
 _KANJI = re.compile(r"([一-鿿々]{1,3} [一-鿿々]{2,3}?|[一-鿿々]{3,6}?)(氏|さん|様|(?=[^一-鿿々]))")
 _GAP = re.compile(r"\.? +")
 
-MENTIONS = "doc_id long, slot string, form string, l string, r string, s string, kind string, start int, stop int"
+MENTIONS = "doc_id string, slot string, form string, l string, r string, s string, kind string, w string, start int, stop int"
 
 
 def fold(text: str) -> tuple[str, list[int] | None]:
@@ -89,8 +94,16 @@ def _before(text: str, at: int) -> list[str]:
     return [w.replace("_", ".") for w in words[-4:]]
 
 
-def mentions_in(text: str, common: set[str]) -> Iterator[tuple]:
-    """(slot, form, l, r, s, kind, start, stop) of a text's mentions; kind where the form alone says it."""
+def _titled(word: str) -> bool:
+    return word[0].isupper() and not word[1:].isupper()
+
+
+def mentions_in(text: str, common: set[str], proper: set[str] = frozenset()) -> Iterator[tuple]:
+    """(slot, form, l, r, s, kind, w, start, stop) of a text's mentions; kind where the form alone says it.
+
+    common are the common words, proper those of them that are mostly written with a capital. The kind of a name with a
+    common word is 'late', of one with a common first word 'common'.
+    """
     plain, places = fold(text)
     spot = (lambda a, b: (a, b)) if places is None else (lambda a, b: (places[a], places[b - 1] + 1))
     body = list(plain)
@@ -99,16 +112,20 @@ def mentions_in(text: str, common: set[str]) -> Iterator[tuple]:
         body[a:b] = "\x00" * (b - a)
 
     for m in _EMAIL.finditer(plain):
-        yield "form", "email", "", "", None, "email", *spot(*m.span())
+        yield "form", "email", "", "", None, "email", None, *spot(*m.span())
         hide(*m.span())
     for m in _URL.finditer(plain):
         hide(*m.span())
     now = "".join(body)
     for p in _STREETS:
         for m in p.finditer(now):
-            if "w" in m.groupdict() and m["w"].casefold() in common:
+            w = m.groupdict().get("w")
+            word = w.casefold() if w else None
+            before = " ".join(_before(now, m.start())[-1:])
+            if w and word in common and word not in proper and not _titled(w):
+                yield "phrase", "street_address", before, "", None, "street_address", None, *spot(*m.span())
                 continue
-            yield "form", "street_address", "", "", None, "street_address", *spot(*m.span())
+            yield "form", "street_address", before, "", None, "street_address", None, *spot(*m.span())
             hide(*m.span())
     now = "".join(body)
     for m in _NUMBER.finditer(now):
@@ -122,12 +139,13 @@ def mentions_in(text: str, common: set[str]) -> Iterator[tuple]:
         if not 6 <= digits <= 16:
             continue
         words = _before(now, start)
-        yield "num", shape(raw), " ".join(words[-1:]), " ".join(words[-2:]) if len(words) > 1 else "", " ".join(words[-4:]), None, *spot(start, start + len(raw))
+        yield "num", shape(raw), " ".join(words[-1:]), " ".join(words[-2:]) if len(words) > 1 else "", " ".join(words[-4:]), None, None, *spot(start, start + len(raw))
     words = [(m.start(), m.end(), m[0].casefold()) for m in _WORD.finditer(now)]
     n = len(words)
     for i in range(n):
         a, b, w = words[i]
-        if w in common or len(w) < 4 or not _LATIN.fullmatch(w.replace("-", "").replace("'", "").replace("’", "")):
+        late = w in common
+        if w in TITLES or late and w not in proper and not _titled(now[a:b]) or len(w) < 4 or not _LATIN.fullmatch(w.replace("-", "").replace("'", "").replace("’", "")):
             continue
         after = lambda k: words[k][2] if k < n and re.fullmatch(r"[ ,:]*", now[words[k - 1][1] : words[k][0]]) else "|"
         back = lambda k: words[k][2] if k >= 0 and re.fullmatch(r"[ ,:]*", now[words[k][1] : words[k + 1][0]]) else "|"
@@ -139,44 +157,49 @@ def mentions_in(text: str, common: set[str]) -> Iterator[tuple]:
             head = words[h][2]
             dot = "." in now[words[h][1] : words[h + 1][0]]
             cased = now[a].isupper() or not now[words[h][0]].isupper()  # a name's parts are written alike
-            if cased and (dot if len(head) == 1 else head in TITLES or not dot):
-                yield "name", "<initial>" if len(head) == 1 else head, "<middle>" if middle else back(h - 1), after(i + 1), ending, "common" if head in common else None, *spot(words[h][0], b)
+            plain_head = late and head in common and head not in proper and head not in TITLES  # a word of the sentence
+            if cased and not plain_head and (dot if len(head) == 1 else head in TITLES or not dot):
+                yield "name", "<initial>" if len(head) == 1 else head, "<middle>" if middle else back(h - 1), after(i + 1), ending, "late" if late else "common" if head in common else None, w, *spot(words[h][0], b)
         if i + 1 < n and re.fullmatch(r", ", now[b : words[i + 1][0]]) and words[i + 1][2] not in TITLES and len(words[i + 1][2]) > 1:
-            yield "name", words[i + 1][2], back(i - 1), after(i + 2), ending, None, *spot(a, words[i + 1][1])
+            yield "name", words[i + 1][2], back(i - 1), after(i + 2), ending, "late" if late else None, w + ",", *spot(a, words[i + 1][1])
     for m in _KANJI.finditer(now):
         run = m[1].replace(" ", "")
         title, follows = m[2], now[m.end(1) : m.end(1) + 1]
         for k in (2, 3):
             if len(run) > k:
-                yield "name", run[-k:], "", "<title>" if title else follows, None, None, *spot(*m.span(1))
+                yield "name", run[-k:], "", "<title>" if title else follows, None, None, None, *spot(*m.span(1))
 
 
-def common_words(docs: DataFrame, share: float = COMMON) -> list[str]:
-    """Words in more than share of the documents (and in more than three)."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)[\p{L}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]+(?:['’-][\p{L}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]+)*"), 0))
-    n = docs.count()
-    counts = docs.select(F.explode(words).alias("w")).groupBy("w").count()
-    return sorted(r.w for r in counts.filter(F.col("count") > max(3, share * n)).select("w").collect())
+def common_words(texts: DataFrame, share: float = COMMON) -> tuple[list[str], list[str]]:
+    """Words in more than share of the distinct texts (and in more than three), and those of them that mostly have a capital."""
+    raw = F.regexp_extract_all("text", F.lit(r"(?U)[\p{L}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]+(?:['’-][\p{L}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]+)*"), 0)
+    n = texts.count()
+    words = texts.select(raw.alias("raw")).select("raw", F.array_distinct(F.transform("raw", F.lower)).alias("low"))
+    seen = words.select(F.explode(F.concat(
+        F.transform("low", lambda w: F.struct(w.alias("w"), F.lit(False).alias("is_low"))), F.transform(F.array_intersect("low", "raw"), lambda w: F.struct(w.alias("w"), F.lit(True).alias("is_low")))
+    )).alias("x")).groupBy("x.w").agg(F.count_if(~F.col("x.is_low")).alias("n"), F.count_if("x.is_low").alias("n_low"))
+    rows = seen.filter(F.col("n") > max(3, share * n)).select("w", (F.col("n_low") * 2 < F.col("n")).alias("is_proper")).collect()
+    return sorted(r.w for r in rows), sorted(r.w for r in rows if r.is_proper)
 
 
-def mentions(docs: DataFrame, common: list[str]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(common))
+def mentions(texts: DataFrame, common: list[str], proper: list[str]) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast((frozenset(common), frozenset(proper)))
     names = [c.split(" ")[0] for c in MENTIONS.split(", ")]
-    kinds = (pa.int64(), *[pa.string()] * 6, pa.int32(), pa.int32())
+    kinds = (*[pa.string()] * 8, pa.int32(), pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
         for b in batches:
             rows: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows.extend((doc, *m) for m in mentions_in(text, words))
+                rows.extend((doc, *m) for m in mentions_in(text, *words))
                 if len(rows) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
                     rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-    return docs.mapInArrow(run, MENTIONS)
+    return texts.mapInArrow(run, MENTIONS)
 
 
 def bootstrap(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -218,7 +241,7 @@ def _edges(m: DataFrame) -> DataFrame:
                               F.struct(F.lit("r").alias("part"), F.when(seed.isNotNull(), "<seed>").otherwise(F.col("r")).alias("pattern")))).alias("e"),
         )
         out = e if out is None else out.unionByName(e)
-    name = m.filter("slot = 'name'").select(
+    name = m.filter("slot = 'name' and not kind <=> 'late'").select(
         F.lit("name").alias("kind"), "form", F.when(F.col("form").isin(sorted(TITLES)), 1.0).when(F.col("form") == "<initial>", 0.6).alias("form_seed"), F.lit(None).cast("double").alias("pattern_seed"),
         F.explode(F.array(*(F.struct(F.lit(p).alias("part"), F.col(p).alias("pattern")) for p in "lrs"))).alias("e"),
     )
@@ -232,8 +255,13 @@ def _edges(m: DataFrame) -> DataFrame:
 def find(docs: DataFrame) -> DataFrame:
     """Every mention of personal information: doc_id, pii_kind, start, stop (places in the text)."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).filter("text <> ''")
-    m = cut_lineage(mentions(docs, common_words(docs)).distinct())
+    texts = cut_lineage(docs.select(F.sha2("text", 256).alias("doc_id"), "text").dropDuplicates(["doc_id"]))
+    holders = docs.select(F.col("doc_id").alias("holder"), F.sha2("text", 256).alias("doc_id")).distinct()
+    m = cut_lineage(mentions(texts, *common_words(texts)).distinct())
     own = m.filter("slot = 'form'").select("doc_id", F.col("kind").alias("pii_kind"), "start", "stop")
+    # phrases that look like an address: the word before has to stand before addresses mostly
+    at = m.filter("kind = 'street_address' and l <> ''").groupBy("l").agg((F.count_if(F.col("slot") == "form") / (F.count("*") + 1)).alias("p")).filter(F.col("p") >= LEAST)
+    own = own.unionByName(m.filter("slot = 'phrase'").join(at, "l").select("doc_id", F.col("kind").alias("pii_kind"), "start", "stop"))
     forms, patterns = bootstrap(cut_lineage(_edges(m)))
 
     # numbers without any context are scored by their shape alone; international prefixes speak for themselves
@@ -247,15 +275,23 @@ def find(docs: DataFrame) -> DataFrame:
 
     name = m.filter("slot = 'name'")
     scored = forms.filter("kind = 'name'").select("form", "score")
-    counts = name.groupBy("form").agg(F.count("*").alias("n_form"))
-    met = name.withColumn("is_common", F.col("kind").isNotNull()).drop("kind").join(scored.join(counts, "form"), "form")
+    counts = name.filter("not kind <=> 'late'").groupBy("form").agg(F.count("*").alias("n_form"))
+    met = name.withColumn("is_common", F.col("kind").isNotNull()).withColumn("is_late", F.col("kind").eqNullSafe("late")).drop("kind").join(scored.join(counts, "form"), "form")
     is_known = (F.col("score") >= LEAST) & (F.col("form") != "<initial>")
     # unseen first names, and initials: the ending and a neighbour have to score
     p_of = lambda p: patterns.filter((F.col("kind") == "name") & (F.col("part") == p) & (F.col("p") >= LEAST)).select(F.col("pattern").alias(p), F.lit(1).alias(f"p_{p}"))
     unseen = met.filter(~is_known & ((F.col("form") == "<initial>") | ((F.col("n_form") <= 5) & ~F.col("is_common")))).join(p_of("s"), "s")
     unseen = unseen.join(p_of("l"), "l", "left").join(p_of("r"), "r", "left").filter("p_l is not null or p_r is not null")
-    names = met.filter(is_known).select("doc_id", "start", "stop").unionByName(unseen.select("doc_id", "start", "stop"))
-    return own.unionByName(numbers).unionByName(names.select("doc_id", F.lit("name").alias("pii_kind"), "start", "stop")).distinct()
+    # a common word is a surname where it follows a first name that scores; before a comma or after a title only if it does so somewhere
+    first = forms.filter((F.col("kind") == "name") & (F.col("score") >= LEAST)).select(F.col("form").alias("surname"))
+    late = met.filter(is_known & F.col("is_late")).withColumn("surname", F.regexp_replace("w", ",$", "")).join(first, "surname", "left_anti")  # a first name is none
+    direct = ~F.col("form").isin(sorted(TITLES)) & ~F.coalesce(F.col("w").endswith(","), F.lit(False))
+    surnames = late.filter(direct).select("surname").distinct()
+    late = late.filter(direct).unionByName(late.filter(~direct).join(surnames, "surname", "left_semi").select(late.columns))
+    known = met.filter(is_known & ~F.col("is_late")).select("doc_id", "start", "stop").unionByName(late.select("doc_id", "start", "stop"))
+    names = known.unionByName(unseen.select("doc_id", "start", "stop"))
+    found = own.unionByName(numbers).unionByName(names.select("doc_id", F.lit("name").alias("pii_kind"), "start", "stop")).distinct()
+    return found.join(holders, "doc_id").select(F.col("holder").alias("doc_id"), "pii_kind", "start", "stop").distinct()
 
 
 def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
