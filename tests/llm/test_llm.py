@@ -240,6 +240,15 @@ def test_frequent_words_in_addresses_and_names(spark):
     assert {d for d, k in got if k == "name"} == {*range(60), 400, *range(500, 540)}
 
 
+def test_an_unseen_first_name_may_occur_often(spark):
+    """Mentions whose ending and neighbour score are found however often the form stands elsewhere."""
+    for n in (2, 12):
+        junk = " ".join(f"They saw zelda {a}{'bcdfghjk'[i % 8]}zx{a}v today." for i, a in enumerate("abcdefghijkl"[:n]))
+        texts = _names() | {1000: "Zelda Qurdworth repaired the clock.", 2000: junk}
+        docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        assert {r.doc_id for r in pii.find(docs).filter("pii_kind = 'name'").collect()} >= {*range(60), 1000}, n
+
+
 def test_all_queries_run(spark, sf):
     from threadmill.llm import queries
 

@@ -275,12 +275,11 @@ def find(docs: DataFrame) -> DataFrame:
 
     name = m.filter("slot = 'name'")
     scored = forms.filter("kind = 'name'").select("form", "score")
-    counts = name.filter("not kind <=> 'late'").groupBy("form").agg(F.count("*").alias("n_form"))
-    met = name.withColumn("is_common", F.col("kind").isNotNull()).withColumn("is_late", F.col("kind").eqNullSafe("late")).drop("kind").join(scored.join(counts, "form"), "form")
+    met = name.withColumn("is_common", F.col("kind").isNotNull()).withColumn("is_late", F.col("kind").eqNullSafe("late")).drop("kind").join(scored, "form")
     is_known = (F.col("score") >= LEAST) & (F.col("form") != "<initial>")
-    # unseen first names, and initials: the ending and a neighbour have to score
+    # unseen first names, and initials: the ending and a neighbour of the mention have to score, however often the form occurs
     p_of = lambda p: patterns.filter((F.col("kind") == "name") & (F.col("part") == p) & (F.col("p") >= LEAST)).select(F.col("pattern").alias(p), F.lit(1).alias(f"p_{p}"))
-    unseen = met.filter(~is_known & ((F.col("form") == "<initial>") | ((F.col("n_form") <= 5) & ~F.col("is_common")))).join(p_of("s"), "s")
+    unseen = met.filter(~is_known & ((F.col("form") == "<initial>") | ~F.col("is_common"))).join(p_of("s"), "s")
     unseen = unseen.join(p_of("l"), "l", "left").join(p_of("r"), "r", "left").filter("p_l is not null or p_r is not null")
     # a common word is a surname where it follows a first name that scores; before a comma or after a title only if it does so somewhere
     first = forms.filter((F.col("kind") == "name") & (F.col("score") >= LEAST)).select(F.col("form").alias("surname"))
