@@ -160,6 +160,17 @@ def test_nested_edges(spark):
     assert same == 1
 
 
+def test_children_are_the_whole_bridge(spark):
+    lines = spark.createDataFrame([("f", 1, '{"m":{"c":[1,[{"x":{}}]]}}'), ("f", 2, '{"a":1}'), ("f", 3, "no")], "source string, line_no long, raw_json string")
+    rows = nested.child_rows(nested.occurrences(lines)).collect()
+    by = {(r.line_no, r.obj_path): r for r in rows}
+    assert len(rows) == len(by) and set(by) == {(1, ""), (1, "m"), (1, "m.c"), (1, "m.c[1]"), (1, "m.c[1][0]"), (1, "m.c[1][0].x"), (2, "")}
+    for r in rows:
+        assert r.obj_path == "" or by[r.line_no, r.parent_path].node_id == r.parent_id and by[r.line_no, r.object_path].node_id == r.object_id
+    deep = by[1, "m.c[1][0]"]
+    assert (deep.ordinal, deep.key, deep.parent_path, deep.object_path, by[1, "m.c"].key, by[1, ""].object_id) == (0, None, "m.c[1]", "m", "c", None)
+
+
 def test_deep_parser_agrees():
     for text in ('{"a":[1,2.5,-3e2,true,null,"x\\n\\u00e9"],"b":{},"c":[],"d":{"e":[[],{}]}}', ' { "a" : 1 } ', '{"a":1,"a":2}'):
         assert _parse_deep(text.strip()) == json.loads(text)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.fragments import _schema
 from ..functions.jsonwalk import clean, parse_object, scalar
 
-BRIDGE = "source string, line_no long, obj_path string, parent_path string, key string, ordinal int, kind string, in_array boolean, node_id string, parent_id string, depth int"
+BRIDGE = "source string, line_no long, obj_path string, parent_path string, key string, ordinal int, kind string, in_array boolean, node_id string, parent_id string, depth int, object_path string, object_id string"
 NODES = BRIDGE + ", content string"
 
 
@@ -54,7 +54,8 @@ def flatten(record: dict) -> list[dict]:
         row["content"], row["node_id"] = body, blake2b(body.encode(), digest_size=16).hexdigest()
     for row in rows:
         p = row.pop("parent")
-        row["parent_path"], row["parent_id"] = (None, None) if p < 0 else (rows[p]["obj_path"], rows[p]["node_id"])
+        row["parent_path"], row["parent_id"], row["object_path"], row["object_id"] = (None,) * 4 if p < 0 else (
+            rows[p]["obj_path"], rows[p]["node_id"], *((rows[p]["obj_path"], rows[p]["node_id"]) if rows[p]["kind"] == "object" else (rows[p]["object_path"], rows[p]["object_id"])))
     return rows
 
 
@@ -82,7 +83,7 @@ def _walk(lines: DataFrame, schema: str) -> DataFrame:
                         cols["line_no"].append(line_no)
                     for n in inner:
                         x = row[n]
-                        cols[n].append(clean(x) if n in ("obj_path", "parent_path", "key") and x else x)
+                        cols[n].append(clean(x) if n in ("obj_path", "parent_path", "object_path", "key") and x else x)
                 if len(cols["node_id"]) >= 20_000:
                     yield flush()
         if cols["node_id"]:
@@ -109,8 +110,9 @@ def array_objects(bridge: DataFrame) -> DataFrame:
 
 
 def child_rows(bridge: DataFrame) -> DataFrame:
-    """Objects below the record, each linked to the nearest object above it, with its ordinal there."""
-    return bridge.filter("kind = 'object' and depth > 0").select("source", "line_no", "obj_path", "parent_path", "ordinal", "node_id", "parent_id").distinct()
+    """Every container of the records (records, arrays and objects) with its key or ordinal in the container that holds it
+    (parent_path, parent_id; null for records), and the nearest object above it (object_path, object_id)."""
+    return bridge.select("source", "line_no", "obj_path", "kind", "parent_path", "key", "ordinal", "node_id", "parent_id", "object_path", "object_id").distinct()
 
 
 def rebuild(node_id: str, contents: dict[str, str]) -> str:
