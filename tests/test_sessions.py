@@ -238,6 +238,29 @@ def test_batches_run_over_blocks(spark, width):
     assert {(r.session_id, r.seg): r.batch for r in sessions.batches(df, "tokens", 4, 2000, width=width).collect()} == want
 
 
+@pytest.mark.parametrize("width", [1, 3, 8, 1000])
+def test_split_parts_run_over_blocks(make, width):
+    rng = random.Random(5)
+    m = lambda n: json.dumps({"content": "x" * n})
+    rows, blocks, want, open_calls, held, part = [dict(session_id="s", line_no=0, uuid="u0", rec_type="user", content_kind="string", message=m(4))], [], {}, {}, 0, 0
+    for i in range(1, 61):
+        message = m(rng.choice([4, 100, 700, 1500]))
+        rows.append(dict(session_id="s", line_no=i, uuid=f"u{i}", rec_type="assistant", content_kind="array", message=message))
+        want[i], held, ends = part, held + len(message) // 4, False
+        if open_calls and rng.random() < 0.6:
+            c = rng.choice(sorted(open_calls))
+            ends = open_calls.pop(c) == "Task"
+            blocks.append(dict(session_id="s", line_no=i, pos=0, block_type="tool_result", tool_use_id=c))
+        elif rng.random() < 0.6:
+            name = rng.choice(["Task", "Bash"])
+            open_calls[f"t{i}"] = name
+            blocks.append(dict(session_id="s", line_no=i, pos=0, block_type="tool_use", tool_id=f"t{i}", tool_name=name))
+        if not open_calls and (ends and held >= 100 or held >= 500):
+            part, held = part + 1, 0
+    got = {r.line_no: r.part for r in sessions.split_parts(make.records(rows), make.blocks(blocks), 1000, width=width).collect()}
+    assert got == want and part > 1
+
+
 def test_split_parts_close_after_delegations(make):
     m = lambda n: json.dumps({"content": "x" * n})
     rows = [dict(session_id="s", line_no=0, uuid="u0", rec_type="user", content_kind="string", message=m(4))]

@@ -391,13 +391,14 @@ def batches(units: DataFrame, size: str, max_units: int = 10, max_size: int = 12
     return carried_fold(d, "session_id string", "seg", width, [0, 0, 0], move, after, fold, "session_id string, seg long, batch long")
 
 
-def split_parts(records: DataFrame, blocks: DataFrame, threshold: int = 2000) -> DataFrame:
+def split_parts(records: DataFrame, blocks: DataFrame, threshold: int = 2000, width: int = 65_536) -> DataFrame:
     """Parts of large segments: session_id, seg, line_no, part.
 
     A part closes after a row when no call is pending and either a delegation has just ended and the part holds a tenth
-    of the threshold, or it holds half of it. A segment at or below the threshold is one part.
+    of the threshold, or it holds half of it. A segment at or below the threshold is one part. Sizes of segments and pending
+    calls come from aggregates and running sums; what the open part holds is carried over blocks of width lines.
     """
-    from ..functions.fragments import map_fragments
+    from ..functions.fragments import carried_fold
 
     r = tr.segmented(records).filter("seg >= 0 and not is_genuine")
     b = tr.blocks_once(blocks).filter("block_type in ('tool_use', 'tool_result')")
@@ -407,23 +408,73 @@ def split_parts(records: DataFrame, blocks: DataFrame, threshold: int = 2000) ->
         F.collect_set(F.when(F.col("block_type") == "tool_use", F.col("tool_id"))).alias("opened"), F.collect_set(F.when(F.col("block_type") == "tool_result", F.col("tool_use_id"))).alias("closed"),
         F.bool_or(F.coalesce((F.col("block_type") == "tool_result") & F.col("called").isin("Task", "Agent", "Workflow", "Skill"), F.lit(False))).alias("ends_delegation"),
     )
-    r = r.join(per, ["session_id", "line_no"], "left").withColumn("blk", F.floor(F.col("line_no") / 65_536))
-
-    def fold(g: dict) -> dict:
-        n = len(g["line_no"])
-        parts = [0] * n
-        if threshold and sum(g["n_bytes"]) // 4 > threshold:
-            part, held, pending = 0, 0, set()
-            for i in range(n):
-                parts[i] = part
-                held += g["n_bytes"][i] // 4
-                pending |= set(g["opened"][i] or ())
-                pending -= set(g["closed"][i] or ())
-                if i + 1 < n and not pending and ((g["ends_delegation"][i] and held >= threshold // 10) or held >= threshold // 2):
-                    part, held = part + 1, 0
+    whole = r.groupBy("session_id", "seg").agg(F.floor(F.sum("n_bytes") / 4).alias("seg_tokens"))
+    r = cut_lineage(r.join(per, ["session_id", "line_no"], "left").select("session_id", "seg", "line_no", "n_bytes", "opened", "closed", "ends_delegation"))
+    # a call is open after a row that opens it and doesn't close it, until a row closes it
+    none = F.array().cast("array<string>")
+    opened, closed = F.coalesce("opened", none), F.coalesce("closed", none)
+    calls = r.select("session_id", "seg", "line_no", F.explode(F.array_union(opened, closed)).alias("id"), closed.alias("closed"))
+    calls = blocked.previous(calls.select("session_id", "seg", "line_no", "id", (~F.array_contains("closed", F.col("id"))).cast("int").alias("is_open")), ["session_id", "seg", "id"], "line_no", F.col("is_open"), "was_open")
+    delta = calls.groupBy("session_id", "seg", "line_no").agg(F.sum(F.col("is_open") - F.coalesce("was_open", F.lit(0))).alias("delta"))
+    r = r.join(delta, ["session_id", "seg", "line_no"], "left")
+    r = blocked.running_sum(r, ["session_id", "seg"], "line_no", F.coalesce("delta", F.lit(0)), "pending").join(whole, ["session_id", "seg"])
+    # what a part has to hold so that it closes after the row; null where it can't
+    least = F.when(F.coalesce("ends_delegation", F.lit(False)), threshold // 10).otherwise(threshold // 2)
+    may = (F.lit(threshold) > 0) & (F.col("seg_tokens") > threshold) & (F.col("pending") == 0)
+    d = r.select("session_id", "seg", "line_no", F.floor(F.col("n_bytes") / 4).alias("tokens"), F.when(may, least).alias("least"))
+
+    def closes(g: dict, i: int, held: int) -> tuple[int | None, int]:
+        """The first row from i on after which a part that holds held closes (None: none), and what it holds at the end."""
+        for k in range(i, len(g["tokens"])):
+            held += g["tokens"][k]
+            if g["least"][k] is not None and held >= g["least"][k]:
+                return k, 0
+        return None, held
+
+    def move(g: dict) -> dict:
+        n, after = len(g["tokens"]), {}  # after[i]: what the last part holds if one begins at row i, and the parts closed from there
+
+        def ends(i: int) -> list:
+            way = []
+            while i not in after:
+                k, held = closes(g, i, 0)
+                if k is None:
+                    after[i] = [held, 0]
+                else:
+                    way.append(i)
+                    i = k + 1
+            for x in reversed(way):
+                after[x] = [after[i][0], after[i][1] + 1]
+                i = x
+            return after[i]
+
+        steps, total, lowest = [], 0, None  # the less a part holds at first, the later it closes
+        for k in range(n):
+            total += g["tokens"][k]
+            if g["least"][k] is not None and (lowest is None or g["least"][k] - total < lowest):
+                lowest = g["least"][k] - total
+                steps.append([lowest, *ends(k + 1)])
+                if lowest <= 0:
+                    break
+        return {"steps": steps, "total": sum(g["tokens"])}
+
+    def after_block(move: dict, state: list) -> list:
+        held, part = state
+        for need, left, closed in move["steps"]:
+            if held >= need:
+                return [left, part + 1 + closed]
+        return [held + move["total"], part]
+
+    def fold(g: dict, state: list) -> dict:
+        parts, (held, part) = [], state
+        for t, least in zip(g["tokens"], g["least"]):
+            parts.append(part)
+            held += t
+            if least is not None and held >= least:
+                part, held = part + 1, 0
         return {"session_id": g["session_id"], "seg": g["seg"], "line_no": g["line_no"], "part": parts}
 
-    return map_fragments(r.select("session_id", "seg", "blk", "line_no", "n_bytes", "opened", "closed", "ends_delegation"), ["session_id", "seg", "blk"], ["line_no"], fold, "session_id string, seg long, line_no long, part long")
+    return carried_fold(d, "session_id string, seg long", "line_no", width, [0, 0], move, after_block, fold, "session_id string, seg long, line_no long, part long")
 
 
 def active_goal(events: DataFrame) -> DataFrame:
