@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadmill.functions.jsonwalk import _parse_deep, parse_object
+from threadmill import corpus_queries
 from threadmill.operators import drift, hierarchy, nested, references
 
 
@@ -216,6 +217,14 @@ def test_renames_are_decided_by_flooding(n):
     assert drift.correspondences({"id": frozenset({"string"}), "u": frozenset({"string"})}, {"id": frozenset({"string"}), "v": frozenset({"string"})}, lambda x, y: 0.1) == {}
 
 
+def test_unified_query_drops_no_field(spark, sf):
+    want = set()
+    for r in spark.read.parquet(f"{sf}/raw_lines.parquet").collect():
+        want |= set(parse_object(r.raw_json) or ())
+    rows = corpus_queries.p5_unified(spark, sf).collect()
+    assert {"userType", "gitBranch"} <= (got := {k for r in rows for k in r.fields}) and want - got <= {"cwd", "kind", "session"}
+
+
 def test_versions_carry_over_blocks(spark):
     rng = random.Random(5)
     rows = [(s, i, rng.choice(["1", "2", None, None, None])) for s in "ab" for i in range(60)] + [("c", i, None) for i in range(3)] + [("d", 5, "9"), ("d", 1, None)]

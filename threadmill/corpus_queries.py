@@ -57,9 +57,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_unified(spark: SparkSession, d: str) -> DataFrame:
-    u = drift.unify(table(spark, d, "raw_lines"))
-    names = ("type", "uuid", "parentUuid", "sessionId", "timestamp", "version", "workdir", "isSidechain", "message")
-    return u.select("source", "line_no", *(F.col("fields")[n].alias(n) for n in names), F.size("cast_failed").cast("bigint").alias("n_cast_failed"))
+    """Every field of every line, by its newest top-level name."""
+    return drift.unify(table(spark, d, "raw_lines")).withColumn("n_cast_failed", F.size("cast_failed").cast("bigint"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_store, p3_children, p4_found, p4_hierarchy, p4_paths, p5_found, p5_unified)}
