@@ -36,13 +36,15 @@ def test_orphans_missing_removed_and_late(make):
 
 def test_orphans_fold_and_empty(make):
     records = make.records([dict(session_id="s", line_no=i, uuid=f"u{i}", parent_uuid=f"u{i - 1}" if i else None, ingested_at=i) for i in range(20)] + [dict(session_id="s", line_no=30, uuid="x", parent_uuid="u99", ingested_at=30)])
-    arrived = references.arrivals(records, make.removed([]))
-    d = references.record_deltas(arrived)
+    removed = make.removed([dict(session_id="S", uuid="U7 ", removed_at=9)])
+    lines = references.full_lines(references.record_lines(records), references.tool_lines(make.blocks([])), references.removals(removed))
+    d = references.deltas(references.contributions(lines))
+    assert {r.sign for r in d.groupBy("session_id").agg(F.min("exists").alias("sign")).collect()} == {-1}
     whole = references.count_state(d)
-    parts = references.fold(references.count_state(d.filter("line_no < 10")), references.count_state(d.filter("line_no >= 10")))
-    key = lambda s: sorted((r.ref_id, r.refs, r.exists) for r in s.collect())
+    parts = references.fold(references.count_state(d.filter("exists > 0 or refs > 0")), references.count_state(d.filter("exists < 0 or refs < 0")))
+    key = lambda s: sorted((r.ref_id, str(r.at), r.refs, r.exists) for r in s.collect())
     assert key(whole) == key(parts)
-    assert [r.ref_id for r in references.orphan_keys(parts).collect()] == ["u99"]
+    assert sorted(r.ref_id for r in references.orphan_keys(parts).collect()) == ["u7", "u99"]
     empty = references.find_orphans(make.records([]), make.blocks([]), make.removed([]))
     assert empty.count() == 0
 

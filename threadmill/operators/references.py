@@ -1,132 +1,139 @@
 """References to records that do not exist, kept as signed counts per key.
 
-Every arrival and removal is a change delta on a key (domain, session_id, ref_id): a referring record adds a reference
-count, a record or call of that id adds an existence count, and taking a record out adds the opposite counts. Folding
-deltas is a sum, so a state can be kept and new deltas folded in (`fold`), in batch or in foreachBatch. A key with
+A line is a record with its tool blocks. Its contributions to keys (domain, session_id, ref_id) are reference counts
+(its parent, its covered uuids, the calls its results answer) and existence counts (its own uuid, its calls), each at
+the line's first arrival. Arrivals add contributions, removals take the same ones back: every change is a delta with a
+sign, and a state is the sum of deltas per key and arrival (`count_state`). Sums can be taken back, so the first arrival
+of what still exists, and of what still refers, can be read from the state at any time (`key_state`). A key with
 references but without existence is an orphan; one that exists only after its first reference is late.
 
+In batch the deltas of all lines are summed. `streaming.growing.OrphanCounts` keeps lines, removals and counts and
+turns each change (a new record, a later delivery, blocks, a removal) into deltas of the lines it touches, old
+contributions out and new ones in, so any order of arrivals gives the counts that the batch gives.
+
 Defined results: null or blank ids are no references and no targets; a row delivered twice is one record that arrived
-at its first ingested_at (a record without one counts as in time); empty tables give empty results; extra columns are ignored; a hot key is pre-aggregated on
-the map side, and the join of references with the (few) orphan keys is left to AQE, which splits skewed partitions.
+at its first ingested_at (a record without one counts as in time) and has the contents of its latest delivery; a removal
+counts for every line of that uuid, whenever it arrives; equal blocks count once; blocks without a record don't count;
+empty tables give empty results; extra columns are ignored. A hot key is pre-aggregated on the map side, and the join
+of references with the (few) orphan keys is left to AQE, which splits skewed partitions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import norm_id
 
 KEY = ["domain", "session_id", "ref_id"]
-TABLE_OF = {"parent": "records", "covered": "records", "tool": "blocks"}
+LINE = ["session_id", "line_no"]
+
+
+def removals(removed: DataFrame) -> DataFrame:
+    """session_id, uuid of what was taken out."""
+    return removed.select(norm_id("session_id").alias("session_id"), norm_id("uuid").alias("uuid")).filter("session_id is not null and uuid is not null").distinct()
 
 
 def standing(records: DataFrame, removed: DataFrame) -> DataFrame:
     """Records without those taken out."""
-    gone = removed.select(norm_id("session_id").alias("g_session"), norm_id("uuid").alias("g_uuid")).distinct()
+    gone = removals(removed).select(F.col("session_id").alias("g_session"), F.col("uuid").alias("g_uuid"))
     return records.join(gone, (norm_id("session_id") == F.col("g_session")) & (norm_id("uuid") == F.col("g_uuid")), "left_anti")
 
 
-def arrivals(records: DataFrame, removed: DataFrame) -> DataFrame:
-    """One row per record (session_id, line_no): its ids, its first arrival, and when it was taken out, if it was."""
-    r = records.select(
-        norm_id("session_id").alias("session_id"), "line_no", "ingested_at",
-        F.struct(
-            norm_id("uuid").alias("uuid"), norm_id("parent_uuid").alias("parent"),
-            norm_id("provenance.source_session_id").alias("covered_session"), F.col("provenance.covered_uuids").alias("covered"),
-        ).alias("x"),
-    ).groupBy("session_id", "line_no").agg(F.min("ingested_at").alias("at"), F.max(F.struct("ingested_at", "x"))["x"].alias("x"))
-    gone = removed.groupBy(norm_id("session_id").alias("session_id"), norm_id("uuid").alias("uuid")).agg(
-        F.coalesce(F.min("removed_at"), F.lit("1970-01-01").cast("timestamp")).cast("timestamp").alias("gone_at")
+def record_lines(records: DataFrame) -> DataFrame:
+    """One row per line: first arrival (at), latest delivery (x: its time and what it says)."""
+    x = F.struct(
+        F.col("ingested_at").cast("timestamp").alias("delivered_at"), norm_id("uuid").alias("uuid"), norm_id("parent_uuid").alias("parent"),
+        norm_id("provenance.source_session_id").alias("covered_session"), F.col("provenance.covered_uuids").alias("covered"),
     )
-    return r.select("session_id", "line_no", F.col("at").cast("timestamp").alias("at"), "x.*").join(gone, ["session_id", "uuid"], "left")
+    d = records.select(norm_id("session_id").alias("session_id"), F.col("line_no").cast("long").alias("line_no"), x.alias("x"))
+    return merge_lines(d.select(*LINE, F.col("x.delivered_at").alias("at"), "x"))
 
 
-def record_deltas(arrived: DataFrame) -> DataFrame:
-    """The deltas of records: a parent reference, covered references and the existence of the record's own uuid."""
-    row = lambda kind, domain, session, ref, n_ref, n_exist: F.struct(
-        F.lit(kind).alias("ref_kind"), F.lit(domain).alias("domain"), session.alias("target_session"), ref.alias("ref_id"),
-        F.lit(n_ref).alias("refs"), F.lit(n_exist).alias("exists"),
-    )
-    covered = F.transform(
-        F.coalesce("covered", F.array().cast("array<string>")),
-        lambda u: row("covered", "uuid", F.coalesce("covered_session", F.lit("")), norm_id(u), 1, 0),
-    )
-    own = F.array(
-        row("parent", "uuid", F.col("session_id"), F.col("parent"), 1, 0),
-        row("self", "uuid", F.col("session_id"), F.col("uuid"), 0, 1),
-    )
-    return _signed(arrived.select("session_id", "line_no", "at", "gone_at", F.explode(F.concat(own, covered)).alias("d")))
+def merge_lines(d: DataFrame) -> DataFrame:
+    return d.groupBy(*LINE).agg(F.min("at").alias("at"), F.max("x").alias("x"))
 
 
-def tool_deltas(blocks: DataFrame, arrived: DataFrame) -> DataFrame:
-    """The deltas of tool blocks, which arrive and go with their record; a block without record never arrived."""
-    b = blocks.select(
-        norm_id("session_id").alias("session_id"), "line_no", norm_id("tool_use_id").alias("use"), norm_id("tool_id").alias("call")
+def tool_lines(blocks: DataFrame) -> DataFrame:
+    """One row per line with tool blocks: the calls it makes and those it answers."""
+    d = blocks.select(
+        norm_id("session_id").alias("session_id"), F.col("line_no").cast("long").alias("line_no"), norm_id("tool_use_id").alias("use"), norm_id("tool_id").alias("call")
     ).filter("use is not null or call is not null")
-    b = b.join(arrived.select("session_id", "line_no", "at", "gone_at"), ["session_id", "line_no"])
-    row = lambda kind, ref, n_ref, n_exist: F.struct(
-        F.lit(kind).alias("ref_kind"), F.lit("tool").alias("domain"), F.col("session_id").alias("target_session"), ref.alias("ref_id"),
-        F.lit(n_ref).alias("refs"), F.lit(n_exist).alias("exists"),
-    )
-    both = F.array(row("tool", F.col("use"), 1, 0), row("self", F.col("call"), 0, 1))
-    return _signed(b.select("session_id", "line_no", "at", "gone_at", F.explode(both).alias("d")))
+    return d.groupBy(*LINE).agg(F.collect_set("use").alias("uses"), F.collect_set("call").alias("calls"))
 
 
-def _signed(d: DataFrame) -> DataFrame:
-    """Arrival and, for what was taken out, the opposite delta at that time. live: counts that nothing takes back."""
-    d = d.filter("d.ref_id is not null").select(
-        "session_id", "line_no", "d.*", "at", "gone_at"
-    )
-    change = lambda sign, at: F.struct(
-        (F.col("refs") * sign).alias("refs"), (F.col("exists") * sign).alias("exists"), at.alias("changed_at")
-    )
-    both = F.when(F.col("gone_at").isNull(), F.array(change(1, F.col("at")))).otherwise(
-        F.array(change(1, F.col("at")), change(-1, F.col("gone_at")))
+def merge_tools(d: DataFrame) -> DataFrame:
+    union = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+    return d.groupBy(*LINE).agg(union("uses"), union("calls"))
+
+
+def full_lines(records: DataFrame, tools: DataFrame, gone: DataFrame) -> DataFrame:
+    """Lines with their tool blocks, and whether they were taken out (is_gone)."""
+    d = records.select(*LINE, "at", "x.uuid", "x.parent", "x.covered_session", "x.covered").join(tools, LINE, "left")
+    return d.join(gone.withColumn("is_gone", F.lit(True)), ["session_id", "uuid"], "left").withColumn("is_gone", F.coalesce("is_gone", F.lit(False)))
+
+
+def contributions(lines: DataFrame) -> DataFrame:
+    """What each line adds to keys: ref_kind ('self' for existence), domain, target_session, ref_id, refs, exists, at."""
+    def row(kind: str, domain: str, session: Column, ref: Column, is_ref: int) -> Column:
+        return F.struct(
+            F.lit(kind).alias("ref_kind"), F.lit(domain).alias("domain"), session.alias("target_session"), ref.alias("ref_id"), F.lit(is_ref).cast("long").alias("refs"), F.lit(1 - is_ref).cast("long").alias("exists")
+        )
+
+    each = lambda c, f: F.transform(F.coalesce(c, F.array().cast("array<string>")), f)
+    own = F.col("session_id")
+    covered_in = F.coalesce("covered_session", F.lit(""))
+    rows = F.concat(
+        F.array(row("parent", "uuid", own, F.col("parent"), 1), row("self", "uuid", own, F.col("uuid"), 0)),
+        each("uses", lambda u: row("tool", "tool", own, u, 1)), each("calls", lambda u: row("self", "tool", own, u, 0)),
+        F.transform(F.array_distinct(each("covered", lambda u: norm_id(u))), lambda u: row("covered", "uuid", covered_in, u, 1)),
     )
-    return d.select(
-        "ref_kind", "domain", "target_session", "ref_id", F.col("session_id").alias("from_session"), "line_no", "at",
-        F.col("gone_at").isNull().alias("live"), F.explode(both).alias("c"),
-    ).select("*", "c.*").drop("c")
+    return lines.select(*LINE, "at", "is_gone", F.explode(rows).alias("d")).filter("d.ref_id is not null").select("session_id", "line_no", "at", "is_gone", "d.*")
 
 
-def count_state(deltas: DataFrame) -> DataFrame:
-    """State per key: signed counts, when it first existed and when it was first referred to (of what still stands)."""
-    return deltas.groupBy("domain", F.col("target_session").alias("session_id"), "ref_id").agg(
-        F.sum("refs").alias("refs"), F.sum("exists").alias("exists"),
-        F.min(F.when(F.col("live") & (F.col("exists") > 0), F.col("at"))).alias("first_exists"),
-        F.min(F.when(F.col("live") & (F.col("refs") > 0), F.col("at"))).alias("first_ref"),
+def deltas(contributed: DataFrame) -> DataFrame:
+    """Signed deltas: each contribution as it arrived, and the opposite one of what was taken out."""
+    signs = F.when(F.col("is_gone"), F.array(F.lit(1), F.lit(-1))).otherwise(F.array(F.lit(1)))
+    return contributed.select("domain", "target_session", "ref_id", "at", "refs", "exists", F.explode(signs).alias("sign")).select(
+        "domain", F.col("target_session").alias("session_id"), "ref_id", "at", (F.col("refs") * F.col("sign")).alias("refs"), (F.col("exists") * F.col("sign")).alias("exists")
     )
 
 
+def count_state(d: DataFrame) -> DataFrame:
+    """The sums of deltas (or of states) per key and arrival; what cancels out is gone."""
+    return d.groupBy(*KEY, "at").agg(F.sum("refs").alias("refs"), F.sum("exists").alias("exists")).filter("refs <> 0 or exists <> 0")
+
+
 def fold(state: DataFrame, change: DataFrame) -> DataFrame:
-    """A state with the state of further deltas folded in."""
-    return state.unionByName(change).groupBy(*KEY).agg(
-        F.sum("refs").alias("refs"), F.sum("exists").alias("exists"), F.min("first_exists").alias("first_exists"), F.min("first_ref").alias("first_ref")
+    """A state with further deltas (or a state of them) folded in."""
+    return count_state(state.unionByName(change))
+
+
+def key_state(state: DataFrame) -> DataFrame:
+    """Per key: counts, and the first arrival of what exists and of what refers to it."""
+    return state.groupBy(*KEY).agg(
+        F.sum("refs").alias("refs"), F.sum("exists").alias("exists"),
+        F.min(F.when(F.col("exists") > 0, F.col("at"))).alias("first_exists"), F.min(F.when(F.col("refs") > 0, F.col("at"))).alias("first_ref"),
     )
 
 
 def orphan_keys(state: DataFrame) -> DataFrame:
     """Keys that are referred to and do not exist, or did not yet exist when first referred to."""
-    return state.filter("refs > 0 and (exists <= 0 or first_exists > first_ref)")
+    return key_state(state).filter("refs > 0 and (exists <= 0 or first_exists > first_ref)")
 
 
-def orphan_references(deltas: DataFrame, state: DataFrame) -> DataFrame:
+def orphan_references(contributed: DataFrame, state: DataFrame) -> DataFrame:
     """The standing references whose key is an orphan, or came later than the reference."""
     keys = orphan_keys(state).select("domain", F.col("session_id").alias("target_session"), "ref_id", (F.col("exists") > 0).alias("is_there"), "first_exists")
-    refs = deltas.filter("live and refs > 0")
     return (
-        refs.join(keys, ["domain", "target_session", "ref_id"])
-        .filter("not is_there or first_exists > at")
-        .select("ref_kind", F.col("from_session").alias("session_id"), "line_no", "ref_id", "at")
-        .distinct()
+        contributed.filter("not is_gone and refs > 0").join(keys, ["domain", "target_session", "ref_id"])
+        .filter("not is_there or first_exists > at").select("ref_kind", "session_id", "line_no", "ref_id", "at").distinct()
     )
 
 
 def find_orphans(records: DataFrame, blocks: DataFrame, removed: DataFrame) -> DataFrame:
     """Orphan references of records and tool blocks: ref_kind, session_id, line_no (of the referrer), ref_id, at."""
-    arrived = arrivals(records, removed)
-    deltas = record_deltas(arrived).unionByName(tool_deltas(blocks, arrived))
-    return orphan_references(deltas, count_state(deltas))
+    c = contributions(full_lines(record_lines(records), tool_lines(blocks), removals(removed)))
+    return orphan_references(c, count_state(deltas(c)))
 
 
 def report(orphans: DataFrame, period: str = "month") -> DataFrame:
