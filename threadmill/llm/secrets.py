@@ -37,7 +37,7 @@ from ..session import cut_lineage
 #: A literal with more owners than this is a placeholder; characters by which a literal is known, least and most.
 MAX_OWNERS, LEAST, KEYED = 5, 6, 1024
 #: Bits of a bitmap at most (as a power of two: 16 MB each), bits per literal, characters of a text looked at together.
-BITS, PER_LITERAL, CHUNK = 27, 16, 400_000
+BITS, PER_LITERAL, CHUNK = 27, 32, 400_000
 
 #: Parts of names that hold credentials, parts that say a name doesn't, values that stand in for one (fixed values).
 NAME = r"pass(?:word|wd|phrase|code)?|passwd|pwd|pw|secret|token|tok|creds?|credentials?|auth(?:orization|_token)?|api[-_. ]?key|key|x-access|login"
@@ -185,7 +185,7 @@ def candidates(blocks: DataFrame) -> DataFrame:
 
 def confirmed(found: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     """literal, n_owners: the literals of few owners, with the passwords they encode."""
-    both = found.select("literal", "session_id").unionByName(found.filter("plain <> ''").select(F.col("plain").alias("literal"), "session_id"))
+    both = found.select("session_id", F.explode(F.array("literal", "plain")).alias("literal")).filter("literal <> ''")
     return both.distinct().groupBy("literal").agg(F.count("*").alias("n_owners")).filter((F.col("n_owners") <= max_owners) & (F.char_length("literal") >= LEAST))
 
 
@@ -216,9 +216,10 @@ class Hashes:
         return h ^ h >> np.uint64(27)
 
 
-def probes(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two places of a hash in a bitmap of 2 ** bits."""
-    return tuple(((h * np.uint64(k)) >> np.uint64(64 - bits)).astype(np.int64) for k in (0x94D049BB133111EB, 0xD6E8FEB86659FD93))
+def probes(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The four places of a hash in a bitmap of 2 ** bits."""
+    step = h * np.uint64(0xD6E8FEB86659FD93) | np.uint64(1)
+    return [((h * np.uint64(0x94D049BB133111EB) + np.uint64(k) * step) >> np.uint64(64 - bits)).astype(np.int64) for k in range(4)]
 
 
 class Bitmaps:
@@ -228,8 +229,10 @@ class Bitmaps:
         self.heads, self.wholes, self.bits, self.sizes = np.frombuffer(heads, np.uint8), np.frombuffer(wholes, np.uint8), bits, sizes
 
     def has(self, which: np.ndarray, h: np.ndarray) -> np.ndarray:
-        a, b = probes(h, self.bits)
-        return ((which[a >> 3] >> (a & 7).astype(np.uint8)) & (which[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
+        out = np.ones(len(h), np.uint8)
+        for at in probes(h, self.bits):
+            out &= which[at >> 3] >> (at & 7).astype(np.uint8)
+        return out.astype(bool)
 
 
 def _in_bitmap(literals: DataFrame, bits: int) -> tuple[bytes, bytes]:
