@@ -1,23 +1,25 @@
 """Personal information in free text: bootstrapped contextual extraction, and typed placeholders.
 
-One pass takes candidate mentions with their contexts: numbers by shape (digits masked), and pairs of words of which
-one is rare in the corpus (a surname), with the word before, the word after and the ending as patterns. Seeds are
-words that introduce an identity or telephone number, and titles before a name. Then scores go back and forth between
-instances (shapes, first names) and patterns over their counted edges: patterns that seeds stand in gain, instances in
-such patterns gain, and so on, until unseen shapes and names are scored; all counts cover the whole corpus. A mention
-counts if its instance scores, or if all its patterns do. Email and street addresses have a form of their own.
+One pass takes candidate mentions with their contexts: emails by the way they write the signs in them, addresses by
+their kind of street, numbers by shape (digits masked), and pairs of words of which one is rare in the corpus (a
+surname), with the words before and after and the ending as patterns. Seeds are entities whose form alone says what
+they are: emails with plain signs, addresses with a street word in full, numbers with an international prefix or in the
+form of a public identity number, titles before a name; words of sentences are seeds of what is no name. Then scores go back and forth between instances (forms, shapes,
+first names) and patterns over their counted edges: patterns that seeds stand in gain, instances in such patterns gain,
+and so on until the scores converge, so that unseen forms, shapes and names are scored; all counts cover the whole
+corpus. A mention counts if its instance scores, or if its patterns do.
 
 The words that are common in the corpus are broadcast: a word is common if it is in more than COMMON of the distinct
 texts, so there are at most (words per text) / COMMON of them, whatever the size of the corpus. Names with a common word
 teach nothing, but count where what was learned from the others says so: beside a first name that scores, and beside a
-title or before a comma if the word follows such a first name somewhere. Addresses count by their form; one that reads
-as a phrase (a common word in small letters) counts if the word before it mostly stands before addresses.
+title or before a comma if the word follows such a first name somewhere. An address that reads as a phrase (a common
+word in small letters) counts if the pattern before it scores.
 
 All counts are over distinct texts, so copies of a text change nothing.
 
 Defined results: null and empty texts have no mentions; repeated rows give their mentions once; full-width forms count
 as their plain forms and zero-width characters are passed over; names within an email or street address don't count;
-texts without any seed in the corpus yield forms of their own only.
+a corpus without any seed has no mentions.
 """
 
 from __future__ import annotations
@@ -26,19 +28,27 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
 
-#: Share of documents beyond which a word is common; rounds of bootstrapping; least score of an instance.
-COMMON, ROUNDS, LEAST = 0.0012, 4, 0.5
+#: Share of documents beyond which a word is common; change below which scores have converged, and rounds at most;
+#: least score of an instance.
+COMMON, CONVERGED, ROUNDS, LEAST = 0.0012, 0.01, 30, 0.5
 
-#: Titles before a name, and words before a number that say what it is (fixed values).
+#: Titles before a name, and forms that say by themselves what an entity is: plain or bracketed signs of an email, street
+#: words in full, international prefixes, and shapes of public identity numbers; words that announce a number (fixed values).
 TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "herr", "frau", "don", "doña", "señor", "señora", "sr", "sra", "mme", "mlle", "monsieur", "madame", "pan", "pani", "sir"}
-SEEDS = {
-    "phone": {"tel", "tél", "tfno", "call", "phone", "mobile", "telefon", "teléfono", "téléphone", "fax", "llame", "appelez", "zadzwoń", "電話", "telefonnummer", "rufen"},
-    "id_number": {"passport", "identity number", "pasaporte", "passeport", "pass", "reisepass", "ausweisnummer", "identidad", "identité", "paszport", "dowodu", "pesel", "nino", "dni",
-                  "旅券", "身分証番号", "保険番号", "insured under", "asegurado con el n.º", "assuré sous", "versichert unter", "social security", "insurance number"},
+SEED_EMAILS = ("@ .", "(at) (dot)", "[at] (dot)", "{at} (dot)")
+SEED_STREETS = (
+    "street", "road", "lane", "avenue", "boulevard", "close", "way", "drive", "court", "place", "square", "terrace", "crescent", "gardens", "straße", "strasse", "gasse", "weg", "allee", "platz", "ring", "ufer",
+    "rue", "chemin", "allée", "impasse", "quai", "calle", "avenida", "plaza", "paseo", "ulica", "ul.", "aleja", "osiedle", "plac", "丁目",
+)
+SEED_PHONES = r"^\(?\+|^009{2} |^009{2}-9{2,3}-9"
+SEED_IDS = ("999-99-9999", "AA 99 99 99 A", "AA999999A", "99999999-A", "A9999999A", "9 99 99 99 999 999 99", "99999999999", "AAA999999", "A99A99A99", "AA9999999", "9999-9999-9999")
+SEED_WORDS = {
+    "phone": ("tel", "tél", "tfno", "call", "phone", "mobile", "telefon", "teléfono", "téléphone", "fax", "電話"),
+    "id_number": ("passport", "pasaporte", "passeport", "reisepass", "paszport", "旅券", "ausweisnummer", "pesel", "nino", "dni"),
 }
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "street_address": "[STREET_ADDRESS]", "name": "[NAME]"}
 
@@ -51,25 +61,33 @@ _EMAIL = re.compile(rf"(?i)(?<![a-z0-9._%+-])[a-z0-9](?:[a-z0-9._%+-]*[a-z0-9_])
 _URL = re.compile(r"(?i)\b(?:https?|ftp)://\S+|(?<![\w.])@\w+|\b[\w.-]+@v\d[\d.]*")
 _TYPES = r"street|str|st|road|rd|lane|ln|avenue|ave|boulevard|blvd|close|way|drive|court|place|square|terrace|crescent|gardens"
 _STREETS = [re.compile(p) for p in (
-    rf"(?i)\b(?:flat \d+[a-z]?,? )?\d{{1,4}}[a-z]? (?P<w>[^\W\d_][\w'’-]+)(?: [^\W\d_][\w'’-]+)? (?:{_TYPES})\b\.?(?:,? (?:apt|flat|unit|suite)\.? ?\d+[a-z]?)?",
-    r"(?i)(?<!\w)(?P<w>[^\W\d_][\w'’]{2,}-?(?:straße|strasse|str\.|gasse|weg|allee|platz|ring|ufer)|[^\W\d_]\w+(?:-| )allee) \d{1,4} ?[a-z]?\b",
-    r"(?i)\b\d{1,4}(?: bis| ter| quater)?,? (?:rue|avenue|av\.|bd|boulevard|place|chemin|allée|impasse|quai)(?: de la| de| du| des| d['’])? ?(?P<w>[^\W\d_][\w'’-]+)",
-    r"(?i)(?<!\w)(?:calle|c/|avda\.?|avenida|plaza|pza\.?|paseo)\s*(?:de )?(?P<w>[^\W\d_][\w'’-]+),? (?:n\.º ?)?\d{1,4}",
-    r"(?i)(?<!\w)(?:ul\.|ulica|aleja|al\.|os\.|osiedle|plac|pl\.)\s*(?P<w>[^\W\d_][\w'’-]+) \d{1,4}[a-z]?(?:/\d+)?",
-    r"(?:〒 ?\d{3}-\d{4} ?)?[一-鿿]{1,4}[市区町村郡][一-鿿]{0,6}?\d{1,3}(?:丁目\d{1,3}番地?(?:\d{1,3}号?)?|-\d{1,3}-\d{1,3})",
+    rf"(?i)\b(?:flat \d+[a-z]?,? )?\d{{1,4}}[a-z]? (?P<w>[^\W\d_][\w'’-]+)(?: [^\W\d_][\w'’-]+)? (?P<t>{_TYPES})\b\.?(?:,? (?:apt|flat|unit|suite)\.? ?\d+[a-z]?)?",
+    r"(?i)(?<!\w)(?P<w>[^\W\d_][\w'’]{2,}-?(?P<t>straße|strasse|str\.|gasse|weg|allee|platz|ring|ufer)|[^\W\d_]\w+(?:-| )(?P<t2>allee)) \d{1,4} ?[a-z]?\b",
+    r"(?i)\b\d{1,4}(?: bis| ter| quater)?,? (?P<t>rue|avenue|av\.|bd|boulevard|place|chemin|allée|impasse|quai)(?: de la| de| du| des| d['’])? ?(?P<w>[^\W\d_][\w'’-]+)",
+    r"(?i)(?<!\w)(?P<t>calle|c/|avda\.?|avenida|plaza|pza\.?|paseo)\s*(?:de )?(?P<w>[^\W\d_][\w'’-]+),? (?:n\.º ?)?\d{1,4}",
+    r"(?i)(?<!\w)(?P<t>ul\.|ulica|aleja|al\.|os\.|osiedle|plac|pl\.)\s*(?P<w>[^\W\d_][\w'’-]+) \d{1,4}[a-z]?(?:/\d+)?",
+    r"(?:〒 ?\d{3}-\d{4} ?)?[一-鿿]{1,4}[市区町村郡][一-鿿]{0,6}?\d{1,3}(?:(?P<t>丁目)\d{1,3}番地?(?:\d{1,3}号?)?|(?P<t2>-)\d{1,3}-\d{1,3})",
 )]
+#: What a text must hold for the pattern of the same place to be tried.
+_STREET_SIGNS = (
+    tuple(f" {t}" for t in _TYPES.split("|")), ("straße", "strasse", "str.", "gasse", "weg", "allee", "platz", "ring", "ufer"), ("rue", "avenue", "av.", "bd", "boulevard", "place", "chemin", "allée", "impasse", "quai"),
+    ("calle", "c/", "avda", "avenida", "plaza", "pza", "paseo"), ("ul.", "ulica", "aleja", "al.", "os.", "osiedle", "plac", "pl."), tuple("市区町村郡"),
+)
+_HAS_DIGIT, _SEPARATOR = re.compile(r"\d"), re.compile(rf"(?i){_AT}")
 _NUMBER = re.compile(r"(?<![A-Za-z0-9_#§$€£〒])(?<![\d][.,:/-])(?:\(?\+\d|\(\d|(?:[A-Z]{1,3} ?)?\d)(?:[ ./()-]{0,2}(?:\d|[A-Z]{1,3}(?![A-Za-z'’])))*(?![A-Za-z0-9_@]|[.,:/-]\d)")
 _L = r"[^\W\d_\u3040-\u30ff\u3400-\u9fff々]"  # letters of scripts that part words
 _WORD = re.compile(rf"(?<![A-Za-z0-9_@]){_L}+(?:['’]{_L}+)*(?:-{_L}+)*")
 _LATIN = re.compile(r"[^\W\d_]*[a-zÀ-ɏ][^\W\d_]*")
 _KANJI = re.compile(r"([一-鿿々]{1,3} [一-鿿々]{2,3}?|[一-鿿々]{3,6}?)(氏|さん|様|(?=[^一-鿿々]))")
-_GAP = re.compile(r"\.? +")
+_GAP, _NEXT = re.compile(r"\.? +"), re.compile(r"[ ,]*([^\W\d_]{1,3}(?=[^\W\d_]*[ぁ-ヿ一-鿿])|[^\W\d_]+)")
 
 MENTIONS = "doc_id string, slot string, form string, l string, r string, s string, kind string, w string, start int, stop int"
 
 
 def fold(text: str) -> tuple[str, list[int] | None]:
     """text in plain forms, and the place in text of each of its characters (None: the same places)."""
+    if text.isascii():
+        return text, None
     text = text.translate(_WIDE)
     if not _HIDDEN.search(text):
         return text, None
@@ -94,6 +112,12 @@ def _before(text: str, at: int) -> list[str]:
     return [w.replace("_", ".") for w in words[-4:]]
 
 
+def _after(text: str, at: int) -> str:
+    """The word right after a place, if nothing but blanks and commas lies between."""
+    m = _NEXT.match(text, at)
+    return m[1].casefold() if m else ""
+
+
 def _titled(word: str) -> bool:
     return word[0].isupper() and not word[1:].isupper()
 
@@ -102,67 +126,73 @@ def mentions_in(text: str, common: set[str], proper: set[str] = frozenset()) ->
     """(slot, form, l, r, s, kind, w, start, stop) of a text's mentions; kind where the form alone says it.
 
     common are the common words, proper those of them that are mostly written with a capital. The kind of a name with a
-    common word is 'late', of one with a common first word 'common'.
+    common word is 'late', of one with a common first word 'common', or 'plain' if that is mostly written small.
     """
     plain, places = fold(text)
     spot = (lambda a, b: (a, b)) if places is None else (lambda a, b: (places[a], places[b - 1] + 1))
-    body = list(plain)
+    now, low = plain, plain.casefold()
+    digits_in = _HAS_DIGIT.search(plain) is not None
 
     def hide(a: int, b: int) -> None:
-        body[a:b] = "\x00" * (b - a)
-
-    for m in _EMAIL.finditer(plain):
-        yield "form", "email", "", "", None, "email", None, *spot(*m.span())
-        hide(*m.span())
-    for m in _URL.finditer(plain):
-        hide(*m.span())
-    now = "".join(body)
-    for p in _STREETS:
-        for m in p.finditer(now):
-            w = m.groupdict().get("w")
-            word = w.casefold() if w else None
-            before = " ".join(_before(now, m.start())[-1:])
-            if w and word in common and word not in proper and not _titled(w):
-                yield "phrase", "street_address", before, "", None, "street_address", None, *spot(*m.span())
-                continue
-            yield "form", "street_address", before, "", None, "street_address", None, *spot(*m.span())
+        nonlocal now
+        now = f"{now[:a]}{chr(0) * (b - a)}{now[b:]}"
+
+    if "@" in low or "at)" in low or "at]" in low or "at}" in low:
+        for m in _EMAIL.finditer(plain):
+            sign = _SEPARATOR.search(m[0])
+            form = f"{sign[0].casefold() if '@' in sign[0] else sign[0].casefold().strip()} {'.' if '.' in m[0][sign.end():] else '(dot)'}"
+            yield "mail", form, " ".join(_before(plain, m.start())[-1:]), _after(plain, m.end()), None, "email", None, *spot(*m.span())
             hide(*m.span())
-    now = "".join(body)
-    for m in _NUMBER.finditer(now):
-        raw = m[0].rstrip(" ./(-")
-        if raw.count("(") < raw.count(")"):
-            raw = raw.rstrip(")")
-        start = m.start()
-        if raw.startswith("(") and ")" not in raw:
-            raw, start = raw[1:], start + 1
-        digits = sum(c.isdigit() for c in raw)
-        if not 6 <= digits <= 16:
-            continue
-        words = _before(now, start)
-        yield "num", shape(raw), " ".join(words[-1:]), " ".join(words[-2:]) if len(words) > 1 else "", " ".join(words[-4:]), None, None, *spot(start, start + len(raw))
+    if "@" in low or "://" in low:
+        for m in _URL.finditer(plain):
+            hide(*m.span())
+    if digits_in:
+        for p, signs in zip(_STREETS, _STREET_SIGNS):
+            if not any(x in low for x in signs):
+                continue
+            for m in p.finditer(now):
+                g = m.groupdict()
+                w, t = g.get("w"), (g.get("t") or g.get("t2") or "").casefold()
+                word = w.casefold() if w else None
+                phrase = bool(w) and word in common and word not in proper and not _titled(w)
+                yield "phrase" if phrase else "street", f"phrase {t}" if phrase else t, " ".join(_before(now, m.start())[-1:]), _after(now, m.end()), None, "street_address", None, *spot(*m.span())
+                if not phrase:
+                    hide(*m.span())
+        for m in _NUMBER.finditer(now):
+            raw = m[0].rstrip(" ./(-")
+            if raw.count("(") < raw.count(")"):
+                raw = raw.rstrip(")")
+            start = m.start()
+            if raw.startswith("(") and ")" not in raw:
+                raw, start = raw[1:], start + 1
+            digits = sum(c.isdigit() for c in raw)
+            if not 6 <= digits <= 16:
+                continue
+            words = _before(now, start)
+            yield "num", shape(raw), " ".join(words[-1:]), " ".join(words[-2:]) if len(words) > 1 else "", None, None, None, *spot(start, start + len(raw))
     words = [(m.start(), m.end(), m[0].casefold()) for m in _WORD.finditer(now)]
     n = len(words)
     for i in range(n):
         a, b, w = words[i]
         late = w in common
-        if w in TITLES or late and w not in proper and not _titled(now[a:b]) or len(w) < 4 or not _LATIN.fullmatch(w.replace("-", "").replace("'", "").replace("’", "")):
+        if late and w not in proper and not _titled(now[a:b]) or len(w) < 4 or w in TITLES or not _LATIN.fullmatch(w.replace("-", "").replace("'", "").replace("’", "")):
             continue
         after = lambda k: words[k][2] if k < n and re.fullmatch(r"[ ,:]*", now[words[k - 1][1] : words[k][0]]) else "|"
         back = lambda k: words[k][2] if k >= 0 and re.fullmatch(r"[ ,:]*", now[words[k][1] : words[k + 1][0]]) else "|"
         ending = w[-4:]
         h, middle = i - 1, False
         if h >= 0 and _GAP.fullmatch(now[words[h][1] : a]):
-            if len(words[h][2]) == 1 and now[words[h][1]] == "." and h >= 1 and len(words[h - 1][2]) > 2 and now[words[h - 1][0]].isupper() and _GAP.fullmatch(now[words[h - 1][1] : words[h][0]]) and "." not in now[words[h - 1][1] : words[h][0]]:
+            if len(words[h][2]) == 1 and now[words[h][1]] == "." and h >= 1 and len(words[h - 1][2]) > 2 and now[words[h - 1][0]].isupper() and _GAP.fullmatch(now[words[h - 1][1] : words[h][0]]) and "." not in now[words[h - 1][1] : words[h][0]] and not (words[h - 1][2] in common and words[h - 1][2] not in proper):
                 h, middle = h - 1, True  # a middle initial
             head = words[h][2]
             dot = "." in now[words[h][1] : words[h + 1][0]]
             cased = now[a].isupper() or not now[words[h][0]].isupper()  # a name's parts are written alike
             plain_head = late and head in common and head not in proper and head not in TITLES  # a word of the sentence
             if cased and not plain_head and (dot if len(head) == 1 else head in TITLES or not dot):
-                yield "name", "<initial>" if len(head) == 1 else head, "<middle>" if middle else back(h - 1), after(i + 1), ending, "late" if late else "common" if head in common else None, w, *spot(words[h][0], b)
+                yield "name", "<initial>" if len(head) == 1 else head, "<middle>" if middle else back(h - 1), after(i + 1), ending, "late" if late else None if head not in common else "common" if head in proper or head in TITLES or len(head) == 1 else "plain", w, *spot(words[h][0], b)
         if i + 1 < n and re.fullmatch(r", ", now[b : words[i + 1][0]]) and words[i + 1][2] not in TITLES and len(words[i + 1][2]) > 1:
             yield "name", words[i + 1][2], back(i - 1), after(i + 2), ending, "late" if late else None, w + ",", *spot(a, words[i + 1][1])
-    for m in _KANJI.finditer(now):
+    for m in () if now.isascii() else _KANJI.finditer(now):
         run = m[1].replace(" ", "")
         title, follows = m[2], now[m.end(1) : m.end(1) + 1]
         for k in (2, 3):
@@ -202,8 +232,8 @@ def mentions(texts: DataFrame, common: list[str], proper: list[str]) -> DataFram
     return texts.mapInArrow(run, MENTIONS)
 
 
-def bootstrap(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """Scores of forms (kind, form, score) and patterns (kind, part, pattern, p).
+def bootstrap(edges: DataFrame, rounds: int = ROUNDS, eps: float = CONVERGED) -> tuple[DataFrame, DataFrame]:
+    """Scores of forms (kind, form, score) and patterns (kind, part, pattern, p), in rounds until no form's changes by eps.
 
     edges: kind, form, part, pattern, n, and form_seed and pattern_seed, the scores of seeds (null for others), which
     stay. A pattern's score is the mean score of the forms in it, held back by one; a form's score joins (noisy-or) the
@@ -211,38 +241,44 @@ def bootstrap(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFr
     """
     forms = edges.groupBy("kind", "form").agg(F.coalesce(F.max("form_seed"), F.lit(0.0)).alias("score"))
     patterns = None
-    for _ in range(rounds):
+    for i in range(rounds):
         patterns = edges.join(forms, ["kind", "form"]).groupBy("kind", "part", "pattern").agg(
             F.coalesce(F.max("pattern_seed"), F.sum(F.col("n") * F.col("score")) / (F.sum("n") + 1)).alias("p")
         )
-        forms = cut_lineage(
+        new = (
             edges.join(patterns, ["kind", "part", "pattern"]).groupBy("kind", "form", "part")
             .agg((F.sum(F.col("n") * F.col("p")) / F.sum("n")).alias("m"), F.max("form_seed").alias("form_seed"))
             .groupBy("kind", "form").agg(F.coalesce(F.max("form_seed"), 1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("m"), F.lit(1e-6)))))).alias("score"))
         )
-    return forms, patterns
+        if i % 2 == 0:  # two rounds for each look at how far scores moved
+            forms = new
+            continue
+        new = cut_lineage(new.join(forms.withColumnRenamed("score", "was"), ["kind", "form"], "left"))
+        moved = new.agg(F.max(F.abs(F.col("score") - F.coalesce("was", F.lit(0.0))))).first()[0]
+        forms = new.drop("was")
+        if moved is None or moved < eps:
+            break
+    return forms, cut_lineage(patterns)
+
+
+def seed_of(kind: str) -> Column:
+    """The score of a form that is a seed by itself, else null."""
+    form = F.col("form")
+    plain = F.concat(F.regexp_replace(F.regexp_extract("form", "^0{1,2}", 0), "0", "9"), F.regexp_replace("form", "^0{1,2}", ""))
+    is_seed = {"email": form.isin(*SEED_EMAILS), "street_address": form.isin(*SEED_STREETS), "phone": form.rlike(SEED_PHONES), "id_number": plain.isin(*SEED_IDS)}
+    return F.when(is_seed[kind], 1.0)
 
 
 def _edges(m: DataFrame) -> DataFrame:
     """Counted edges between forms and their patterns, with seeds."""
-    said = F.lit(None).cast("double")
-    last, phrase = [], []
-    num = m.filter("slot = 'num' and l <> ''")
     out = None
-    for kind, seeds in SEEDS.items():
-        last, phrase = sorted(x for x in seeds if " " not in x), sorted(x for x in seeds if " " in x)
-        seed = F.when(F.col("l").isin(last), 1.0)
-        for x in phrase:
-            seed = seed.when(F.col("s").endswith(x), 1.0)
-        own = F.when(F.col("form").rlike(r"^\(?\+|^009{2} |^009{2}-9{2,3}-9"), 1.0) if kind == "phone" else said  # an international prefix
-        e = num.select(
-            F.lit(kind).alias("kind"), "form", own.alias("form_seed"), seed.alias("pattern_seed"),
-            F.explode(F.array(F.struct(F.lit("l").alias("part"), F.when(seed.isNotNull(), "<seed>").otherwise(F.col("l")).alias("pattern")),
-                              F.struct(F.lit("r").alias("part"), F.when(seed.isNotNull(), "<seed>").otherwise(F.col("r")).alias("pattern")))).alias("e"),
-        )
+    for kind, slots in (("email", ("mail",)), ("street_address", ("street", "phrase")), ("phone", ("num",)), ("id_number", ("num",))):
+        e = m.filter(F.col("slot").isin(*slots)).select(
+            F.lit(kind).alias("kind"), "form", seed_of(kind).alias("form_seed"), F.explode(F.array(*(F.struct(F.lit(p).alias("part"), F.col(p).alias("pattern")) for p in "lr"))).alias("e"),
+        ).withColumn("pattern_seed", F.when((F.col("e.part") == "l") & F.col("e.pattern").isin(*SEED_WORDS.get(kind, ("",))), 1.0))
         out = e if out is None else out.unionByName(e)
     name = m.filter("slot = 'name' and not kind <=> 'late'").select(
-        F.lit("name").alias("kind"), "form", F.when(F.col("form").isin(sorted(TITLES)), 1.0).when(F.col("form") == "<initial>", 0.6).alias("form_seed"), F.lit(None).cast("double").alias("pattern_seed"),
+        F.lit("name").alias("kind"), "form", F.when(F.col("form").isin(sorted(TITLES)), 1.0).when(F.col("form") == "<initial>", 0.6).when(F.col("kind") == "plain", 0.0).alias("form_seed"), F.lit(None).cast("double").alias("pattern_seed"),
         F.explode(F.array(*(F.struct(F.lit(p).alias("part"), F.col(p).alias("pattern")) for p in "lrs"))).alias("e"),
     )
     name = name.withColumn("pattern_seed", F.when(F.col("e.pattern").isin("<title>", "<middle>"), 1.0))
@@ -258,20 +294,26 @@ def find(docs: DataFrame) -> DataFrame:
     texts = cut_lineage(docs.select(F.sha2("text", 256).alias("doc_id"), "text").dropDuplicates(["doc_id"]))
     holders = docs.select(F.col("doc_id").alias("holder"), F.sha2("text", 256).alias("doc_id")).distinct()
     m = cut_lineage(mentions(texts, *common_words(texts)).distinct())
-    own = m.filter("slot = 'form'").select("doc_id", F.col("kind").alias("pii_kind"), "start", "stop")
-    # phrases that look like an address: the word before has to stand before addresses mostly
-    at = m.filter("kind = 'street_address' and l <> ''").groupBy("l").agg((F.count_if(F.col("slot") == "form") / (F.count("*") + 1)).alias("p")).filter(F.col("p") >= LEAST)
-    own = own.unionByName(m.filter("slot = 'phrase'").join(at, "l").select("doc_id", F.col("kind").alias("pii_kind"), "start", "stop"))
     forms, patterns = bootstrap(cut_lineage(_edges(m)))
 
-    # numbers without any context are scored by their shape alone; international prefixes speak for themselves
-    best = forms.filter(F.col("kind") != "name").groupBy("form").agg(F.max(F.struct("score", "kind")).alias("x")).filter(F.col("x.score") >= LEAST)
+    # emails and addresses: the form scores, or a pattern beside it does; a phrase needs the pattern before it
+    at = lambda p: patterns.filter(F.col("kind").isin("email", "street_address") & (F.col("part") == p) & (F.col("p") >= LEAST)).select("kind", F.col("pattern").alias(p), F.lit(True).alias(f"p_{p}"))
+    written = m.filter(F.col("slot").isin("mail", "street", "phrase"))
+    own_seed = F.when(F.col("kind") == "email", seed_of("email")).otherwise(seed_of("street_address"))  # also where nothing stands beside it
+    written = written.join(forms.filter("kind <> 'name'"), ["kind", "form"], "left").join(at("l"), ["kind", "l"], "left").join(at("r"), ["kind", "r"], "left")
+    counts = F.when(F.col("slot") == "phrase", F.col("p_l")).otherwise((F.coalesce(own_seed, "score", F.lit(0.0)) >= LEAST) | F.coalesce("p_l", "p_r", F.lit(False)))
+    own = written.filter(counts).select("doc_id", F.col("kind").alias("pii_kind"), "start", "stop")
+
+    # numbers count by their shape, which scored in whatever contexts it has anywhere, or is a seed
+    shapes = m.filter("slot = 'num'").select("form").distinct()
+    seeds = shapes.select(F.lit("phone").alias("kind"), "form", seed_of("phone").alias("score")).unionByName(shapes.select(F.lit("id_number").alias("kind"), "form", seed_of("id_number").alias("score"))).filter("score is not null")
+    best = forms.filter(F.col("kind").isin("phone", "id_number")).select("kind", "form", "score").unionByName(seeds)
+    best = best.groupBy("form").agg(F.max(F.struct("score", "kind")).alias("x")).filter(F.col("x.score") >= LEAST)
     other = best.select(F.col("form").alias("plain_form"), F.col("x.kind").alias("plain_kind"))
     num = m.filter("slot = 'num'").join(best, "form", "left").withColumn(
         "plain_form", F.when(F.col("x").isNull(), F.concat(F.regexp_replace(F.regexp_extract("form", "^0{1,2}", 0), "0", "9"), F.regexp_replace("form", "^0{1,2}", ""))))
     num = num.join(other, "plain_form", "left")  # a shape that never has a context counts as the one without leading zeros
-    kind = F.when(F.col("form").rlike(r"^\(?\+"), "phone").otherwise(F.coalesce("x.kind", "plain_kind"))
-    numbers = num.select("doc_id", kind.alias("pii_kind"), "start", "stop").filter("pii_kind is not null")
+    numbers = num.select("doc_id", F.coalesce("x.kind", "plain_kind").alias("pii_kind"), "start", "stop").filter("pii_kind is not null")
 
     name = m.filter("slot = 'name'")
     scored = forms.filter("kind = 'name'").select("form", "score")
