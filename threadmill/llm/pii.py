@@ -28,13 +28,13 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..session import cut_lineage
 
-#: Share of documents beyond which a word is common; change below which scores have converged, and rounds at most;
+#: Share of documents beyond which a word is common; rise of all scores below which they have converged, rounds at most;
 #: least score of an instance.
-COMMON, CONVERGED, ROUNDS, LEAST = 0.0012, 0.01, 30, 0.5
+COMMON, CONVERGED, ROUNDS, LEAST = 0.0012, 0.002, 30, 0.5
 
 #: Titles before a name, and forms that say by themselves what an entity is: plain or bracketed signs of an email, street
 #: words in full, international prefixes, and shapes of public identity numbers; words that announce a number (fixed values).
@@ -53,6 +53,7 @@ SEED_WORDS = {
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "street_address": "[STREET_ADDRESS]", "name": "[NAME]"}
 
 _WIDE = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)} | dict.fromkeys((0xA0, 0x2002, 0x2003, 0x2009, 0x202F, 0x3000), 32) | dict.fromkeys((0x2010, 0x2011, 0x2212), 45)
+_IS_WIDE = re.compile(f"[{re.escape(''.join(map(chr, _WIDE)))}]")
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
 
 _AT = r"\s?(?:@|\(at\)|\[at\]|\{at\})\s?"
@@ -88,7 +89,8 @@ def fold(text: str) -> tuple[str, list[int] | None]:
     """text in plain forms, and the place in text of each of its characters (None: the same places)."""
     if text.isascii():
         return text, None
-    text = text.translate(_WIDE)
+    if _IS_WIDE.search(text):
+        text = text.translate(_WIDE)
     if not _HIDDEN.search(text):
         return text, None
     places = [i for i, c in enumerate(text) if not _HIDDEN.match(c)]
@@ -233,32 +235,36 @@ def mentions(texts: DataFrame, common: list[str], proper: list[str]) -> DataFram
 
 
 def bootstrap(edges: DataFrame, rounds: int = ROUNDS, eps: float = CONVERGED) -> tuple[DataFrame, DataFrame]:
-    """Scores of forms (kind, form, score) and patterns (kind, part, pattern, p), in rounds until no form's changes by eps.
+    """Scores of forms (kind, form, score) and patterns (kind, part, pattern, p), in rounds until their sum rises by less than a share of eps.
 
     edges: kind, form, part, pattern, n, and form_seed and pattern_seed, the scores of seeds (null for others), which
     stay. A pattern's score is the mean score of the forms in it, held back by one; a form's score joins (noisy-or) the
-    mean scores of its patterns of each part.
+    mean scores of its patterns of each part. Edges lie ready in the partitions of their forms and of their patterns, so
+    a round moves partial sums only.
     """
-    forms = edges.groupBy("kind", "form").agg(F.coalesce(F.max("form_seed"), F.lit(0.0)).alias("score"))
-    patterns = None
-    for i in range(rounds):
-        patterns = edges.join(forms, ["kind", "form"]).groupBy("kind", "part", "pattern").agg(
-            F.coalesce(F.max("pattern_seed"), F.sum(F.col("n") * F.col("score")) / (F.sum("n") + 1)).alias("p")
-        )
-        new = (
-            edges.join(patterns, ["kind", "part", "pattern"]).groupBy("kind", "form", "part")
-            .agg((F.sum(F.col("n") * F.col("p")) / F.sum("n")).alias("m"), F.max("form_seed").alias("form_seed"))
-            .groupBy("kind", "form").agg(F.coalesce(F.max("form_seed"), 1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("m"), F.lit(1e-6)))))).alias("score"))
-        )
-        if i % 2 == 0:  # two rounds for each look at how far scores moved
-            forms = new
-            continue
-        new = cut_lineage(new.join(forms.withColumnRenamed("score", "was"), ["kind", "form"], "left"))
-        moved = new.agg(F.max(F.abs(F.col("score") - F.coalesce("was", F.lit(0.0))))).first()[0]
-        forms = new.drop("was")
-        if moved is None or moved < eps:
+    size = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_form, by_pattern = ["kind", "form"], ["kind", "part", "pattern"]
+    of_form = cut_lineage(edges.select(*by_pattern, "form", "n", "pattern_seed").repartition(size, *by_form))
+    of_pattern = cut_lineage(edges.select(*by_pattern, "form", "n", "form_seed").repartition(size, *by_pattern))
+    forms = edges.groupBy(*by_form).agg(F.coalesce(F.max("form_seed"), F.lit(0.0)).alias("score"))
+    sums = lambda p: (F.sum(F.when(F.col("part") == p, F.col("n") * F.col("p"))), F.sum(F.when(F.col("part") == p, F.col("n"))))
+    patterns_of = lambda forms: of_form.join(forms.withColumnRenamed("score", "s").hint("shuffle_hash"), by_form).groupBy(*by_pattern).agg(
+        F.coalesce(F.max("pattern_seed"), F.sum(F.col("n") * F.col("s")) / (F.sum("n") + 1)).alias("p")
+    )
+    total = None
+    for _ in range(rounds):
+        for _ in range(2):  # two rounds for each look at how far scores rose
+            none = F.lit(1.0)
+            for part in "lrs":
+                top, n = sums(part)
+                none = none * F.greatest(1 - F.coalesce(top / n, F.lit(0.0)), F.lit(1e-6))
+            forms = of_pattern.join(patterns_of(forms).hint("shuffle_hash"), by_pattern).groupBy(*by_form).agg(F.coalesce(F.max("form_seed"), 1 - none).alias("score"))
+        seen = Observation()
+        forms = cut_lineage(forms.observe(seen, F.sum("score").alias("total")))
+        was, total = total, seen.get["total"] or 0.0
+        if was is not None and total - was <= eps * total:  # from no scores but the seeds', scores only rise
             break
-    return forms, cut_lineage(patterns)
+    return forms, cut_lineage(patterns_of(forms))
 
 
 def seed_of(kind: str) -> Column:
@@ -271,17 +277,20 @@ def seed_of(kind: str) -> Column:
 
 def _edges(m: DataFrame) -> DataFrame:
     """Counted edges between forms and their patterns, with seeds."""
-    out = None
-    for kind, slots in (("email", ("mail",)), ("street_address", ("street", "phrase")), ("phone", ("num",)), ("id_number", ("num",))):
-        e = m.filter(F.col("slot").isin(*slots)).select(
-            F.lit(kind).alias("kind"), "form", seed_of(kind).alias("form_seed"), F.explode(F.array(*(F.struct(F.lit(p).alias("part"), F.col(p).alias("pattern")) for p in "lr"))).alias("e"),
-        ).withColumn("pattern_seed", F.when((F.col("e.part") == "l") & F.col("e.pattern").isin(*SEED_WORDS.get(kind, ("",))), 1.0))
-        out = e if out is None else out.unionByName(e)
+    part = lambda p: F.struct(F.lit(p).alias("part"), F.col(p).alias("pattern"))
+    kinds = F.when(F.col("slot") == "num", F.array(F.lit("phone"), F.lit("id_number"))).otherwise(F.array("kind"))
+    out = m.filter("slot <> 'name'").select(F.explode(kinds).alias("kind"), "form", F.array(part("l"), part("r")).alias("e")).select("kind", "form", F.explode("e").alias("e"))
+    form_seed, pattern_seed = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for kind in ("email", "street_address", "phone", "id_number"):
+        form_seed = F.when(F.col("kind") == kind, seed_of(kind)).otherwise(form_seed)
+        if kind in SEED_WORDS:
+            pattern_seed = F.when((F.col("kind") == kind) & (F.col("e.part") == "l") & F.col("e.pattern").isin(*SEED_WORDS[kind]), 1.0).otherwise(pattern_seed)
+    out = out.select("kind", "form", form_seed.alias("form_seed"), pattern_seed.alias("pattern_seed"), "e")
     name = m.filter("slot = 'name' and not kind <=> 'late'").select(
         F.lit("name").alias("kind"), "form", F.when(F.col("form").isin(sorted(TITLES)), 1.0).when(F.col("form") == "<initial>", 0.6).when(F.col("kind") == "plain", 0.0).alias("form_seed"), F.lit(None).cast("double").alias("pattern_seed"),
-        F.explode(F.array(*(F.struct(F.lit(p).alias("part"), F.col(p).alias("pattern")) for p in "lrs"))).alias("e"),
+        F.explode(F.array(*map(part, "lrs"))).alias("e"),
     )
-    name = name.withColumn("pattern_seed", F.when(F.col("e.pattern").isin("<title>", "<middle>"), 1.0))
+    name = name.withColumn("pattern_seed", F.when(F.col("e.pattern").isin("<title>", "<middle>"), 1.0)).select("kind", "form", "form_seed", "pattern_seed", "e")
     return (
         out.unionByName(name).select("kind", "form", "form_seed", "pattern_seed", "e.part", "e.pattern").filter("pattern is not null and pattern not in ('', '|')")
         .groupBy("kind", "form", "part", "pattern").agg(F.count("*").alias("n"), F.max("form_seed").alias("form_seed"), F.max("pattern_seed").alias("pattern_seed"))
