@@ -119,10 +119,46 @@ def test_hierarchy_against_brute_force(spark, mode, block, small):
 
 def test_hierarchy_paths_of_stated_nodes(make):
     records = make.records([dict(session_id="s", line_no=i, uuid=f"u{i}", parent_uuid=f"u{i - 1}" if i else " ", ingested_at=1) for i in range(50)] + [dict(session_id="s", line_no=3, uuid="U3", parent_uuid="u0", ingested_at=0)])
-    h = hierarchy.hierarchy(records)
-    p = hierarchy.paths(h, h.filter("uuid = 'u49'").select("session_id", "uuid")).collect()
-    assert len(p) == 1 and p[0].path == [f"u{i}" for i in range(50)]
-    assert h.filter("uuid = 'u10'").first().n_descendants == 39
+    h = hierarchy.resolve(hierarchy.tree_nodes(records))
+    p = hierarchy.paths(h, h.filter("id in ('u49', 'u3')").select("tree", "id"), block=8, small=2).collect()
+    for t, n in (("u49", 50), ("u3", 4)):
+        assert [r.id for r in sorted((r for r in p if r.target == t), key=lambda r: r.depth)] == [f"u{i}" for i in range(n)]
+    assert hierarchy.hierarchy(records).filter("uuid = 'u10'").first().n_descendants == 39
+
+
+@pytest.mark.parametrize("mode,block,small", [("near", 16, 4), ("random", 16, 4), ("chain", 8, 2)])
+def test_preorder_and_full_paths_against_brute_force(spark, mode, block, small):
+    rows = forest(mode, 7)
+    df = spark.createDataFrame([(t, i, u, p) for t, i, u, p in rows], "session_id string, uuid string, parent_uuid string, line_no long")
+    want, _ = brute(rows)
+    up = {(t, i): u for t, i, u, _ in rows}
+    kids, first = collections.defaultdict(list), {}
+    for t, i, u, p in rows:
+        if want[t, i][2] != "cycle" and want[t, i][0] != i:
+            kids[t, u].append((p, i))
+    for t, i, u, p in rows:
+        if want[t, i][0] == i:
+            stack, n = [i], 0
+            while stack:
+                x = stack.pop()
+                first[t, x], n = n, n + 1
+                stack.extend(c for _, c in sorted(kids[t, x], reverse=True))
+    got = hierarchy.hierarchy(df, block=block, small=small).collect()
+    assert {(r.session_id, r.uuid): r.first for r in got if r.status != "cycle"} == first
+    assert all(r.first is None for r in got if r.status == "cycle")
+    rng = random.Random(1)
+    targets = [(t, i) for t, i, _, _ in rng.sample(rows, 40)] + [("t0", "nowhere")]
+    h = hierarchy.resolve(hierarchy.tree_nodes(df), block=block, small=small)
+    found = collections.defaultdict(dict)
+    for r in hierarchy.paths(h, spark.createDataFrame(targets, "tree string, id string"), block=block, small=small).collect():
+        assert r.depth not in found[r.tree, r.target]
+        found[r.tree, r.target][r.depth] = r.id
+    for t, i in targets:
+        path, x = [], i
+        while want.get((t, i), (0, 0, "cycle"))[2] != "cycle" and x is not None and (t, x) in up:
+            path.append(x)
+            x = up[t, x]
+        assert [v for _, v in sorted(found[t, i].items())] == path[::-1]
 
 
 # --- nested records

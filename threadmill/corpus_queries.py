@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .functions.columns import norm_id
 from .operators import drift, hierarchy, nested, references
-from .session import table
+from .session import cut_lineage, table
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
@@ -43,7 +44,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     h = hierarchy.hierarchy(_records(spark, d))
-    return h.select("session_id", "uuid", "parent_uuid", "root", "depth", "status", "n_descendants")
+    return h.select("session_id", "uuid", "parent_uuid", "root", "depth", "status", "n_descendants", "first")
 
 
 def p4_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -52,6 +53,14 @@ def p4_paths(spark: SparkSession, d: str) -> DataFrame:
     return h.filter("status <> 'cycle'").select("session_id", "uuid", "path_anchor", F.array_join("path_tail", "/").alias("path_tail"))
 
 
+def p4_leaf_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The full path of every node that a leafUuid names, root first."""
+    records = references.standing(table(spark, d, "records").select("session_id", "uuid", "parent_uuid", "line_no", "leaf_uuid"), table(spark, d, "removed_records"))
+    leaves = records.select(norm_id("session_id").alias("tree"), norm_id("leaf_uuid").alias("id")).filter("id is not null")
+    p = hierarchy.paths(cut_lineage(hierarchy.resolve(hierarchy.tree_nodes(records))), leaves)
+    return p.select(F.col("tree").alias("session_id"), F.col("target").alias("leaf_uuid"), "depth", F.col("id").alias("uuid"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.find_changes(table(spark, d, "raw_lines"))
 
@@ -61,7 +70,7 @@ def p5_unified(spark: SparkSession, d: str) -> DataFrame:
     return drift.unify(table(spark, d, "raw_lines")).withColumn("n_cast_failed", F.size("cast_failed").cast("bigint"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_store, p3_children, p4_found, p4_hierarchy, p4_paths, p5_found, p5_unified)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_store, p3_children, p4_found, p4_hierarchy, p4_paths, p4_leaf_paths, p5_found, p5_unified)}
 
 _BLANK = "chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11) || chr(160) || chr(12288)"
 
@@ -95,15 +104,34 @@ orphans AS (
   WHERE ref_id IS NOT NULL AND (there.id IS NULL OR there.first_at > refs.ts))
 """
 
+_P4 = f"""gone AS (SELECT DISTINCT {sql_id('session_id')} AS session_id, {sql_id('uuid')} AS uuid FROM removed_records),
+        n AS (SELECT session_id, uuid, arg_max(coalesce(up, ''), line_no) AS up, max(line_no) AS line_no FROM (
+              SELECT {sql_id('session_id')} AS session_id, {sql_id('uuid')} AS uuid, {sql_id('parent_uuid')} AS up, line_no FROM records) x
+              WHERE uuid IS NOT NULL AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.session_id = x.session_id AND g.uuid = x.uuid) GROUP BY session_id, uuid)"""
+_DOWN = """down AS (SELECT session_id, uuid, up, uuid AS root, 0::BIGINT AS depth, CASE WHEN up = '' THEN 'root' ELSE 'missing' END AS status, [line_no] AS way
+                 FROM n WHERE up = '' OR NOT EXISTS (SELECT 1 FROM n p WHERE p.session_id = n.session_id AND p.uuid = n.up)
+               UNION ALL SELECT n.session_id, n.uuid, n.up, d.root, d.depth + 1, d.status, list_append(d.way, n.line_no) FROM n JOIN down d ON n.session_id = d.session_id AND n.up = d.uuid)"""
+
 SQL = {
     "p1_found": f"WITH {_P1} SELECT ref_kind, session_id, line_no, ref_id FROM orphans",
     "p1_report": f"""WITH {_P1} SELECT CASE WHEN ref_kind = 'tool' THEN 'blocks' ELSE 'records' END AS table_name, ref_kind,
         strftime(date_trunc('day', ts), '%Y-%m-%d') AS period, count(*) AS n_orphans FROM orphans GROUP BY ALL""",
-    "p4_found": f"""WITH RECURSIVE gone AS (SELECT DISTINCT {sql_id('session_id')} AS session_id, {sql_id('uuid')} AS uuid FROM removed_records),
-        n AS (SELECT session_id, uuid, arg_max(coalesce(up, ''), line_no) AS up FROM (
-              SELECT {sql_id('session_id')} AS session_id, {sql_id('uuid')} AS uuid, {sql_id('parent_uuid')} AS up, line_no FROM records) x
-              WHERE uuid IS NOT NULL AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.session_id = x.session_id AND g.uuid = x.uuid) GROUP BY ALL),
+    "p4_found": f"""WITH RECURSIVE {_P4},
         good AS (SELECT session_id, uuid FROM n WHERE up = '' OR NOT EXISTS (SELECT 1 FROM n p WHERE p.session_id = n.session_id AND p.uuid = n.up)
                  UNION SELECT n.session_id, n.uuid FROM n JOIN good g ON n.session_id = g.session_id AND n.up = g.uuid)
         SELECT session_id, uuid FROM n WHERE NOT EXISTS (SELECT 1 FROM good g WHERE g.session_id = n.session_id AND g.uuid = n.uuid)""",
+    "p4_hierarchy": f"""WITH RECURSIVE {_P4}, {_DOWN},
+        above AS (SELECT session_id, uuid, up FROM down UNION ALL
+                  SELECT a.session_id, a.uuid, d.up FROM above a JOIN down d ON a.session_id = d.session_id AND a.up = d.uuid),
+        size AS (SELECT session_id, up AS uuid, count(*) AS n FROM above GROUP BY ALL)
+        SELECT n.session_id, n.uuid, nullif(n.up, '') AS parent_uuid, d.root, d.depth, coalesce(d.status, 'cycle') AS status,
+          CASE WHEN d.uuid IS NOT NULL THEN coalesce(s.n, 0) END AS n_descendants, d.first
+        FROM n LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY session_id, root ORDER BY way) - 1 AS first FROM down) d ON n.session_id = d.session_id AND n.uuid = d.uuid
+        LEFT JOIN size s ON s.session_id = n.session_id AND s.uuid = n.uuid""",
+    "p4_leaf_paths": f"""WITH RECURSIVE {_P4}, {_DOWN},
+        leaf AS (SELECT DISTINCT session_id, {sql_id('leaf_uuid')} AS leaf_uuid FROM (SELECT {sql_id('session_id')} AS session_id, {sql_id('uuid')} AS uuid, leaf_uuid FROM records) x
+                 WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.session_id = x.session_id AND g.uuid = x.uuid)),
+        path AS (SELECT d.session_id, l.leaf_uuid, d.depth, d.uuid, d.up FROM down d JOIN leaf l ON d.session_id = l.session_id AND d.uuid = l.leaf_uuid
+                 UNION ALL SELECT d.session_id, p.leaf_uuid, d.depth, d.uuid, d.up FROM path p JOIN down d ON p.session_id = d.session_id AND p.up = d.uuid)
+        SELECT session_id, leaf_uuid, depth, uuid FROM path""",
 }

@@ -6,10 +6,11 @@ smaller, and which is solved in the same way (`_solve` calls itself); where it h
 Its results are expanded to the fragments (`_expand`), and sums over subtrees flow from quotient to fragments too.
 A chain that closes within a fragment is a local cycle, one that closes in a quotient a global one.
 
-A full path can be as long as its session, so paths of all nodes would take quadratic space. A node holds the part of
-its path back to an anchor at most ANCHOR steps above (`path_tail`) and the anchor; `paths` strings the parts of stated
-nodes together. Descendants are counted for all nodes (`n_descendants`); those of a stated node are the nodes in whose
-path it lies.
+The full paths of all nodes take quadratic space where trees are deep, so they come out in two lossless forms: a node
+holds the part of its path back to an anchor at most ANCHOR steps above (`path_tail`) and the anchor; and a node has its
+place in preorder (`first`) and the number of its descendants, so that the descendants of a node are the nodes of its
+root from first + 1 to first + n_descendants, and its path the nodes whose range holds it. `paths` gives the full paths
+of stated nodes as rows: their fragments' chains, and those that the quotient's path enters, are expanded.
 
 Defined results: a null or blank parent marks a root; a parent that is not there makes its child the top of a broken
 tree (status 'missing'); of several rows with one id the one at the highest position counts (of equal positions the
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import norm_id
 from ..functions.fragments import map_fragments
+from ..plans import blocked
 from ..session import cut_lineage
 
 #: Width of a block of positions, nodes of a quotient that one task solves, steps between anchors of paths.
@@ -126,6 +128,12 @@ def _doubling(q: DataFrame) -> DataFrame:
     return cur.select("tree", "id", "root", "depth", F.when(F.col("up").isNotNull(), "cycle").otherwise(F.col("status")).alias("status"))
 
 
+def _ranked(core: DataFrame, width: int) -> tuple[DataFrame, Column]:
+    """A quotient in blocks of width nodes each, whatever their positions: the rows, and the block."""
+    ranked = blocked.running_sum(core, ["tree"], "pos", F.lit(1), "rank")
+    return ranked, F.floor((F.col("rank") - 1) / width).cast("long")
+
+
 def _solve(nodes: DataFrame, block: Column, n_nodes: int | None, block_width: int, sums: bool, paths: bool, small: int) -> DataFrame:
     """nodes: tree, id, pos, up, len, w, root, depth, status. block: the fragment within a tree."""
     local = cut_lineage(map_fragments(nodes.withColumn("frag", block), ["tree", "frag"], ["pos", "id"], lambda g: contract(g, sums, paths), LOCAL))
@@ -149,10 +157,8 @@ def _solve(nodes: DataFrame, block: Column, n_nodes: int | None, block_width: in
             solved = _solve(core, F.lit(0).cast("long"), n_q, block_width, sums, False, small)
         else:
             n_nodes = n_nodes or nodes.count()
-            shrunk = n_nodes / max(1, n_q)
-            if shrunk >= 2:
-                width = int(block_width * shrunk)
-                solved = _solve(core, F.floor(F.col("pos") / width).cast("long"), n_q, width, sums, False, small)
+            if n_nodes >= 2 * n_q:
+                solved = _solve(*_ranked(core, block_width), n_q, block_width, sums, False, small)
             elif not sums:
                 solved = _doubling(core)
             else:  # sums need fragments; ids spread evenly, so each group stays bounded
@@ -202,39 +208,74 @@ def _merge_sums(core: DataFrame, solved: DataFrame) -> DataFrame:
     return solved.join(cur.select("tree", "id", "total"), ["tree", "id"])
 
 
-def resolve(nodes: DataFrame, weight: Column | None = None, paths: bool = False, block: int = BLOCK, small: int = SMALL) -> DataFrame:
+def resolve(nodes: DataFrame, weight: Column | None = None, paths: bool = False, block: int = BLOCK, small: int = SMALL, length: Column | None = None) -> DataFrame:
     """nodes: tree, id, up, pos, as from tree_nodes. Gives tree, id, up, pos, root, depth, status ('root', 'missing',
-    'cycle'); with paths also anchor and tail; with weight also total, the sum of weight over the node's subtree.
+    'cycle'); with paths also anchor and tail; with weight also total, the sum of weight over the node's subtree. length:
+    what the step from a node to its parent adds to depth (1).
     """
     start = F.col("up").isNull()
     n = nodes.select(
-        "tree", "id", "pos", "up", F.lit(1).cast("long").alias("len"), (F.lit(0) if weight is None else weight).cast("long").alias("w"),
+        "tree", "id", "pos", "up", (F.lit(1) if length is None else length).cast("long").alias("len"), (F.lit(0) if weight is None else weight).cast("long").alias("w"),
         F.when(start, F.col("id")).alias("root"), F.when(start, F.lit(0)).cast("long").alias("depth"), F.when(start, "root").alias("status"),
     )
     return _solve(n, F.floor(F.col("pos") / block).cast("long"), None, block, weight is not None, paths, small)
 
 
-def hierarchy(df: DataFrame) -> DataFrame:
-    """Every node with parent, root, depth, status, number of descendants, and its path as anchor and tail."""
-    h = resolve(tree_nodes(df), weight=F.lit(1), paths=True)
-    return h.select(
+def hierarchy(df: DataFrame, block: int = BLOCK, small: int = SMALL) -> DataFrame:
+    """Every node with parent, root, depth, status, number of descendants, place in preorder, and path as anchor and tail."""
+    h = cut_lineage(resolve(tree_nodes(df), weight=F.lit(1), paths=True, block=block, small=small))
+    sound = h.filter("status <> 'cycle'").select("tree", "id", "up", "pos", "total", (F.col("id") == F.col("root")).alias("is_top"))
+    # a child comes after its parent and the subtrees of the siblings before it: one more path sum
+    before = blocked.running_sum(sound.filter("not is_top"), ["tree", "up"], "pos", F.col("total"), "upto").select("tree", "id", "up", "pos", (F.col("upto") - F.col("total") + 1).alias("step"))
+    tops = sound.filter("is_top").select("tree", "id", F.lit(None).cast("string").alias("up"), "pos", F.lit(0).cast("long").alias("step"))
+    first = resolve(before.unionByName(tops), block=block, small=small, length=F.col("step")).select("tree", "id", F.col("depth").alias("first"))
+    return h.join(first, ["tree", "id"], "left").select(
         F.col("tree").alias("session_id"), F.col("id").alias("uuid"), F.col("up").alias("parent_uuid"), "root", "depth", "status",
-        (F.col("total") - 1).alias("n_descendants"), F.when(F.col("status") != "cycle", F.col("anchor")).alias("path_anchor"),
+        (F.col("total") - 1).alias("n_descendants"), "first", F.when(F.col("status") != "cycle", F.col("anchor")).alias("path_anchor"),
         F.when(F.col("status") != "cycle", F.col("tail")).alias("path_tail"),
     )
 
 
-def paths(h: DataFrame, targets: DataFrame, max_hops: int = 100_000) -> DataFrame:
-    """Full paths, root first, of stated nodes (session_id, uuid) of a hierarchy: one join per ANCHOR steps of depth."""
-    step = cut_lineage(h.filter("status <> 'cycle'").select("session_id", F.col("uuid").alias("a"), "path_anchor", "path_tail"))
-    cur = targets.select("session_id", "uuid").distinct().withColumn("a", F.col("uuid")).withColumn("path", F.array().cast("array<string>"))
-    done = None
-    for _ in range(max_hops):
-        cur = cut_lineage(cur.join(step, ["session_id", "a"]).select("session_id", "uuid", F.col("path_anchor").alias("a"), F.concat("path_tail", "path").alias("path"))
-                          .join(step.select("session_id", "a", F.lit(True).alias("more")), ["session_id", "a"], "left"))
-        ended = cur.filter("more is null").select("session_id", "uuid", "path")
-        done = ended if done is None else done.unionByName(ended)
-        cur = cur.filter("more").drop("more")
-        if not cur.limit(1).count():
-            break
-    return done
+def _climb(group: dict) -> dict:
+    """The chains from the entries of one fragment to their local tops."""
+    up = dict(zip(group["id"], group["up"]))
+    out: dict = {"tree": [], "entry": [], "id": []}
+    for i, is_entry in zip(group["id"], group["is_entry"]):
+        x = i if is_entry else None
+        while x in up:
+            out["tree"].append(group["tree"][0]), out["entry"].append(i), out["id"].append(x)
+            x = up[x]
+    return out
+
+
+def _chains(nodes: DataFrame, block: Column, targets: DataFrame, width: int, small: int) -> DataFrame:
+    """tree, target, id: the nodes on the way from each target (tree, target, id) up, targets included."""
+    blank = {"len": F.lit(1).cast("long"), "w": F.lit(0).cast("long"), "root": F.lit(None).cast("string"), "depth": F.lit(None).cast("long"), "status": F.lit("root")}
+    n = nodes.select("tree", "id", "pos", "up", block.alias("frag")).withColumns(blank)
+    local = cut_lineage(map_fragments(n, ["tree", "frag"], ["pos", "id"], lambda g: contract(g, False, False), LOCAL).select("tree", "frag", "id", "pos", "up", "top", "exit_up"))
+    entries = targets.select("tree", "target", F.col("id").alias("entry"))
+    tops = local.filter("id = top and exit_up is not null").select("tree", "id", "pos", "exit_up")
+    q = cut_lineage(tops.join(local.select("tree", F.col("id").alias("exit_up"), F.col("top").alias("up")), ["tree", "exit_up"]))  # no row: the parent isn't there
+    n_q = q.count()
+    if n_q:
+        own = local.select("tree", F.col("id").alias("entry"), F.col("top").alias("id"))
+        rows, part = (q, F.lit(0).cast("long")) if n_q <= small else _ranked(q, width)
+        met = _chains(rows, part, entries.join(own, ["tree", "entry"]).join(q.select("tree", "id"), ["tree", "id"], "left_semi").select("tree", "target", "id"), width, small)
+        entries = entries.unionByName(met.join(q.select("tree", "id", "exit_up"), ["tree", "id"]).select("tree", "target", F.col("exit_up").alias("entry"))).distinct()
+    entries = cut_lineage(entries)
+    mark = entries.select("tree", F.col("entry").alias("id")).distinct().withColumn("is_entry", F.lit(True))
+    marked = local.join(mark, ["tree", "id"], "left").select("tree", "frag", "id", "pos", "up", F.coalesce("is_entry", F.lit(False)).alias("is_entry"))
+    used = marked.filter("is_entry").select("tree", "frag").distinct()
+    chains = map_fragments(marked.join(used, ["tree", "frag"], "left_semi"), ["tree", "frag"], ["pos", "id"], _climb, "tree string, entry string, id string")
+    return entries.join(chains, ["tree", "entry"]).select("tree", "target", "id")
+
+
+def paths(h: DataFrame, targets: DataFrame, block: int = BLOCK, small: int = SMALL) -> DataFrame:
+    """Full paths of stated nodes (tree, id) of a resolved hierarchy: tree, target, depth, id, one row per node of a path.
+
+    A target that isn't there, or lies in or below a cycle, has no path.
+    """
+    sound = cut_lineage(h.filter("status <> 'cycle'").select("tree", "id", "pos", "up", "depth"))
+    known = targets.select("tree", "id").distinct().join(sound.select("tree", "id"), ["tree", "id"], "left_semi").select("tree", F.col("id").alias("target"), "id")
+    found = _chains(sound, F.floor(F.col("pos") / block).cast("long"), known, block, small)
+    return found.join(sound.select("tree", "id", "depth"), ["tree", "id"]).select("tree", "target", "depth", "id")
