@@ -236,8 +236,10 @@ def test_drift_changes(spark):
         (v, "renamed", "cwd", "workdir"), (v, "renamed", "kind", "type"), (v, "retyped", "n", ""), (v, "removed", "old", ""), (v, "retyped", "items[].v", ""),
         (v, "added", "chain", ""), (v, "added", "extra", ""), (v, "added", "first", ""),
     }
-    u = {(r.source, r.line_no): r.fields for r in drift.unify(lines).collect()}
-    assert u["a", 4]["workdir"] == "/srv/p1" and u["a", 4]["n"] == "4" and u["a", 4]["type"] == "assistant"
+    u = {(r.source, r.line_no): r for r in drift.unify(lines).collect()}
+    assert u["a", 4].workdir == "/srv/p1" and u["a", 4].n == "4" and u["a", 4].type == "assistant" and u["a", 4].old is True
+    assert json.loads(u["a", 4].cast_failed["items[].v"]) == ["s"] and u["b", 4]["items"][0].v.deep == 1.0 and u["b", 4].cast_failed == {}
+    assert json.loads(u["c", 0].cast_failed["unversioned"]) == [1] and u["b", -1].extra is None and len(u) == 63
     assert drift.find_changes(lines.limit(0)).count() == 0
 
 
@@ -255,12 +257,34 @@ def test_renames_are_decided_by_flooding(n):
     assert drift.correspondences({"id": frozenset({"string"}), "u": frozenset({"string"})}, {"id": frozenset({"string"}), "v": frozenset({"string"})}, lambda x, y: 0.1) == {}
 
 
-def test_unified_query_drops_no_field(spark, sf):
-    want = set()
-    for r in spark.read.parquet(f"{sf}/raw_lines.parquet").collect():
-        want |= set(parse_object(r.raw_json) or ())
-    rows = corpus_queries.p5_unified(spark, sf).collect()
-    assert {"userType", "gitBranch"} <= (got := {k for r in rows for k in r.fields}) and want - got <= {"cwd", "kind", "session"}
+def test_unified_nested_renames_and_clashing_names(spark):
+    old = [json.dumps({"version": "1.0", "m": {"usage": {"in_tokens": i, "out": i}, "items": [{"is_error": i % 2 == 0, "t": f"x{i}"}]}, "Source": f"s{i}", "a": "A", "A": 1}) for i in range(20)]
+    new = [json.dumps({"version": "2.0", "m": {"usage": {"input_tokens": str(i), "out": i}, "items": [{"isError": i % 2 == 0, "t": f"x{i}"}]}, "Source": f"s{i}", "a": "A", "A": 1}) for i in range(20)]
+    lines = spark.createDataFrame([("f", i, x) for i, x in enumerate(old + new)] + [("f", 99, '{"m": {"usage": {"input_tokens": 3}}}')], "source string, line_no long, raw_json string")
+    u = drift.unify(lines)
+    assert len({c.lower() for c in u.columns}) == len(u.columns) and "Source_2" in u.columns
+    rows = {r.line_no: r for r in u.collect()}
+    assert {c for c in rows[3].m["items"][0].asDict()} == {"isError", "t"} and rows[3].m["items"][0].isError is False and rows[4].m["items"][0].isError is True
+    assert rows[99].m.usage.input_tokens == 3 or rows[99].m.usage.input_tokens == "3"
+    assert drift.unify(lines.limit(0)).count() == 0
+
+
+def test_unified_query_drops_no_value(spark, sf):
+    """Every value that isn't null is in a column or among what failed."""
+    def count(v):
+        return sum(map(count, v.values() if isinstance(v, dict) else v)) if isinstance(v, (dict, list)) else v is not None
+
+    def inside(v):
+        return 0 if v is None else sum(map(inside, v)) if isinstance(v, (tuple, list)) else 1
+
+    opaque = lambda v: {k: 1 if k in drift.OPAQUE and x is not None else opaque(x) for k, x in v.items()} if isinstance(v, dict) else [opaque(x) for x in v] if isinstance(v, list) else v
+    want = {(r.source, r.line_no): parse_object(r.raw_json) for r in spark.read.parquet(f"{sf}/raw_lines.parquet").collect()}
+    for r in corpus_queries.p5_unified(spark, sf).collect():
+        record = want[r.source, r.line_no]
+        cells = [v for k, v in r.asDict().items() if k not in ("source", "line_no", "cast_failed")]
+        texts = sum(count(opaque(json.loads(v))) - 1 for v in cells if isinstance(v, str) and v[:1] in "[{" and isinstance(record.get("content"), (dict, list)))
+        lost = sum(count(json.loads(v)) for v in r.cast_failed.values())
+        assert sum(map(inside, cells)) + lost + texts >= count(opaque(record)) - sum(1 for v in record.values() if v in ({}, []))
 
 
 def test_versions_carry_over_blocks(spark):
@@ -273,3 +297,18 @@ def test_versions_carry_over_blocks(spark):
             before = [v for j, v in own if j <= i and v]
             after = [v for j, v in own if j > i and v]
             assert got[s, i] == (before[-1] if before else after[0] if after else None)
+
+
+def test_store_combines_equal_containers_and_values_are_whole(spark, monkeypatch):
+    monkeypatch.setattr(nested, "REMEMBERED", 3)
+    fake = "#" + "0" * 32
+    records = [{"a": [{"x": 1, "t": f",{fake},"}, {"x": 1, "t": f",{fake},"}, [None, True]], "b": {"x": 1.5, "c": {}}}, {"b": {"x": 1.5, "c": {}}, "a": []}]
+    lines = spark.createDataFrame([("f", i, json.dumps(r)) for i, r in enumerate(records)] + [("f", 5, "broken"), ("f", 6, None)], "source string, line_no long, raw_json string")
+    store = {r.node_id: r for r in nested.store(lines).collect()}
+    bridge = nested.occurrences(lines).collect()
+    assert {k: v.n_occurrences for k, v in store.items()} == collections.Counter(r.node_id for r in bridge)
+    roots = {r.line_no: r.node_id for r in bridge if r.obj_path == ""}
+    for i, r in enumerate(records):
+        assert json.loads(nested.rebuild(roots[i], {k: v.content for k, v in store.items()})) == r
+    got = {(r.line_no, r.obj_path, r.key, r.ordinal, r.type, r.value) for r in nested.values(lines).collect()}
+    assert (0, "a[2]", None, 0, "null", None) in got and (1, "b", "x", None, "number", "1.5") in got and (0, "a[1]", "t", None, "string", f",{fake},") in got and len(got) == 8

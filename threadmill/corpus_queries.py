@@ -33,6 +33,19 @@ def p3_children(spark: SparkSession, d: str) -> DataFrame:
     return nested.child_rows(nested.occurrences(table(spark, d, "raw_lines")))
 
 
+def p3_links(spark: SparkSession, d: str) -> DataFrame:
+    """Containers and their holders by path, without identities."""
+    return nested.child_rows(nested.occurrences(table(spark, d, "raw_lines"))).select("source", "line_no", "obj_path", "kind", "parent_path", "key", "ordinal")
+
+
+def p3_scalars(spark: SparkSession, d: str) -> DataFrame:
+    return nested.scalars(table(spark, d, "raw_lines"))
+
+
+def p3_values(spark: SparkSession, d: str) -> DataFrame:
+    return nested.values(table(spark, d, "raw_lines"))
+
+
 def _records(spark: SparkSession, d: str) -> DataFrame:
     return references.standing(table(spark, d, "records").select("session_id", "uuid", "parent_uuid", "line_no"), table(spark, d, "removed_records"))
 
@@ -66,11 +79,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_unified(spark: SparkSession, d: str) -> DataFrame:
-    """Every field of every line, by its newest top-level name."""
-    return drift.unify(table(spark, d, "raw_lines")).withColumn("n_cast_failed", F.size("cast_failed").cast("bigint"))
+    """Every field of every line, typed, by its newest name at every depth."""
+    return drift.unify(table(spark, d, "raw_lines"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_store, p3_children, p4_found, p4_hierarchy, p4_paths, p4_leaf_paths, p5_found, p5_unified)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_store, p3_children, p3_links, p3_scalars, p3_values, p4_found, p4_hierarchy, p4_paths, p4_leaf_paths, p5_found, p5_unified)}
 
 _BLANK = "chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11) || chr(160) || chr(12288)"
 
@@ -104,6 +117,11 @@ orphans AS (
   WHERE ref_id IS NOT NULL AND (there.id IS NULL OR there.first_at > refs.ts))
 """
 
+_TREE = """tree AS (SELECT source, line_no, t.type, CASE WHEN t.fullkey = '$' THEN '' ELSE replace(substr(t.fullkey, CASE WHEN t.fullkey[2] = '.' THEN 3 ELSE 2 END), '"', '') END AS obj_path,
+          CASE WHEN t.fullkey <> '$' THEN CASE WHEN t.path = '$' THEN '' ELSE replace(substr(t.path, 3), '"', '') END END AS parent_path,
+          regexp_matches(t.fullkey, '\\[\\d+\\]$') AS in_array, t.key, t.value
+        FROM (SELECT source, line_no, CASE WHEN json_valid(raw_json) THEN raw_json::JSON END AS j FROM raw_lines) r, json_tree(r.j) t WHERE json_type(r.j) = 'OBJECT')"""
+
 _P4 = f"""gone AS (SELECT DISTINCT {sql_id('session_id')} AS session_id, {sql_id('uuid')} AS uuid FROM removed_records),
         n AS (SELECT session_id, uuid, arg_max(coalesce(up, ''), line_no) AS up, max(line_no) AS line_no FROM (
               SELECT {sql_id('session_id')} AS session_id, {sql_id('uuid')} AS uuid, {sql_id('parent_uuid')} AS up, line_no FROM records) x
@@ -116,6 +134,12 @@ SQL = {
     "p1_found": f"WITH {_P1} SELECT ref_kind, session_id, line_no, ref_id FROM orphans",
     "p1_report": f"""WITH {_P1} SELECT CASE WHEN ref_kind = 'tool' THEN 'blocks' ELSE 'records' END AS table_name, ref_kind,
         strftime(date_trunc('day', ts), '%Y-%m-%d') AS period, count(*) AS n_orphans FROM orphans GROUP BY ALL""",
+    "p3_found": f"WITH {_TREE} SELECT DISTINCT source, line_no, obj_path FROM tree WHERE type = 'OBJECT' AND in_array",
+    "p3_links": f"""WITH {_TREE} SELECT DISTINCT source, line_no, obj_path, lower(type) AS kind, parent_path, CASE WHEN NOT in_array THEN key END AS key, CASE WHEN in_array THEN CAST(key AS INTEGER) END AS ordinal
+        FROM tree WHERE type IN ('OBJECT', 'ARRAY')""",
+    "p3_values": f"""WITH {_TREE} SELECT DISTINCT source, line_no, parent_path AS obj_path, CASE WHEN NOT in_array THEN key END AS key, CASE WHEN in_array THEN CAST(key AS INTEGER) END AS ordinal,
+          CASE type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS type, CASE WHEN type <> 'NULL' THEN value->>'$' END AS value
+        FROM tree WHERE type NOT IN ('OBJECT', 'ARRAY')""",
     "p4_found": f"""WITH RECURSIVE {_P4},
         good AS (SELECT session_id, uuid FROM n WHERE up = '' OR NOT EXISTS (SELECT 1 FROM n p WHERE p.session_id = n.session_id AND p.uuid = n.up)
                  UNION SELECT n.session_id, n.uuid FROM n JOIN good g ON n.session_id = g.session_id AND n.up = g.uuid)

@@ -24,6 +24,9 @@ from hashlib import blake2b
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, LongType, MapType, StringType, StructField, StructType
+
 from ..functions.fragments import _schema
 from ..functions.jsonwalk import clean, parse_object, scalar, type_name
 from ..session import cut_lineage
@@ -316,61 +319,160 @@ def find_changes(lines: DataFrame) -> DataFrame:
     return lines.sparkSession.createDataFrame(sorted(set(drift(*schemas(lines)))), CHANGES)
 
 
-def _cast(v: object, types: frozenset) -> tuple[str | None, bool]:
-    """A value as text in a field's newest type, and whether the cast failed."""
-    if v is None or type_name(v) in types:
-        return (None if v is None else clean(v) if isinstance(v, str) else clean(json.dumps(v, ensure_ascii=False, sort_keys=True))), False
-    if types == {"boolean"} and str(v).lower() in ("true", "false"):
-        return str(v).lower(), False
-    if types == {"string"}:
-        return clean(json.dumps(v, ensure_ascii=False, sort_keys=True)), False
-    if types == {"number"} and isinstance(v, str):
-        try:
-            return str(float(v)), False
-        except ValueError:
-            from datetime import datetime, timezone
+def newest_paths(types: dict[str, dict[str, frozenset]], changes: list[tuple[str, str, str, str]]) -> dict[str, dict[str, str]]:
+    """Per version: its renamed fields and what they are called in the newest version, parents' names followed too."""
+    versions = sorted(types, key=version_key)
+    renamed: dict[str, dict[str, str]] = defaultdict(dict)
+    for w, kind, x, y in changes:
+        if kind == "renamed":
+            renamed[w][x] = y
+    out: dict[str, dict[str, str]] = {}
+    for i, v in enumerate(versions):
+        own = {}
+        for start in types[v]:
+            p = start
+            for w in versions[i + 1 :]:
+                head, rest = p, ""
+                while head:  # the longest renamed path at or above p
+                    if head in renamed[w]:
+                        p = renamed[w][head] + rest
+                        break
+                    up = parent_of(head)
+                    rest = head[len(up) :] + rest
+                    head = up
+            if p != start:
+                own[start] = p
+        out[v] = own
+    return out
+
+
+def newest_types(types: dict[str, dict[str, frozenset]], to: dict[str, dict[str, str]]) -> dict[str, frozenset]:
+    """The types of every field, by its newest name, in the newest version that has it."""
+    out: dict[str, frozenset] = {}
+    for v in sorted(types, key=version_key):
+        out |= {to[v].get(p, p): t for p, t in types[v].items()}
+    return out
 
+
+def table_schema(newest: dict[str, frozenset]) -> StructType:
+    """The columns of the one table: a field of one type has that type, one of several holds JSON text; names that differ
+    in case only, or clash with the table's own columns, get a number."""
+    kids: dict[str, list[str]] = defaultdict(list)
+    for p in newest:
+        kids[parent_of(p)].append(p)
+    plain = {frozenset({"string"}): StringType(), frozenset({"number"}): DoubleType(), frozenset({"boolean"}): BooleanType()}
+
+    def kind_of(p: str):
+        if newest[p] == {"object"} and name_of(p) not in OPAQUE and kids[p]:
+            return struct_of(p, set())
+        if newest[p] == {"array"} and kids[p] == [p + "[]"]:
+            return ArrayType(kind_of(p + "[]"))
+        return plain.get(newest[p], StringType())
+
+    def struct_of(p: str, taken: set) -> StructType:
+        out = []
+        for k in sorted(kids[p]):
+            name, n = name_of(k), 2
+            while name.lower() in taken:
+                name, n = f"{name_of(k)}_{n}", n + 1
+            taken.add(name.lower())
+            out.append(StructField(name, kind_of(k), True, {"path": k}))
+        return StructType(out)
+
+    return struct_of("", {"source", "line_no", "cast_failed"})
+
+
+def _cast(v: object, kind: DataType) -> tuple[object, bool]:
+    """A scalar in a column's type, and whether the cast failed (then null)."""
+    if v is None:
+        return None, False
+    if isinstance(kind, BooleanType):
+        return (v, False) if isinstance(v, bool) else (str(v).lower() == "true", False) if str(v).lower() in ("true", "false") else (None, True)
+    if isinstance(kind, DoubleType):
+        if isinstance(v, (int, float)) and not isinstance(v, bool):
             try:
-                t = datetime.fromisoformat(v.replace("Z", "+00:00"))
-                return str(round((t if t.tzinfo else t.replace(tzinfo=timezone.utc)).timestamp() * 1000)), False
+                return float(v), False
+            except OverflowError:
+                return None, True
+        if isinstance(v, str):
+            try:
+                return float(v), False
             except ValueError:
-                pass
-    return clean(json.dumps(v, ensure_ascii=False, sort_keys=True)), True
+                from datetime import datetime, timezone
+
+                try:
+                    t = datetime.fromisoformat(v.replace("Z", "+00:00"))
+                    return float(round((t if t.tzinfo else t.replace(tzinfo=timezone.utc)).timestamp() * 1000)), False
+                except ValueError:
+                    pass
+        return None, True
+    return clean(v if isinstance(v, str) else json.dumps(v, ensure_ascii=False, sort_keys=True)), False
 
 
 def unify(lines: DataFrame) -> DataFrame:
-    """All lines in one table: source, line_no, fields (top-level fields by their newest name, as text of their newest
-    type; containers as JSON), and cast_failed (fields that kept a text of another type)."""
+    """All lines in one table: source, line_no, a typed column for every field by its newest name at every depth, and
+    cast_failed (field -> JSON array of the values that fit its newest type in no way, or have no column; null there).
+
+    A scalar where the newest type is an array counts as its one element; an object or array where it is a scalar fails.
+    Lines without a version are renamed as the version that they belong to; a file without any is not renamed.
+    """
     types, profile = schemas(lines)
     changes = drift(types, profile)
-    newest: dict[str, frozenset] = {}
-    for v in sorted(types, key=version_key):
-        newest |= types[v]
-    to = {}
-    for _, kind, x, y in changes:
-        if kind == "renamed" and "." not in x and "[" not in x:
-            to[x] = y
-    out = _schema(lines, schema := "source string, line_no long, fields map<string,string>, cast_failed array<string>")
+    to = newest_paths(types, changes)
+    schema = table_schema(newest_types(types, to))
+    full = StructType([StructField("source", StringType()), StructField("line_no", LongType()), *schema.fields, StructField("cast_failed", MapType(StringType(), StringType()))])
+    out = to_arrow_schema(full)
+    plain = StructType([StructField(f.name, f.dataType) for f in full])
+
+    def shaped(v: object, path: str, kind: DataType, moved: dict[str, str], own: str, failed: dict) -> object:
+        """v, which stands at own in its record and at path in the table, in a column's type."""
+        if v is None:
+            return None
+        if isinstance(kind, StructType):
+            if not isinstance(v, dict):
+                failed.setdefault(path, []).append(v)
+                return None
+            return fill(v, path, kind, moved, own, failed)
+        if isinstance(kind, ArrayType):
+            rows = v if isinstance(v, list) else [v]
+            return [shaped(x, path + "[]", kind.elementType, moved, own + "[]" if isinstance(v, list) else own, failed) for x in rows]
+        if not isinstance(kind, StringType) and isinstance(v, (dict, list)):
+            failed.setdefault(path, []).append(v)
+            return None
+        value, bad = _cast(v, kind)
+        if bad:
+            failed.setdefault(path, []).append(v)
+        return value
+
+    def fill(v: dict, path: str, kind: StructType, moved: dict[str, str], own: str, failed: dict) -> dict:
+        by = {f.metadata["path"]: f for f in kind.fields}
+        row = dict.fromkeys((f.name for f in kind.fields))
+        for k, x in v.items():
+            k = clean(k)
+            at = f"{own}.{k}" if own else k
+            to_path = moved.get(at) or (f"{path}.{k}" if path else k)
+            f = by.get(to_path)
+            if f is None:
+                failed.setdefault(to_path, []).append(x)
+            elif x is not None:
+                row[f.name] = shaped(x, to_path, f.dataType, moved, at, failed)
+        return row
+
+    p = _profile(lines).filter("kind = 'line'").select("source", "line_no", "version")
+    given = fill_versions(p).filter("version is null").select(F.col("source").alias("s"), F.col("line_no").alias("n"), "writer_version")
+    d = lines.join(given, F.col("source").eqNullSafe(F.col("s")) & (F.coalesce("line_no", F.lit(-1)) == F.col("n")), "left").select("source", F.col("line_no").cast("long").alias("line_no"), "raw_json", "writer_version")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[tuple] = []
-            for source, line_no, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            rows: list[dict] = []
+            for source, line_no, text, given_version in zip(*(c.to_pylist() for c in b.columns)):
                 record = parse_object(text)
                 if record is None:
                     continue
-                row, failed = {}, []
-                for k, v in record.items():
-                    seen = set()
-                    while k in to and k not in seen:
-                        seen.add(k)
-                        k = to[k]
-                    value, bad = _cast(v, newest.get(k, frozenset()))
-                    row[clean(k)] = value
-                    if bad:
-                        failed.append(clean(k))
-                rows.append((source, line_no, list(row.items()), failed))
+                failed: dict[str, list] = {}
+                own = version_text(record.get("version")) or given_version
+                rows.append({"source": source, "line_no": line_no, **fill(record, "", schema, to.get(own, {}), "", failed), "cast_failed": [(k, clean(json.dumps(v, ensure_ascii=False))) for k, v in sorted(failed.items())]})
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
+                yield pa.RecordBatch.from_pylist(rows, schema=out)
 
-    return lines.select("source", "line_no", "raw_json").mapInArrow(run, schema)
+    return d.mapInArrow(run, plain)
