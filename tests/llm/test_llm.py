@@ -91,18 +91,47 @@ def test_split_text_prefers_paragraphs():
     assert text[:b].endswith("\n\n")
 
 
-def test_split_sizes():
+@pytest.mark.parametrize("width", [3, 4096])
+def test_segment_pieces(make, spark, width):
+    """Limits, coverage, records over the limit alone, overlaps, balance; the same whatever the width of blocks."""
     rng = random.Random(4)
-    for _ in range(400):
-        sizes = [rng.choice([0, 1, 50, 400, 999, 1500]) for _ in range(rng.randint(0, 40))]
-        before = rng.choice([None, 10, 2000])
-        pieces = splitting.split_sizes(sizes, 1000, before)
-        covered = set()
-        for a, b in pieces:
-            own = sum(sizes[max(a, 0) : b + 1]) + (before if a < 0 else 0)
-            assert own <= 1000 or (a == b and sizes[a] > 1000)
-            covered |= set(range(max(a, 0), b + 1))
-        assert covered == set(range(len(sizes)))
+    segments, records, sizes = [], [], {}
+    for g in range(25):
+        lines = sorted(rng.sample(range(g * 100, g * 100 + 100), rng.randint(1, 40)))
+        for n in lines:
+            text = "x" * rng.choice([1, 50, 400, 900, 1500])
+            kind = rng.choice(["text", "tool_result"])
+            message = json.dumps({"content": [{"type": kind, "text": text}]})
+            records.append(dict(session_id="s", line_no=n, rec_type="user", content_kind="array", message=message))
+            sizes[g, n] = len(message)
+        segments.append(("s", g, 0, lines))
+    df = spark.createDataFrame(segments, "session_id string, seg long, user_line long, activity array<long>")
+    got, limit = {}, 1000
+    for p in splitting.segment_pieces(df, make.records(records), limit, width).collect():
+        got.setdefault(p.seg, []).append(p)
+    assert set(got) == {g for g, *_ in [(s[1],) for s in segments] if sum(v for (x, _), v in sizes.items() if x == g) > limit}
+    for g, pieces in got.items():
+        pieces.sort(key=lambda p: p.piece)
+        lines = sorted(n for x, n in sizes if x == g)
+        assert [p.piece for p in pieces] == list(range(len(pieces)))
+        covered = []
+        for before, p in zip([None, *pieces], pieces):
+            own = [n for n in lines if p.first_line <= n <= p.last_line]
+            assert p.n_records == len(own) and p.n_chars == sum(sizes[g, n] for n in own)
+            assert p.n_chars <= limit or len(own) == 1
+            covered += [n for n in own if not before or n > before.last_line]
+            if before:
+                last = sizes[g, before.last_line]
+                assert (p.first_line == before.last_line) == (last <= limit and sum(sizes[g, n] for n in own if n > before.last_line) + last <= limit)
+        assert covered == lines
+
+
+def test_segments_are_balanced_and_cut_before_what_is_said(make, spark):
+    kinds = ["text", "tool_use", "tool_result", "text", "tool_use", "tool_result", "text", "text"]
+    records = [dict(session_id="s", line_no=i, rec_type="user", content_kind="array", message=json.dumps({"content": [{"type": k, "x": "y" * 280}]})) for i, k in enumerate(kinds)]
+    df = spark.createDataFrame([("s", 0, 0, list(range(8)))], "session_id string, seg long, user_line long, activity array<long>")
+    p = sorted(splitting.segment_pieces(df, make.records(records), 1800).collect(), key=lambda p: p.piece)
+    assert len(p) == 2 and (p[1].first_line, p[0].last_line) == (3, 3)  # two pieces of four with one shared
 
 
 def test_oversized_items(make, spark):
@@ -116,7 +145,7 @@ def test_oversized_items(make, spark):
     segments = spark.createDataFrame([("S ", 0, 0, [3, 1, 1, 99]), ("s", 1, 2, []), ("s", 2, 0, None), ("s", 0, 0, [3, 1, 1, 99]), ("s", 3, 0, [4, 0])], "session_id string, seg long, user_line long, activity array<long>")
     got = sorted(tuple(r) for r in splitting.oversized(segments, records).collect())
     assert got == [("message", "s", 1), ("message", "s", 2), ("segment", "s", 0)]
-    pieces = splitting.segment_pieces(segments, records, span=2).collect()
+    pieces = splitting.segment_pieces(segments, records, width=2).collect()
     assert all(p.n_chars <= 12_000 or p.n_records == 1 for p in pieces)
 
 

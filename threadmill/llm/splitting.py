@@ -5,8 +5,9 @@ placed, and each target snaps to the strongest boundary near it (of equal streng
 the limit, one more piece is tried; a target that must not move any more stays where it is, so this ends.
 
 Texts are cut between characters (code points), never inside a combining sequence where that can be avoided. Segments
-are cut between records. A segment's records are taken in spans of SPAN line numbers, so that no task holds an
-unbounded segment; each span is balanced on its own, and the overlap reaches over the seam of two spans.
+are cut between records: before what is said rather than before a record that answers a call. A segment of any size is
+cut as a whole without being gathered: records get their place by blocked running sums, each target takes the best
+boundary near it by an aggregate, and runs of records with a piece over the limit get more targets in a further round.
 
 Defined results: items at or below the limit stay whole and are no found items; null texts and null messages count 0;
 a record above the limit stands alone; duplicate rows are one item; line numbers that are repeated, unordered or not in
@@ -21,12 +22,13 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import message_text, norm_id
-from ..functions.fragments import map_fragments
+from ..plans import blocked
+from ..session import cut_lineage
 
-MESSAGE_LIMIT, MESSAGE_OVERLAP, SEGMENT_LIMIT, SPAN = 3000, 200, 12_000, 4096
+MESSAGE_LIMIT, MESSAGE_OVERLAP, SEGMENT_LIMIT = 3000, 200, 12_000
 
 #: Boundaries, strongest first; a cut falls at the end of the match.
 BOUNDARIES = [re.compile(p) for p in (r"\n[ \t]*\n+", r"\n", r"[.!?]+[\"'”’)\]]*\s+|[。！？]+[」』）]*", r"[,;:]\s+|[、，；：]", r"\s+")]
@@ -79,56 +81,6 @@ def _snap(text: str, cuts_at: list[list[int]], target: int, low: int, high: int)
     return target
 
 
-def split_sizes(sizes: list[int], limit: int = SEGMENT_LIMIT, before: int | None = None) -> list[tuple[int, int]]:
-    """(first, last) of the pieces of a row of whole records, by balanced targets on record boundaries.
-
-    before: size of the record before the first, which the first piece shares if it fits: its first is then -1. Each
-    other piece starts with the last record of the piece before where both fit. A record above the limit stands alone.
-    """
-    n = len(sizes)
-    if not n:
-        return []
-    ends_at = [0]
-    for s in sizes:
-        ends_at.append(ends_at[-1] + s)
-    out: list[tuple[int, int]] = []
-    i = 0
-    while i < n:  # runs between records that stand alone
-        if sizes[i] > limit:
-            out.append((i, i))
-            i += 1
-            continue
-        j = i
-        while j < n and sizes[j] <= limit:
-            j += 1
-        total = ends_at[j] - ends_at[i]
-        k = max(1, -(-total // limit))
-        while True:
-            cuts, at = [i], i
-            for p in range(1, k):
-                target = ends_at[i] + total * p / k
-                c = bisect_left(ends_at, target, at, j + 1)
-                if c > at and c <= j and (c == j + 1 or abs(ends_at[c - 1] - target) <= abs(ends_at[c] - target)):
-                    c -= 1
-                at = max(at, min(c, j))
-                cuts.append(at)
-            cuts = sorted({*cuts, j})
-            if all(ends_at[b] - ends_at[a] <= limit for a, b in zip(cuts, cuts[1:])):
-                break
-            k += 1
-            if k > j - i:
-                cuts = list(range(i, j + 1))
-                break
-        out.extend((a, b - 1) for a, b in zip(cuts, cuts[1:]))
-        i = j
-    shared: list[tuple[int, int]] = []
-    for a, b in out:
-        own = ends_at[b + 1] - ends_at[a]
-        prev = before if a == 0 else sizes[a - 1]
-        shared.append((a - 1, b) if prev is not None and prev <= limit and own + prev <= limit else (a, b))
-    return shared
-
-
 def message_pieces(records: DataFrame, limit: int = MESSAGE_LIMIT, overlap: int = MESSAGE_OVERLAP) -> DataFrame:
     """Pieces of user and assistant messages over the limit: session_id, line_no, piece, start, n_chars, piece_text, text_chars."""
     big = (
@@ -154,39 +106,81 @@ def message_pieces(records: DataFrame, limit: int = MESSAGE_LIMIT, overlap: int
 
 
 def segment_records(segments: DataFrame, records: DataFrame) -> DataFrame:
-    """session_id, seg, line_no, size: the records of each segment's activity with the length of their message."""
+    """session_id, seg, line_no, size, answers: the records of each segment's activity with the length of their message,
+    and whether they answer a call."""
     lines = segments.select(norm_id("session_id").alias("session_id"), "seg", F.explode("activity").alias("line_no")).filter("line_no is not null").distinct()
-    sizes = records.select(norm_id("session_id").alias("session_id"), "line_no", "ingested_at", F.coalesce(F.char_length("message"), F.lit(0)).cast("long").alias("size"))
-    return lines.join(sizes.groupBy("session_id", "line_no").agg(F.max(F.struct("ingested_at", "size"))["size"].alias("size")), ["session_id", "line_no"])
+    has_result = (F.col("content_kind") == "array") & F.coalesce(F.get_json_object("message", "$.content[*].type").contains('tool_result'), F.lit(False))
+    sizes = records.select(
+        norm_id("session_id").alias("session_id"), "line_no", "ingested_at", F.coalesce(F.char_length("message"), F.lit(0)).cast("long").alias("size"), F.coalesce(has_result, F.lit(False)).alias("answers")
+    )
+    once = sizes.groupBy("session_id", "line_no").agg(F.max(F.struct("ingested_at", "size", "answers")).alias("x")).select("session_id", "line_no", "x.size", "x.answers")
+    return lines.join(once, ["session_id", "line_no"])
 
 
-def segment_pieces(segments: DataFrame, records: DataFrame, limit: int = SEGMENT_LIMIT, span: int = SPAN) -> DataFrame:
-    """Pieces of segments over the limit: session_id, seg, span, piece, first_line, last_line, n_records, n_chars, segment_chars."""
+def segment_cuts(rows: DataFrame, limit: int = SEGMENT_LIMIT, width: int = blocked.WIDTH) -> DataFrame:
+    """rows (session_id, seg, line_no, size, answers) with starts: whether a piece starts at the record.
+
+    A record over the limit stands alone, and parts the records into runs. A run of total size T takes k - 1 targets at
+    T / k, 2 T / k and so on, k being the least number of pieces; each target snaps to the boundary of most strength
+    (no answer follows) within a quarter of a piece, else to the nearest. A run with a piece over the limit takes one
+    target more in the next round, then two more, then four, until every piece fits (at the latest when targets are so
+    dense that each record is a piece).
+    """
+    key = ["session_id", "seg"]
+    d = blocked.running_sum(rows, key, "line_no", (F.col("size") > limit).cast("int"), "run", width)
+    d = d.withColumn("alone", F.col("size") > limit)
+    d = blocked.running_sum(d, key, "line_no", F.when(~F.col("alone"), F.col("size")).otherwise(0), "ends", width)
+    d = cut_lineage(d)
+    run = [*key, "run"]
+    inner = d.filter("not alone").select(*run, "line_no", "size", "answers", "ends")
+    runs = inner.groupBy(*run).agg(F.sum("size").alias("total"), F.min(F.col("ends") - F.col("size")).alias("base"))
+    todo = runs.filter(F.col("total") > limit).withColumn("k", F.ceil(F.col("total") / limit))
+    found, more = None, 1
+    while True:
+        # a cut lies before a record; the first of a run is none
+        here = inner.join(todo, run).withColumn("at", F.col("ends") - F.col("size") - F.col("base")).withColumn("piece", F.col("total") / F.col("k"))
+        target = F.least(F.greatest(F.round(F.col("at") / F.col("piece")), F.lit(1)), F.col("k") - 1).cast("long")
+        off = F.abs(F.col("at") - target * F.col("piece"))
+        rank = F.struct(F.when((off <= F.col("piece") / 4) & ~F.col("answers"), 0).when(off <= F.col("piece") / 4, 1).otherwise(2), off, "line_no")
+        cuts = here.filter("at > 0").groupBy(*run, "k", "total", "base", target.alias("target")).agg(F.min_by("line_no", rank).alias("line_no"), F.min_by("at", rank).alias("at"))
+        edges = cuts.select(*run, "k", "total", "base", "line_no", "at").unionByName(todo.select(*run, "k", "total", "base", F.lit(None).cast("long").alias("line_no"), F.col("total").alias("at")))
+        edges = blocked.previous(edges.withColumn("place", F.floor(F.col("at") * F.col("k") / F.col("total"))), run, "at", F.col("at"), "before", width * limit)
+        edges = cut_lineage(edges.withColumn("held", F.col("at") - F.coalesce("before", F.lit(0))))
+        bad = edges.filter(F.col("held") > limit).select(*run).distinct()
+        good = edges.filter("line_no is not null").join(bad, run, "left_anti").select(*key, "line_no")
+        found = good if found is None else found.unionByName(good)
+        if not bad.limit(1).count():
+            break
+        todo = cut_lineage(todo.join(bad, run, "left_semi").withColumn("k", F.col("k") + more))
+        more *= 2
+    first = d.groupBy(*run, "alone").agg(F.min("line_no").alias("line_no")).select(*key, "line_no")  # of a segment, after a lone record, and lone ones
+    starts = found.unionByName(first).distinct().withColumn("starts", F.lit(True))
+    return d.join(starts, [*key, "line_no"], "left").select(*key, "line_no", "size", "alone", F.coalesce("starts", F.lit(False)).alias("starts"))
+
+
+def segment_pieces(segments: DataFrame, records: DataFrame, limit: int = SEGMENT_LIMIT, width: int = blocked.WIDTH) -> DataFrame:
+    """Pieces of segments over the limit: session_id, seg, piece, first_line, last_line, n_records, n_chars, segment_chars.
+
+    A piece starts with the last record of the piece before if both fit.
+    """
+    key = ["session_id", "seg"]
     rows = segment_records(segments, records)
-    big = rows.groupBy("session_id", "seg").agg(F.sum("size").alias("segment_chars")).filter(F.col("segment_chars") > limit)
-    rows = rows.join(big, ["session_id", "seg"]).withColumn("span", F.floor(F.col("line_no") / span).cast("long"))
-    ends = rows.groupBy("session_id", "seg", "span").agg(F.max(F.struct("line_no", "size")).alias("last"))
-    before = ends.select(
-        "session_id", "seg", "span", F.lag("last").over(Window.partitionBy("session_id", "seg").orderBy("span")).alias("p")
-    ).select("session_id", "seg", "span", F.col("p.line_no").alias("p_line"), F.col("p.size").alias("p_size"))
-    rows = rows.join(before, ["session_id", "seg", "span"])
-
-    def cut(g: dict) -> dict:
-        lines, sizes = g["line_no"], g["size"]
-        found = split_sizes(sizes, limit, g["p_size"][0])
-        out: dict = {k: [g[k][0]] * len(found) for k in ("session_id", "seg", "span", "segment_chars")}
-        total = lambda a, b: sum(sizes[max(a, 0) : b + 1]) + (g["p_size"][0] if a < 0 else 0)
-        return out | {
-            "piece": list(range(len(found))), "first_line": [g["p_line"][0] if a < 0 else lines[a] for a, _ in found], "last_line": [lines[b] for _, b in found],
-            "n_records": [b - a + 1 for a, b in found], "n_chars": [total(a, b) for a, b in found],
-        }
-
-    schema = "session_id string, seg long, span long, piece int, first_line long, last_line long, n_records int, n_chars long, segment_chars long"
-    return map_fragments(rows.select("session_id", "seg", "span", "line_no", "size", "p_line", "p_size", "segment_chars"), ["session_id", "seg", "span"], ["line_no"], cut, schema)
+    big = rows.groupBy(*key).agg(F.sum("size").alias("segment_chars")).filter(F.col("segment_chars") > limit)
+    d = segment_cuts(rows.join(big, key), limit, width)
+    d = blocked.running_sum(d, key, "line_no", F.col("starts").cast("int"), "piece", width)
+    p = d.groupBy(*key, (F.col("piece") - 1).alias("piece")).agg(
+        F.min("line_no").alias("first"), F.max("line_no").alias("last_line"), F.count("*").alias("n"), F.sum("size").alias("own"), F.max_by("size", "line_no").alias("last_size"),
+    )
+    p = blocked.previous(p, key, "piece", F.struct("last_line", "last_size"), "p", width)
+    shares = F.coalesce((F.col("p.last_size") <= limit) & (F.col("p.last_size") + F.col("own") <= limit), F.lit(False))
+    return p.join(big, key).select(
+        *key, "piece", F.when(shares, F.col("p.last_line")).otherwise(F.col("first")).alias("first_line"), "last_line", (F.col("n") + shares.cast("int")).alias("n_records"),
+        (F.col("own") + F.when(shares, F.col("p.last_size")).otherwise(0)).alias("n_chars"), "segment_chars",
+    )
 
 
 def oversized(segments: DataFrame, records: DataFrame) -> DataFrame:
     """The items that were cut: item_kind, session_id, item_no."""
     m = message_pieces(records).filter("piece = 0").select(F.lit("message").alias("item_kind"), "session_id", F.col("line_no").alias("item_no"))
-    s = segment_pieces(segments, records).filter("piece = 0").select(F.lit("segment").alias("item_kind"), "session_id", F.col("seg").alias("item_no")).distinct()
+    s = segment_pieces(segments, records).filter("piece = 0").select(F.lit("segment").alias("item_kind"), "session_id", F.col("seg").alias("item_no"))
     return m.unionByName(s)
