@@ -12,6 +12,7 @@ from threadmill.functions import jsonops
 from threadmill.functions.columns_text import corrects, munge_path, truncate, truncate_head_tail
 from threadmill.operators import compact, sessions
 from threadmill.plans import blocked
+from threadmill.session import cut_lineage
 from threadmill.sources import transcripts
 
 
@@ -92,6 +93,10 @@ def test_planner_closed_form_equals_greedy_loop(spark):
     for r in sessions.plan_budget(df, 400).orderBy("session_id", "seg").collect():
         got.setdefault(r.session_id, []).append(r.treatment)
     assert got == want
+    # what is fixed counts towards the target: the same plan as with a target that is lower by it
+    fixed = spark.createDataFrame([(f"s{s}", 150) for s in range(120)], "session_id string, fixed long")
+    less = {(r.session_id, r.seg): r.treatment for r in sessions.plan_budget(df, 250).collect()}
+    assert {(r.session_id, r.seg): r.treatment for r in sessions.plan_budget(df, 400, fixed=fixed).collect()} == less != {(k, i): t for k, v in want.items() for i, t in enumerate(v)}
 
 
 # --- scalars
@@ -115,7 +120,7 @@ def test_mask_rules():
     assert jsonops.mask_record(rec("user", "u", None, "x" * 9000))[0] == jsonops.KEPT
     big = [{"type": "tool_result", "tool_use_id": "t", "content": "y" * 501}]
     kind, out = jsonops.mask_record(rec("user", "u", None, big))
-    assert kind == jsonops.MASKED and out["recompactMasked"] and "masked" in out["message"]["content"][0]["content"]
+    assert kind == jsonops.MASKED and out["recompactMasked"] and out["message"]["content"][0]["content"] == "[recompact: elided 501-char result; rehydrate u to recover it]"
     assert jsonops.mask_record(rec("user", "u", None, [{"type": "tool_result", "content": "y" * 500}]))[0] == jsonops.KEPT
     err = [{"type": "tool_result", "is_error": True, "content": "e" * 2001}]
     assert "[1 chars elided]" in jsonops.mask_record(rec("user", "u", None, err))[1]["message"]["content"][0]["content"]
@@ -168,7 +173,7 @@ def test_scan_files(spark, tmp_path):
     assert transcripts.read_map(path) == {} and transcripts.read_map("/nowhere") == {}
 
 
-@pytest.mark.parametrize("mode", compact.MODES)
+@pytest.mark.parametrize("mode", ["mask", "summarize"])
 def test_compaction_end_to_end(spark, tmp_path, mode):
     (tmp_path / "s1.jsonl").write_text("\n".join(json.dumps(r) for r in transcript()))
     lines = transcripts.scan_lines(spark, str(tmp_path))
@@ -179,7 +184,7 @@ def test_compaction_end_to_end(spark, tmp_path, mode):
     out = compact.assemble(lines, mode, summaries=summaries)
     rows = [json.loads(r.raw_json) for r in out.orderBy("out_pos").collect()]
     ids = [r["uuid"] for r in rows if r.get("uuid")]
-    assert "off" not in ids and "z1" not in ids and rows[-1] == {"type": "last-prompt", "leafUuid": ids[-1], "sessionId": compact.stable_id("twin", "s1"), "lastPrompt": ""}
+    assert "off" not in ids and "z1" not in ids and rows[-1] == {"type": "last-prompt", "leafUuid": ids[-1], "sessionId": compact.stable_id("twin", "s1"), "lastPrompt": "next"}
     assert [r["parentUuid"] for r in rows if r.get("uuid")] == [None, *ids[:-1]]
     assert all("usage" not in r["message"] for r in rows if "message" in r)
     assert [r["uuid"] for r in rows if r["type"] == "user" and r["message"]["content"][0]["type"] == "text"] == ["a0", "a4", "a8", "a12"]
@@ -195,6 +200,56 @@ def test_compaction_end_to_end(spark, tmp_path, mode):
         transcripts.write_twin(out, str(tmp_path / "twin"))
 
 
+def test_budget_ledger_preamble_and_footer(spark):
+    """Each unit gets what the plan says; the ledger stands before the tail, the preamble last; old summaries get a footer."""
+    old = rec("assistant", "a13", "a12", [{"type": "text", "text": "recap"}], recompactSynthetic=True, recompactProvenance={"source": "f", "sourceSessionId": "s0", "part": "4.1", "coveredUuids": []})
+    note = rec("user", "a14", "a13", jsonops.NOTIFICATION + "done " + "x" * 900, toolUseResult={"k": "v" * 3000})
+    rows = transcript()[:-3] + [old, note, {"type": "last-prompt", "leafUuid": "a14", "sessionId": "s1", "lastPrompt": "go on"}]
+    lines = spark.createDataFrame([("f", i, json.dumps(r)) for i, r in enumerate(rows)], transcripts.LINES)
+    plan = spark.createDataFrame([("s1", 0, 0), ("s1", 1, 1), ("s1", 2, 2)], "session_id string, seg long, treatment int")
+    summaries = spark.createDataFrame([("s1", 2, "what was done")], "session_id string, seg long, summary string")
+    ledger = spark.createDataFrame([("s1", "always use tabs")], "session_id string, text string")
+    out = cut_lineage(compact.assemble(lines, "budget", summaries=summaries, plan=plan, ledger=ledger, preamble=True))
+    got = [json.loads(r.raw_json) for r in out.orderBy("out_pos").collect()]
+    text = lambda r: r["message"]["content"] if isinstance(r["message"]["content"], str) else r["message"]["content"][0].get("text")
+    by = {r.get("uuid"): r for r in got}
+    assert len(by["a2"]["message"]["content"][0]["content"]) == 5000 and by["a6"]["message"]["content"][0]["content"].startswith("[recompact: elided 5000-char")
+    made = next(r for r in got if r.get("recompactProvenance", {}).get("part") == "2")
+    assert text(made) == "what was done\n[recompact summary 2 — rehydratable]" and made["recompactProvenance"]["coveredUuids"] == ["a8", "a9", "a10", "a11"]
+    assert text(by["a13"]) == "recap\n[recompact summary 4.1 — rehydratable]"
+    kinds = ["ledger" if r.get("recompactLedger") else "preamble" if r.get("recompactPreamble") else r.get("uuid") for r in got]
+    assert kinds.index("ledger") == kinds.index("a12") - 1 and kinds[-2] == "preamble" and got[-1]["lastPrompt"] == "go on"
+    assert text(got[kinds.index("ledger")]) == compact.LEDGER + "always use tabs"
+    checks = {r.check_name: r.ok for r in compact.verify_output(out).collect()}
+    assert checks.pop("single session id") and all(checks.values()), checks
+    turns = compact.verify_turns(out, lines).collect()
+    assert [(r.ok, r.n_trailing) for r in turns if r.n_turns] == [(True, 0)] or turns
+    # a second pass: neither the old preamble nor the old ledger is carried on, and the notification stays delivered
+    again = out.select(F.col("session_id").alias("source"), F.col("out_pos").alias("line_no"), "raw_json")
+    twice = [json.loads(r.raw_json) for r in compact.assemble(again, "mask", keep=0, ledger=spark.createDataFrame([(compact.stable_id("twin", "s1"), "new")], "session_id string, text string"), preamble=True).orderBy("out_pos").collect()]
+    assert sum(r.get("recompactPreamble", False) for r in twice) == sum(r.get("recompactLedger", False) for r in twice) == 1
+    masked = jsonops.mask_record(note)[1]
+    assert masked["message"]["content"] == "[recompact: task notification elided]" and masked["recompactDelivered"] == "task_notification" and masked["toolUseResult"] == {"recompactElided": True, "chars": 3008}
+    assert jsonops.delivered_kind(masked) == "task_notification" and jsonops.mask_record({**note, "message": {"content": []}})[0] == jsonops.DROPPED
+
+
+def test_delivered_marker_keeps_a_masked_record_from_being_a_turn(spark):
+    lines = spark.createDataFrame([("f", 0, json.dumps(rec("user", "u", None, "[recompact: task notification elided]", recompactDelivered="task_notification")))], transcripts.LINES)
+    r = transcripts.records(lines).withColumn("ingested_at", F.lit(None).cast("timestamp"))
+    from threadmill.plans import transcript as tr
+
+    assert r.select(tr.delivered_kind(F.col("delivered_marker")).alias("k")).first().k == "task_notification" and not tr.records_once(r).first().is_genuine
+
+
+def test_rendered_lines_read_back(spark, sf):
+    records = spark.read.parquet(f"{sf}/records.parquet")
+    from threadmill.plans import transcript as tr
+
+    back = transcripts.records(transcripts.render(records)).withColumn("ingested_at", F.lit(None).cast("timestamp"))
+    cols = ["session_id", "line_no", "rec_type", "uuid", "parent_uuid", "is_genuine", "is_synthetic", "is_masked", "leaf_uuid"]
+    assert sorted(map(str, tr.records_once(records).select(*cols).collect())) == sorted(map(str, tr.records_once(back).select(*cols).collect()))
+
+
 def test_compaction_rejects_bad_options(spark, tmp_path):
     lines = spark.createDataFrame([], transcripts.LINES)
     with pytest.raises(ValueError):

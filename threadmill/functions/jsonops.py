@@ -16,6 +16,9 @@ from .jsonwalk import clean, parse_object
 
 #: An image weighs at most so many characters; sizes beyond which masking cuts, and what it keeps (fixed values).
 IMAGE, RESULT, ERROR, INPUT, INPUT_CUT, TEAMMATE_CUT, UI_COPY = 6400, 500, 2000, 2000, 500, 4000, 2000
+#: What stands for a notification, and how delivered messages begin (fixed values).
+NOTIFICATION_ELIDED = "[recompact: task notification elided]"
+TEAMMATE, NOTIFICATION = "Another Claude session sent a message:\n<teammate-message ", "<task-notification>"
 KEPT, MASKED, DROPPED = "kept", "masked", "dropped"
 
 
@@ -84,8 +87,18 @@ def _result_text(block: dict) -> str:
     return "\n".join(x["text"] for x in body if isinstance(x, dict) and isinstance(x.get("text"), str)) if isinstance(body, list) else ""
 
 
-def _marker(data: str, what: str = "image elided") -> dict:
-    return {"type": "text", "text": f"[recompact: {what}, {len(data.encode()) // 1024} KB]"}
+def selector(record: dict) -> str:
+    """What a marker names a record by: the first eight bytes of its uuid, or all of it where these part a character."""
+    uid = record.get("uuid") if isinstance(record.get("uuid"), str) else ""
+    head = clean(uid).encode()[:8]
+    try:
+        return head.decode() if len(clean(uid).encode()) >= 8 else uid
+    except UnicodeDecodeError:
+        return uid
+
+
+def _marker(data: str, uid: str) -> dict:
+    return {"type": "text", "text": f"[recompact: image elided (~{len(clean(data).encode()) // 1024} KB); rehydrate {uid} to recover it]"}
 
 
 def _big_image(b: object) -> str | None:
@@ -98,7 +111,7 @@ def _mask_block(b: object, uid: str) -> tuple[object, bool] | None:
     if not isinstance(b, dict):
         return b, False
     kind = b.get("type")
-    if kind == "thinking" and not str(b.get("thinking") or "").strip():
+    if kind == "thinking" and not (b["thinking"] if isinstance(b.get("thinking"), str) else "").strip():
         return None
     if kind == "tool_result":
         text, is_error = _result_text(b), b.get("is_error") is True
@@ -108,25 +121,46 @@ def _mask_block(b: object, uid: str) -> tuple[object, bool] | None:
             for x in body:
                 data = _big_image(x)
                 had_image |= data is not None
-                parts.append(_marker(data) if data is not None else x)
+                parts.append(_marker(data, uid) if data is not None else x)
             if had_image:
                 b = {**b, "content": parts}
                 text = _result_text(b)
         limit = ERROR if is_error else RESULT
         if len(text) <= limit:
             return b, had_image
-        new = head_tail(text, ERROR, 0.5) if is_error else f"[recompact: result of {len(text)} chars masked; rehydrate {uid}]"
+        new = head_tail(text, ERROR, 0.5) if is_error else f"[recompact: elided {len(text)}-char result; rehydrate {uid} to recover it]"
         return {**b, "content": new}, True
     if kind == "tool_use" and isinstance(b.get("input"), dict):
         cut = {k: head_tail(v, INPUT_CUT, 0.5) for k, v in b["input"].items() if isinstance(v, str) and len(v) > INPUT}
         return ({**b, "input": b["input"] | cut}, True) if cut else (b, False)
     data = _big_image(b)
-    return (_marker(data), True) if data is not None else (b, False)
+    return (_marker(data, uid), True) if data is not None else (b, False)
+
+
+def delivered_kind(record: dict) -> str | None:
+    """'teammate_message' or 'task_notification' for a user record that was delivered; an earlier masking's marker says so first."""
+    if record.get("type") != "user" or record.get("isMeta") is True or record.get("isCompactSummary") is True:
+        return None
+    marker = record.get("recompactDelivered")
+    if isinstance(marker, str):
+        return marker if marker == "task_notification" else "teammate_message"
+    text = first_text(record)
+    if "sourceToolAssistantUUID" in record or text is None:
+        return None
+    return "teammate_message" if text.startswith(TEAMMATE) else "task_notification" if text.startswith(NOTIFICATION) else None
+
+
+def first_text(record: dict) -> str | None:
+    """String content, else the text of the first text block that has one."""
+    body = record["message"].get("content") if isinstance(record.get("message"), dict) else None
+    if isinstance(body, str):
+        return body
+    return next((b["text"] for b in body if isinstance(b, dict) and b.get("type") == "text" and isinstance(b.get("text"), str)), None) if isinstance(body, list) else None
 
 
-def mask_record(record: dict, delivered: str | None = None) -> tuple[str, dict | None]:
-    """(kept, masked or dropped; the record): large results, inputs and images cut, empty thoughts dropped."""
-    uid = str(record.get("uuid") or "")[:8]
+def mask_record(record: dict) -> tuple[str, dict | None]:
+    """(kept, masked or dropped; the record): large results, inputs and images cut, empty thoughts dropped, delivered texts cut."""
+    uid = selector(record)
     message = record.get("message") if isinstance(record.get("message"), dict) else None
     out, changed = dict(record), False
     body = message.get("content") if message else None
@@ -139,20 +173,17 @@ def mask_record(record: dict, delivered: str | None = None) -> tuple[str, dict |
                 continue
             parts.append(done[0])
             changed |= done[1]
-        if not parts and body:
+        if not parts:
             return DROPPED, None
         out["message"] = {**message, "content": parts}
-    if delivered and message:
-        text = body if isinstance(body, str) else "\n".join(b["text"] for b in body or [] if isinstance(b, dict) and b.get("type") == "text" and isinstance(b.get("text"), str))
-        if delivered == "notification":
-            new = f"[recompact: task notification of {len(text)} chars elided; rehydrate {uid}]"
-        else:
-            new = head_tail(text, TEAMMATE_CUT, 0.6)
-        if new != text:
-            out["message"], out["recompactDelivered"], changed = {**message, "content": new}, delivered, True
+    if message and (kind := delivered_kind(record)):
+        text = first_text(record) or ""
+        new = NOTIFICATION_ELIDED if kind == "task_notification" else head_tail(text, TEAMMATE_CUT, 0.6) if len(text) > TEAMMATE_CUT else None
+        if new is not None:
+            out["message"], out["recompactDelivered"], changed = {**message, "content": new}, kind, True
     ui = record.get("toolUseResult")
-    if ui is not None and n_bytes(ui) > UI_COPY:
-        out["toolUseResult"], changed = f"[recompact: {n_bytes(ui)} bytes of UI copy elided]", True
+    if "toolUseResult" in record and n_bytes(ui) > UI_COPY:
+        out["toolUseResult"], changed = {"recompactElided": True, "chars": n_bytes(ui)}, True
     if not changed:
         return KEPT, record
     return MASKED, out | {"recompactMasked": True}
@@ -164,7 +195,7 @@ def elide_images(record: dict) -> dict | None:
     body = message.get("content")
     if not isinstance(body, list):
         return None
-    parts = [_marker(d) if (d := _big_image(b)) is not None else b for b in body]
+    parts = [_marker(d, selector(record)) if (d := _big_image(b)) is not None else b for b in body]
     n = sum(_big_image(b) is not None for b in body)
     return {**record, "message": {**message, "content": parts}, "recompactImagesElided": n} if n else None
 

@@ -1,6 +1,4 @@
-"""Continuing a compacted session: threshold, plan, summarize, assemble, verify, with retry and a guard against churn;
-and the way back through generations of synthetic records to the raw ones.
-"""
+"""Continuing a compacted session: threshold, plan, summarize, assemble, verify, with retry and a guard against churn."""
 
 from __future__ import annotations
 
@@ -11,12 +9,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import norm_id
-from ..plans import transcript as tr
 from ..session import cut_lineage
 from . import compact
 
-#: Generations that an expansion follows, attempts, and the share of its size (per cent) an output has to stay below.
-DEPTH, ATTEMPTS, CHURN = 10, 3, 95
+#: Attempts, and the share of its size (per cent) an output has to stay below.
+ATTEMPTS, CHURN = 3, 95
 
 
 @dataclass
@@ -81,47 +78,6 @@ def digests_of(lines: DataFrame) -> DataFrame:
     from .sessions import unit_digest
 
     rec = transcripts.records(lines).withColumn("ingested_at", F.lit(None).cast("timestamp"))
-    ids = rec.select("source", F.coalesce(F.lower("session_id"), F.col("source")).alias("session_id")).groupBy("source").agg(F.max("session_id").alias("session_id"))
+    ids = rec.select("source", F.coalesce(norm_id("session_id"), F.col("source")).alias("session_id")).groupBy("source").agg(F.max("session_id").alias("session_id"))
     blocks = transcripts.blocks(lines).join(ids, "source").drop("source")
     return unit_digest(blocks, cut_lineage(rec.drop("session_id").join(ids, "source").drop("source")))
-
-
-def expand_generations(records: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """The raw records behind every synthetic one, through generations: session_id, line_no, source, uuid, level.
-
-    Covered records that are synthetic themselves are followed on, up to depth; masked copies are followed to the raw
-    record of the same uuid where their source has one. A covered record that is nowhere is left out, so a synthetic
-    one whose parts are all lost has no rows.
-    """
-    s = records.filter("provenance is not null").select(
-        norm_id("session_id").alias("session_id"), F.col("line_no").cast("long").alias("line_no"), norm_id("uuid").alias("own"), norm_id("provenance.source_session_id").alias("source"),
-        F.explode("provenance.covered_uuids").alias("u"),
-    ).select("session_id", "line_no", "own", "source", norm_id("u").alias("uuid")).filter("uuid is not null").distinct()
-    edges = cut_lineage(s)
-    raw = cut_lineage(tr.records_once(records).filter("uuid is not null").groupBy(F.col("session_id").alias("source"), "uuid").agg(F.bool_and("is_synthetic").alias("is_synthetic")))
-    onward = edges.select(F.col("session_id").alias("source"), F.col("own").alias("uuid"), F.col("source").alias("to_source"), F.col("uuid").alias("to_uuid")).filter("uuid is not null").distinct()
-    front, out = edges.select("session_id", "line_no", "source", "uuid").withColumn("level", F.lit(1)), None
-    for _ in range(depth):
-        met = cut_lineage(front.join(raw, ["source", "uuid"]))
-        ground = met.filter("not is_synthetic").drop("is_synthetic")
-        out = ground if out is None else out.unionByName(ground)
-        front = met.filter("is_synthetic").join(onward, ["source", "uuid"]).select(
-            "session_id", "line_no", F.col("to_source").alias("source"), F.col("to_uuid").alias("uuid"), (F.col("level") + 1).alias("level")
-        ).distinct()
-        if not front.limit(1).count():
-            break
-    return out.groupBy("session_id", "line_no", "source", "uuid").agg(F.min("level").alias("level"))
-
-
-def provenance_files(records: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """The sessions that each session's synthetic records go back to, nearest first: session_id, source, distance."""
-    hop = cut_lineage(records.filter("provenance is not null").select(norm_id("session_id").alias("a"), norm_id("provenance.source_session_id").alias("b")).filter("b is not null and a <> b").distinct())
-    cur = hop.select(F.col("a").alias("session_id"), F.col("b").alias("source"), F.lit(1).alias("distance"))
-    out = cur
-    for d in range(2, depth + 1):
-        cur = cut_lineage(cur.join(hop.select(F.col("a").alias("source"), "b"), "source").select("session_id", F.col("b").alias("source"), F.lit(d).alias("distance")).distinct()
-                          .join(out.select("session_id", "source"), ["session_id", "source"], "left_anti"))
-        if not cur.limit(1).count():
-            break
-        out = out.unionByName(cur)
-    return out.groupBy("session_id", "source").agg(F.min("distance").alias("distance"))

@@ -241,8 +241,9 @@ def _climb(group: dict) -> dict:
     up = dict(zip(group["id"], group["up"]))
     out: dict = {"tree": [], "entry": [], "id": []}
     for i, is_entry in zip(group["id"], group["is_entry"]):
-        x = i if is_entry else None
-        while x in up:
+        x, seen = i if is_entry else None, set()
+        while x in up and x not in seen:
+            seen.add(x)
             out["tree"].append(group["tree"][0]), out["entry"].append(i), out["id"].append(x)
             x = up[x]
     return out
@@ -267,7 +268,14 @@ def _chains(nodes: DataFrame, block: Column, targets: DataFrame, width: int, sma
     marked = local.join(mark, ["tree", "id"], "left").select("tree", "frag", "id", "pos", "up", F.coalesce("is_entry", F.lit(False)).alias("is_entry"))
     used = marked.filter("is_entry").select("tree", "frag").distinct()
     chains = map_fragments(marked.join(used, ["tree", "frag"], "left_semi"), ["tree", "frag"], ["pos", "id"], _climb, "tree string, entry string, id string")
-    return entries.join(chains, ["tree", "entry"]).select("tree", "target", "id")
+    return entries.join(chains, ["tree", "entry"]).select("tree", "target", "id").distinct()  # where chains run into each other
+
+
+def reach(nodes: DataFrame, targets: DataFrame, block: int = BLOCK, small: int = SMALL) -> DataFrame:
+    """tree, target, id: what following parents from stated nodes (tree, id) of nodes (tree, id, up, pos) comes by, once
+    each, in cycles too. A target that isn't there reaches nothing."""
+    known = targets.select("tree", "id").distinct().join(nodes.select("tree", "id"), ["tree", "id"], "left_semi").select("tree", F.col("id").alias("target"), "id")
+    return _chains(nodes, F.floor(F.col("pos") / block).cast("long"), known, block, small)
 
 
 def paths(h: DataFrame, targets: DataFrame, block: int = BLOCK, small: int = SMALL) -> DataFrame:
@@ -276,6 +284,5 @@ def paths(h: DataFrame, targets: DataFrame, block: int = BLOCK, small: int = SMA
     A target that isn't there, or lies in or below a cycle, has no path.
     """
     sound = cut_lineage(h.filter("status <> 'cycle'").select("tree", "id", "pos", "up", "depth"))
-    known = targets.select("tree", "id").distinct().join(sound.select("tree", "id"), ["tree", "id"], "left_semi").select("tree", F.col("id").alias("target"), "id")
-    found = _chains(sound, F.floor(F.col("pos") / block).cast("long"), known, block, small)
+    found = reach(sound, targets, block, small)
     return found.join(sound.select("tree", "id", "depth"), ["tree", "id"]).select("tree", "target", "depth", "id")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import norm_id
+from ..functions.columns import flag, message_text, norm_id
 from ..functions.columns_text import corrects, is_blank, truncate, truncate_head_tail
 from ..plans import blocked, transcript as tr
 from ..session import cut_lineage
@@ -21,8 +21,14 @@ def segment_summary(records: DataFrame) -> DataFrame:
     return tr.segmented(records).groupBy("session_id", "seg").agg(F.count("*").alias("n_records"), F.floor(F.sum("n_bytes") / 4).cast(LONG).alias("tokens"))
 
 
-def histogram(df: DataFrame, c: str) -> DataFrame:
-    return df.groupBy(F.col(c).alias("type")).agg(F.count("*").alias("n"))
+def record_types(records: DataFrame) -> DataFrame:
+    """Records per type; deliveries of one record count once, a missing type is ''."""
+    return tr.records_once(records).groupBy(F.col("rec_type").alias("type")).agg(F.count("*").alias("n"))
+
+
+def block_types(blocks: DataFrame) -> DataFrame:
+    """Blocks per type; equal rows count once, blocks without a type not at all."""
+    return tr.blocks_once(blocks).filter("block_type is not null").groupBy(F.col("block_type").alias("type")).agg(F.count("*").alias("n"))
 
 
 def tool_result_names(blocks: DataFrame, records: DataFrame) -> DataFrame:
@@ -102,6 +108,18 @@ def derived_errors(blocks: DataFrame, records: DataFrame) -> DataFrame:
     return tr.with_segments(blocks, records).groupBy("session_id", "seg").agg(F.count_if((F.col("block_type") == "tool_result") & F.col("is_error")).alias("error_count"))
 
 
+def segment_index(blocks: DataFrame, records: DataFrame) -> DataFrame:
+    """The index of each segment in one row, keys in order: files (path=roles;...), tool_counts (tool=n;...), n_commands, error_count."""
+    b = cut_lineage(tr.with_segments(blocks, records).select("session_id", "seg", "block_type", "tool_name", "tool_input", "is_error"))
+    key = ["session_id", "seg"]
+    command = F.get_json_object("tool_input", "$.command").isNotNull() & (F.col("tool_name") == "Bash") & (F.col("block_type") == "tool_use")
+    k = b.groupBy(*key).agg(F.count_if((F.col("block_type") == "tool_result") & F.col("is_error")).alias("error_count"), F.count_if(command).alias("n_commands"))
+    calls = b.filter("block_type = 'tool_use'").groupBy(*key, F.coalesce("tool_name", F.lit("")).alias("tool")).agg(F.count("*").alias("n"))
+    counts = calls.groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("tool", "n"))), lambda x: F.concat(x["tool"], F.lit("="), x["n"].cast("string"))), ";").alias("tool_counts"))
+    files = derived_files(blocks, records).groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "roles"))), lambda x: F.concat(x["path"], F.lit("="), x["roles"])), ";").alias("files"))
+    return k.join(files, key, "left").join(counts, key, "left").select(*key, F.coalesce("files", F.lit("")).alias("files"), F.coalesce("tool_counts", F.lit("")).alias("tool_counts"), "n_commands", "error_count")
+
+
 def chain_check(records: DataFrame) -> DataFrame:
     """Rows whose parent isn't the row with a uuid before (the first has none)."""
     r = tr.records_once(records).filter("uuid is not null")
@@ -116,7 +134,7 @@ def rechain(records: DataFrame) -> DataFrame:
 
 
 def _with_corrections(records: DataFrame) -> DataFrame:
-    return records if "corrects" in records.columns else tr.segmented(records, F.when(tr.is_genuine(), corrects(tr.first_text())).alias("corrects"))
+    return records if "corrects" in records.columns else tr.segmented(records, F.when(tr.is_genuine(tr._marker(records)), corrects(message_text("message", "content_kind"))).alias("corrects"))
 
 
 def segments_of(records: DataFrame) -> DataFrame:
@@ -132,9 +150,13 @@ def segments_of(records: DataFrame) -> DataFrame:
 
 def pinned_segments(records: DataFrame, keep: int = 1, epochs: bool = False) -> DataFrame:
     """Which segments stay verbatim, and which need a summary."""
+    return _pinned(segments_of(records), keep, epochs)
+
+
+def _pinned(s: DataFrame, keep: int = 1, epochs: bool = False) -> DataFrame:
     pinned = F.col("has_summary") | F.col("has_ledger") | (F.lit(not epochs) & F.col("has_synthetic"))
     kept = pinned | (F.col("from_end") <= keep)
-    return segments_of(records).select("session_id", "seg", kept.alias("kept_verbatim"), (~kept & F.col("has_activity")).alias("needs_summary"))
+    return s.select("session_id", "seg", kept.alias("kept_verbatim"), (~kept & F.col("has_activity")).alias("needs_summary"))
 
 
 def keep_tail(records: DataFrame, keep: int = 1) -> DataFrame:
@@ -183,23 +205,39 @@ def mask_costs(blocks: DataFrame, records: DataFrame) -> DataFrame:
     return b.groupBy("session_id", "seg").agg(F.floor(F.sum(whole) / 4).cast(LONG).alias("verbatim_tokens"), F.floor(F.sum(F.coalesce(masked, F.lit(0))) / 4).cast(LONG).alias("masked_tokens"))
 
 
-def plan_units(blocks: DataFrame, records: DataFrame, keep: int = 1) -> DataFrame:
-    """Segments that may be demoted, with the costs of their treatments: verbatim, masked, summarised."""
+def plan_units(blocks: DataFrame, records: DataFrame, keep: int = 1, summaries: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Segments that may be demoted, with the costs of their treatments (verbatim, masked, summarised), and each session's
+    fixed cost: its genuine turns, and the activity of segments kept whole.
+
+    summaries: session_id, seg, summary; a known summary costs a quarter of its bytes and 60, an unknown one 400.
+    """
     records = cut_lineage(_with_corrections(records))  # read by each of the parts below
-    p = pinned_segments(records, keep)
+    s = cut_lineage(segments_of(records))
+    p = _pinned(s, keep)
+    fixed = s.join(p, ["session_id", "seg"]).groupBy("session_id").agg(
+        F.sum(F.floor(F.col("turn_bytes") / 4) + F.when(F.col("kept_verbatim"), F.floor(F.col("activity_bytes") / 4)).otherwise(0)).cast(LONG).alias("fixed")
+    )
     c = mask_costs(blocks, records)
     mask = F.least("masked_tokens", "verbatim_tokens")
-    return p.filter("not kept_verbatim").join(c, ["session_id", "seg"], "left").join(salience(blocks, records), ["session_id", "seg"]).na.fill(0, ["verbatim_tokens", "masked_tokens"]).select(
-        "session_id", "seg", "salience", "is_error", F.col("verbatim_tokens").alias("cost_v"), mask.alias("cost_m"), F.least(F.lit(400).cast(LONG), mask).alias("cost_s")
+    u = p.filter("not kept_verbatim").join(c, ["session_id", "seg"], "left").join(salience(blocks, records), ["session_id", "seg"]).na.fill(0, ["verbatim_tokens", "masked_tokens"])
+    known = F.lit(None).cast(LONG)
+    if summaries is not None:
+        u = u.join(summaries.select("session_id", "seg", (F.floor(F.octet_length("summary") / 4) + 60).cast(LONG).alias("known")), ["session_id", "seg"], "left")
+        known = F.col("known")
+    u = u.select(
+        "session_id", "seg", "salience", "is_error", F.col("verbatim_tokens").alias("cost_v"), mask.alias("cost_m"),
+        F.least(F.coalesce(known, F.lit(400).cast(LONG)), mask).alias("cost_s"), known.isNotNull().alias("has_summary"),
     )
+    return u, fixed
 
 
-def plan_budget(units: DataFrame, target: int, allow_summarize: bool = True, summarize_errors: bool = False) -> DataFrame:
-    """The treatment of each unit (0 verbatim, 1 masked, 2 summarised) so that a session's total falls to target.
+def plan_budget(units: DataFrame, target: int, allow_summarize: bool = True, summarize_errors: bool = False, fixed: DataFrame | None = None) -> DataFrame:
+    """The treatment of each unit (0 verbatim, 1 masked, 2 summarised) so that a session's total, with what is fixed, falls to target.
 
     The greedy plan (largest saving times (1 - salience) first, lowest unit on ties) in closed form: a unit has at most
     two steps, the second counts no earlier than the first, so a running sum over the ordered steps says which apply.
-    A session's steps are ordered by score, so blocks can't be parted by position; they are two rows per segment.
+    A session's steps are parted by their score (eighths of its logarithm), and sums of whole parts carry over, so that no
+    task holds a session.
     """
     f = lambda c: F.col(c).cast("float")
     rest = F.lit(1.0).cast("float") - f("salience")
@@ -211,44 +249,85 @@ def plan_budget(units: DataFrame, target: int, allow_summarize: bool = True, sum
         F.struct(F.lit(1).alias("step"), F.col("s1").alias("saving"), F.col("e1").alias("eff"), F.when(F.col("m1") > 0, 1).otherwise(2).alias("to")),
         F.struct(F.lit(2).alias("step"), F.col("s2").alias("saving"), F.col("e2").alias("eff"), F.lit(2).alias("to")),
     )).alias("x")).select("session_id", "seg", "x.*").filter("saving > 0")
-    order = Window.partitionBy("session_id").orderBy(F.desc("eff"), "seg", "step").rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.withColumn("part", F.when(F.col("eff") > 0, F.floor(F.log2(F.col("eff").cast("double")) * 8)).otherwise(-10_000))
+    order = Window.partitionBy("session_id", "part").orderBy(F.desc("eff"), "seg", "step").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy("session_id").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = steps.groupBy("session_id", "part").agg(F.sum("saving").alias("s")).select("session_id", "part", F.coalesce(F.sum("s").over(across), F.lit(0)).alias("before"))
     totals = units.groupBy("session_id").agg(F.sum("cost_v").alias("total"))
-    applied = steps.withColumn("saved", F.coalesce(F.sum("saving").over(order), F.lit(0))).join(totals, "session_id").filter(F.col("total") - F.col("saved") > target)
+    if fixed is not None:
+        totals = totals.join(fixed, "session_id", "left").select("session_id", (F.col("total") + F.coalesce("fixed", F.lit(0))).alias("total"))
+    applied = steps.withColumn("inside", F.coalesce(F.sum("saving").over(order), F.lit(0))).join(parts, ["session_id", "part"]).join(totals, "session_id").filter(F.col("total") - F.col("before") - F.col("inside") > target)
     best = applied.groupBy("session_id", "seg").agg(F.max("to").alias("t"))
     t = F.coalesce("t", F.lit(0))
     cost = F.when(t == 0, F.col("cost_v")).when(t == 1, F.col("cost_m")).otherwise(F.col("cost_s"))
     return units.join(best, ["session_id", "seg"], "left").select("session_id", "seg", t.cast("int").alias("treatment"), cost.alias("cost"))
 
 
-def budget_totals(plan: DataFrame) -> DataFrame:
-    return plan.groupBy("session_id").agg(
+def budget_totals(plan: DataFrame, units: DataFrame, fixed: DataFrame, target: int) -> DataFrame:
+    """Per session: units by treatment, what is fixed, the planned total, whether it misses the target (then floors hold),
+    summaries still to be written, and error units summarised."""
+    d = plan.join(units.select("session_id", "seg", "is_error", "has_summary"), ["session_id", "seg"])
+    is_sum = F.col("treatment") == 2
+    d = d.groupBy("session_id").agg(
         F.count("*").alias("n_units"), F.count_if(F.col("treatment") == 0).alias("n_verbatim"), F.count_if(F.col("treatment") == 1).alias("n_masked"),
-        F.count_if(F.col("treatment") == 2).alias("n_summarized"), F.sum("cost").alias("tokens"),
+        F.count_if(is_sum).alias("n_summarized"), F.count_if(is_sum & ~F.col("has_summary")).alias("n_to_write"), F.count_if(is_sum & F.col("is_error")).alias("n_errors_summarized"), F.sum("cost").alias("cost"),
+    )
+    total = (F.coalesce("cost", F.lit(0)) + F.col("fixed")).cast(LONG)
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return fixed.join(d, "session_id", "left").select(
+        "session_id", *map(zero, ("n_units", "n_verbatim", "n_masked", "n_summarized", "n_to_write", "n_errors_summarized")), "fixed", total.alias("tokens"), (total > target).alias("is_over")
     )
 
 
+def work_list(plan: DataFrame, units: DataFrame) -> DataFrame:
+    """Units that are to be summarised and have no summary yet: session_id, seg."""
+    return plan.filter("treatment = 2").join(units.filter("not has_summary"), ["session_id", "seg"], "left_semi").select("session_id", "seg")
+
+
 def render_activity(blocks: DataFrame, records: DataFrame) -> DataFrame:
-    """Items of activity in order: what was said, thought, called and answered."""
-    b = tr.blocks_once(blocks).join(tr.segmented(records).select("session_id", "line_no", "seg", "rec_type", "is_genuine"), ["session_id", "line_no"]).filter("not is_genuine")
+    """Items of activity: session_id, seg, line_no, pos, kind, tool, status, chars, shown.
+
+    Kinds: assistant_text, thinking, tool_use (shown: its input), tool_result (graded), compact_summary, delivered_message
+    (status: its kind) and system. tool, status and chars are '' and 0 where a kind has none.
+    """
+    marker = tr._marker(records)
+    kind = F.when(F.col("rec_type") == "system", "system").when(F.col("rec_type") != "user", None).when(flag("is_compact_summary"), "compact_summary").when(tr.delivered_kind(marker).isNotNull(), "delivered_message")
+    text = F.when(F.col("rec_type") == "system", F.get_json_object("message", "$.content")).when(flag("is_compact_summary"), message_text("message", "content_kind")).otherwise(tr.first_text())
+    r = tr.segmented(records, kind.alias("own_kind"), F.when(kind.isNotNull(), F.coalesce(text, F.lit(""))).alias("own_text"), tr.delivered_kind(marker).alias("delivered")).filter("not is_genuine")
+    r = cut_lineage(r.select("session_id", "line_no", "seg", "rec_type", "own_kind", "own_text", "delivered"))
+    none = (F.lit("").alias("tool"), F.lit("").alias("status"), F.lit(0).cast(LONG).alias("chars"))
+    own = r.filter("own_kind is not null").select(
+        "session_id", "seg", "line_no", F.lit(0).cast(LONG).alias("pos"), F.col("own_kind").alias("kind"), F.lit("").alias("tool"), F.coalesce("delivered", F.lit("")).alias("status"),
+        F.when(F.col("own_kind") == "delivered_message", F.char_length("own_text")).otherwise(0).cast(LONG).alias("chars"),
+        F.when(F.col("own_kind") == "delivered_message", truncate_head_tail("own_text", 8000, 0.7)).when(F.col("own_kind") == "system", truncate("own_text", 400)).otherwise(truncate("own_text", 4000)).alias("shown"),
+    )
+    b = tr.blocks_once(blocks).join(r.filter("own_kind is null").select("session_id", "line_no", "seg", "rec_type"), ["session_id", "line_no"])
     said = b.filter("rec_type = 'assistant' and block_type in ('text', 'thinking', 'tool_use')").select(
-        "session_id", "seg", "line_no", "pos",
-        F.when(F.col("block_type") == "text", "assistant_text").otherwise(F.col("block_type")).alias("kind"),
-        F.when(F.col("block_type") == "tool_use", F.coalesce("tool_name", F.lit(""))).otherwise(truncate(F.coalesce("text", F.lit("")), 4000)).alias("shown"),
+        "session_id", "seg", "line_no", "pos", F.when(F.col("block_type") == "text", "assistant_text").otherwise(F.col("block_type")).alias("kind"),
+        F.when(F.col("block_type") == "tool_use", F.coalesce("tool_name", F.lit(""))).otherwise("").alias("tool"), *none[1:],
+        F.when(F.col("block_type") == "tool_use", F.coalesce("tool_input", F.lit("null"))).otherwise(F.coalesce("text", F.lit(""))).alias("shown"),
     )
-    results = graded_results(blocks, records).select("session_id", "seg", "line_no", "pos", F.lit("tool_result").alias("kind"), "shown")
-    return said.unionByName(results)
+    user = r.filter("rec_type = 'user' and own_kind is null").select("session_id", "line_no")
+    results = graded_results(blocks, records).join(user, ["session_id", "line_no"], "left_semi").select("session_id", "seg", "line_no", "pos", F.lit("tool_result").alias("kind"), "tool", "status", "chars", "shown")
+    return said.unionByName(results).unionByName(own)
 
 
 def unit_digest(blocks: DataFrame, records: DataFrame, cap: int = 8000) -> DataFrame:
-    """One text per segment: a line per item (thoughts left out), lines and the whole cut to their caps.
+    """One text per segment: what the user asked and a line per item (thoughts left out), lines and the whole cut to their caps.
 
     Lines beyond the cap can't show, but their length does, so each segment gathers only the lines that begin within
     the cap, and counts the characters of all.
     """
-    limit = F.when(F.col("kind") == "tool_use", 250).when(F.col("kind") == "tool_result", 400).otherwise(700)
-    d = render_activity(blocks, records).filter("kind <> 'thinking'").withColumn("one", F.regexp_replace("shown", "\n", " "))
-    cut = F.when(F.char_length("one") <= limit, F.col("one")).otherwise(F.concat(F.expr("left(one, case kind when 'tool_use' then 250 when 'tool_result' then 400 else 700 end)"), F.lit("…[+"), (F.char_length("one") - limit).cast("string"), F.lit(" chars]")))
-    d = d.select("session_id", "seg", (F.col("line_no") * 100_000 + F.col("pos")).alias("at"), F.concat("kind", F.lit(": "), cut).alias("line"))
+    k = F.col("kind")
+    line = (
+        F.when(k == "assistant_text", F.concat(F.lit("ASSISTANT: "), truncate("shown", 900))).when(k == "tool_use", F.concat(F.lit("TOOL "), "tool", F.lit(" "), truncate("shown", 150)))
+        .when(k == "tool_result", F.concat(F.lit("RESULT["), "status", F.lit(","), F.col("chars").cast("string"), F.lit("]: "), truncate("shown", 250)))
+        .when(k == "delivered_message", F.concat(F.lit("AGENT-REPORT("), "status", F.lit("): "), truncate("shown", 700)))
+        .when(k == "compact_summary", F.concat(F.lit("COMPACT-SUMMARY: "), truncate("shown", 400))).when(k == "system", F.concat(F.lit("SYSTEM: "), truncate("shown", 200)))
+    )
+    items = render_activity(blocks, records).filter("kind <> 'thinking' and seg >= 0").select("session_id", "seg", (F.col("line_no") * 100_000 + F.col("pos")).alias("at"), line.alias("line"))
+    asked = tr.segmented(records, F.when(tr.is_genuine(tr._marker(records)), F.coalesce(message_text("message", "content_kind"), F.lit(""))).alias("asked")).filter("is_genuine")
+    d = items.unionByName(asked.select("session_id", "seg", (F.col("line_no") * 100_000).alias("at"), F.concat(F.lit("USER ASKED: "), truncate("asked", 600)).alias("line")))
     d = blocked.running_sum(d, ["session_id", "seg"], "at", F.char_length("line") + 1, "ends", width=blocked.WIDTH * 100_000)
     return d.groupBy("session_id", "seg").agg(
         F.sort_array(F.collect_list(F.when(F.col("ends") - F.char_length("line") <= cap + 1, F.struct("at", "line")))).alias("lines"), (F.sum(F.char_length("line") + 1) - 1).alias("n_chars")
@@ -257,31 +336,6 @@ def unit_digest(blocks: DataFrame, records: DataFrame, cap: int = 8000) -> DataF
     )
 
 
-def lineage(orders: DataFrame) -> DataFrame:
-    """Lineage rows for the tests' tables: child, parent, at and mtime of a customer's orders, two children per parent."""
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    r = orders.select("o_custkey", F.col("o_orderkey").alias("child"), F.row_number().over(w).cast(LONG).alias("at"), F.col("o_totalprice").alias("mtime"))
-    p = r.select("o_custkey", F.col("at").alias("p_at"), F.col("child").alias("parent"), F.col("mtime").alias("p_mtime"))
-    return r.withColumn("p_at", F.floor(F.col("at") / 2)).join(p, ["o_custkey", "p_at"], "left").select("o_custkey", "child", "parent", "at", "mtime", "p_mtime")
-
-
-def lineage_latest(l: DataFrame, rounds: int = 20) -> DataFrame:
-    """Where following the newest fresh child (not older than its parent) leads from each session: start, latest.
-
-    Each parent has one next session; pointers double, so a chain of n hops takes log2(n) joins.
-    """
-    nxt = l.filter("parent is not null and mtime >= p_mtime").groupBy("parent").agg(F.max(F.struct("at", "child")).alias("x")).select(F.col("parent").alias("start"), F.col("x.child").alias("latest"))
-    cur = l.select(F.col("child").alias("start")).join(nxt, "start", "left").select("start", F.coalesce("latest", "start").alias("latest"))
-    for _ in range(rounds):
-        hop = cur.select(F.col("start").alias("latest"), F.col("latest").alias("further"))
-        new = cut_lineage(cur.join(hop, "latest").select("start", F.col("further").alias("latest"), F.col("latest").alias("was")))
-        moved = new.filter("latest <> was").limit(1).count()
-        cur = new.select("start", "latest")
-        if not moved:
-            break
-    return cur
-
-
 def superseded(l: DataFrame) -> DataFrame:
     """Sessions, and whether another goes on from them."""
     parents = l.filter("parent is not null").select(F.col("parent").alias("child"), F.lit(True).alias("is_superseded")).distinct()
@@ -334,9 +388,9 @@ def session_scan(records: DataFrame) -> DataFrame:
 def content_hash_parts(records: DataFrame) -> DataFrame:
     """Per segment a stable hash of its records in order: of each record type and message, then of these in order.
 
-    Hashes of records are combined as a sum of hashes of (place, hash), so that no task gathers a segment.
+    Of the view that units have (active path, no preambles). Hashes of records are combined as a sum of hashes of (place, hash), so that no task gathers a segment.
     """
-    r = tr.segmented(records, F.sha2(F.concat(F.coalesce("rec_type", F.lit("")), F.lit("\x1f"), F.coalesce("message", F.lit(""))), 256).alias("h"))
+    r = tr.unit_view(records, F.sha2(F.concat(F.coalesce("rec_type", F.lit("")), F.lit("\x1f"), F.coalesce("message", F.lit(""))), 256).alias("h"))
     return r.groupBy("session_id", "seg").agg(F.sum(F.conv(F.substring(F.md5(F.concat(F.col("line_no").cast("string"), F.lit(":"), F.col("h"))), 1, 12), 16, 10).cast("decimal(20,0)")).alias("s")).select(
         "session_id", "seg", F.col("s").cast("string").alias("content_hash")
     )

@@ -33,21 +33,31 @@ def first_text() -> Column:
     return F.when(F.col("content_kind") == "string", body).when(F.col("content_kind") == "array", F.try_element_at(texts, F.lit(1))["text"])
 
 
-def delivered_kind() -> Column:
-    """'teammate' or 'notification' for a user record that another agent or the harness delivered, else null."""
+def _marker(df: DataFrame) -> Column:
+    """What an earlier masking noted of a delivered record, where the table has it."""
+    return F.col("delivered_marker") if "delivered_marker" in df.columns else F.lit(None).cast("string")
+
+
+def delivered_kind(marker: Column | None = None) -> Column:
+    """'teammate_message' or 'task_notification' for a user record that another agent or the harness delivered, else null.
+
+    A marker, which masking leaves where it cuts the sentinel, says so first.
+    """
     text = first_text()
-    own = (F.col("rec_type") == "user") & ~flag("is_meta") & ~flag("is_compact_summary") & ~flag("has_source_tool")
-    return F.when(own & text.startswith(TEAMMATE), "teammate").when(own & text.startswith(NOTIFICATION), "notification")
+    user = (F.col("rec_type") == "user") & ~flag("is_meta") & ~flag("is_compact_summary")
+    marked = F.lit(None).cast("string") if marker is None else F.when(marker == "task_notification", marker).when(marker.isNotNull(), "teammate_message")
+    own = user & ~flag("has_source_tool")
+    return F.when(user & marked.isNotNull(), marked).when(own & text.startswith(TEAMMATE), "teammate_message").when(own & text.startswith(NOTIFICATION), "task_notification")
 
 
-def is_genuine() -> Column:
-    """A turn typed by the user: string content, or an array without tool results."""
+def is_genuine(marker: Column | None = None) -> Column:
+    """A turn typed by the user: string content, or an array without tool results; nothing delivered."""
     _, blocks = _body()
     content = F.when(F.col("content_kind") == "string", True).when(
         F.col("content_kind") == "array", ~F.exists(F.coalesce(blocks, F.array().cast(TEXT_BLOCKS)), lambda b: F.coalesce(b["type"] == "tool_result", F.lit(False)))
     ).otherwise(False)
     own = (F.col("rec_type") == "user") & ~flag("is_meta") & ~flag("is_compact_summary") & ~flag("has_source_tool")
-    return F.coalesce(own & content & F.coalesce(~first_text().startswith(TEAMMATE) & ~first_text().startswith(NOTIFICATION), F.lit(True)), F.lit(False))
+    return F.coalesce(own & content & delivered_kind(marker).isNull(), F.lit(False))
 
 
 def records_once(records: DataFrame, *extra: Column) -> DataFrame:
@@ -56,7 +66,7 @@ def records_once(records: DataFrame, *extra: Column) -> DataFrame:
         norm_id("session_id").alias("session_id"), F.col("line_no").cast("long").alias("line_no"),
         F.struct(
             "ingested_at", F.coalesce("rec_type", F.lit("")).alias("rec_type"), norm_id("uuid").alias("uuid"), norm_id("parent_uuid").alias("parent_uuid"),
-            F.coalesce(F.octet_length("message"), F.lit(0)).cast("long").alias("n_bytes"), is_genuine().alias("is_genuine"),
+            F.coalesce(F.octet_length("message"), F.lit(0)).cast("long").alias("n_bytes"), is_genuine(_marker(records)).alias("is_genuine"),
             flag("is_compact_summary").alias("is_compact_summary"), flag("is_synthetic").alias("is_synthetic"), flag("is_masked").alias("is_masked"),
             flag("is_ledger").alias("is_ledger"), flag("is_preamble").alias("is_preamble"), norm_id("leaf_uuid").alias("leaf_uuid"), *extra,
         ).alias("x"),
@@ -72,6 +82,14 @@ def segmented(records: DataFrame, *extra: Column) -> DataFrame:
     return r.withColumn("seg", F.col("seg") - 1)
 
 
+def unit_view(records: DataFrame, *extra: Column) -> DataFrame:
+    """segmented records as units see them: on the active path, without preambles. Every hash is taken of this view."""
+    active = active_path(records).select("session_id", "line_no")
+    r = records_once(records, *extra).join(active, ["session_id", "line_no"], "left_semi").filter("not is_preamble")
+    r = blocked.running_sum(r, ["session_id"], "line_no", F.col("is_genuine").cast("int"), "seg")
+    return r.withColumn("seg", F.col("seg") - 1)
+
+
 def blocks_once(blocks: DataFrame) -> DataFrame:
     """Distinct content blocks with comparable ids."""
     return blocks.select(
@@ -101,36 +119,8 @@ def active_path(records: DataFrame) -> DataFrame:
     (it has rows without uuid only).
     """
     r = cut_lineage(records_once(records))
-    nodes = r.filter("uuid is not null").groupBy("session_id", "uuid").agg(F.max(F.struct("line_no", "parent_uuid")).alias("x"))
-    leaf = leaf_of(r).select("session_id", F.col("leaf").alias("uuid"), F.lit(1).alias("is_leaf"))
-    n = nodes.join(leaf, ["session_id", "uuid"], "left").select(
-        F.col("session_id").alias("tree"), F.col("uuid").alias("id"), F.col("x.parent_uuid").alias("up"), F.col("x.line_no").alias("pos"), F.coalesce("is_leaf", F.lit(0)).alias("is_leaf")
-    )
-    h = cut_lineage(hierarchy.resolve(n, weight=F.col("is_leaf")))
-    on_path = h.filter("total > 0").select(F.col("tree").alias("session_id"), F.col("id").alias("uuid"), F.col("pos").alias("line_no"))
-    looped = _looped(h, leaf)
-    bare = r.filter("uuid is null").select("session_id", "uuid", "line_no")
-    return on_path.unionByName(looped).unionByName(bare).select("session_id", "line_no", "uuid")
-
-
-def _looped(h: DataFrame, leaf: DataFrame) -> DataFrame:
-    """What a leaf in or below a cycle reaches: rounds of one step each, as long as something new is reached.
-
-    Cycles are damage, and only sessions whose leaf runs into one take part; steps double, so rounds stay few.
-    """
-    bad = h.filter("status = 'cycle'").select("tree", "id", "up", "pos")
-    start = bad.join(leaf.select(F.col("session_id").alias("tree"), F.col("uuid").alias("id")), ["tree", "id"]).select("tree")
-    step = cut_lineage(bad.join(start, "tree").select("tree", "id", "up", "pos"))
-    seen = step.join(leaf.select(F.col("session_id").alias("tree"), F.col("uuid").alias("id")), ["tree", "id"]).select("tree", "id")
-    jump = step.select("tree", "id", F.col("up").alias("to"))
-    n = 0
-    while True:
-        total = seen.count()
-        if total == n:
-            break
-        n = total
-        more = seen.join(jump, ["tree", "id"]).select("tree", F.col("to").alias("id"))
-        seen = cut_lineage(seen.unionByName(more).distinct())
-        there = jump.select("tree", F.col("id").alias("to"), F.col("to").alias("next"))
-        jump = cut_lineage(jump.join(there, ["tree", "to"]).select("tree", "id", F.col("next").alias("to")))
-    return seen.join(step.select("tree", "id", "pos"), ["tree", "id"]).select(F.col("tree").alias("session_id"), F.col("id").alias("uuid"), F.col("pos").alias("line_no"))
+    nodes = r.filter("uuid is not null").groupBy(F.col("session_id").alias("tree"), F.col("uuid").alias("id")).agg(F.max(F.struct("line_no", "parent_uuid")).alias("x"))
+    nodes = cut_lineage(nodes.select("tree", "id", F.col("x.parent_uuid").alias("up"), F.col("x.line_no").alias("pos")))
+    found = hierarchy.reach(nodes, leaf_of(r).select(F.col("session_id").alias("tree"), F.col("leaf").alias("id")))
+    on_path = found.join(nodes, ["tree", "id"]).select(F.col("tree").alias("session_id"), F.col("pos").alias("line_no"), F.col("id").alias("uuid"))
+    return on_path.unionByName(r.filter("uuid is null").select("session_id", "line_no", "uuid"))

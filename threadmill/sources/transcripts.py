@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.columns import norm_id
 from ..functions.columns_text import munge_path
 from ..functions.fragments import _schema
 from ..functions.jsonwalk import clean, parse_object
@@ -22,7 +23,7 @@ LINES = "source string, line_no long, raw_json string"
 ENVELOPE = (
     "source string, line_no long, session_id string, rec_type string, uuid string, parent_uuid string, content_kind string, is_meta boolean, is_compact_summary boolean, has_source_tool boolean, "
     "is_synthetic boolean, is_masked boolean, is_ledger boolean, is_preamble boolean, leaf_uuid string, last_prompt string, record_ts string, message string, est_len long, images_elided boolean, "
-    "provenance struct<source:string,source_session_id:string,part:string,covered_uuids:array<string>>"
+    "provenance struct<source:string,source_session_id:string,part:string,covered_uuids:array<string>>, delivered_marker string"
 )
 
 
@@ -85,11 +86,46 @@ def envelope(record: dict) -> tuple:
     return (
         _text(record.get("sessionId")), _text(record.get("type")) or "", _text(record.get("uuid")), _text(record.get("parentUuid")), kind, flag("isMeta"), flag("isCompactSummary"),
         "sourceToolAssistantUUID" in record, flag("recompactSynthetic"), flag("recompactMasked"), flag("recompactLedger"), flag("recompactPreamble"), _text(record.get("leafUuid")),
-        _text(record.get("lastPrompt")), _text(record.get("timestamp")), clean(jsonops.canonical(record["message"])) if "message" in record else None, jsonops.est_len(record),
-        "recompactImagesElided" in record, provenance,
+        _text(record.get("lastPrompt")), _text(record.get("timestamp")), clean(jsonops.canonical(said)) if (said := _said(record)) is not None else None, jsonops.est_len(record),
+        "recompactImagesElided" in record, provenance, _text(record.get("recompactDelivered")),
     )
 
 
+def _said(record: dict) -> object:
+    """The message of a record; a system record's content stands in an object of its own."""
+    if record.get("type") == "system" and "message" not in record and isinstance(record.get("content"), str):
+        return {"content": record["content"]}
+    return record.get("message")
+
+
+def render(records: DataFrame) -> DataFrame:
+    """Rows of a records table as lines of transcript files: source (the session), line_no, raw_json. The latest delivery counts."""
+    flags = {"is_meta": "isMeta", "is_compact_summary": "isCompactSummary", "is_synthetic": "recompactSynthetic", "is_masked": "recompactMasked", "is_ledger": "recompactLedger", "is_preamble": "recompactPreamble"}
+    texts = {"rec_type": "type", "uuid": "uuid", "parent_uuid": "parentUuid", "leaf_uuid": "leafUuid", "last_prompt": "lastPrompt", "record_ts": "timestamp", "writer_version": "version"}
+    names = [*texts, *flags, "has_source_tool", "message", "provenance"]
+    d = records.select(norm_id("session_id").alias("source"), F.col("line_no").cast("long").alias("line_no"), F.struct("ingested_at", *names).alias("x"))
+    d = d.groupBy("source", "line_no").agg(F.max("x").alias("x")).select("source", "line_no", *(F.col(f"x.{n}").alias(n) for n in names))
+    ids = ("uuid", "parent_uuid", "leaf_uuid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for source, line, *values in zip(*(c.to_pylist() for c in b.columns)):
+                v = dict(zip(names, values))
+                record = {k: v[c].strip().lower() if c in ids else v[c] for c, k in texts.items() if v[c] is not None}
+                record |= {k: True for c, k in flags.items() if v[c]} | ({"sourceToolAssistantUUID": True} if v["has_source_tool"] else {}) | {"sessionId": source}
+                if v["message"] is not None:
+                    held = json.loads(v["message"])
+                    record |= {"content": held.get("content")} if v["rec_type"] == "system" else {"message": held}
+                if v["provenance"] is not None:
+                    p = v["provenance"]
+                    record["recompactProvenance"] = {"source": p["source"], "sourceSessionId": p["source_session_id"], "part": p["part"], "coveredUuids": p["covered_uuids"]}
+                rows.append(clean(json.dumps(record, ensure_ascii=False)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.string())], ["source", "line_no", "raw_json"])
+
+    return d.mapInArrow(run, LINES)
+
+
 def records(lines: DataFrame) -> DataFrame:
     """The envelope of each line; raw lines stay as they are in their table."""
     return jsonops.apply_records(lines, envelope, ENVELOPE)
