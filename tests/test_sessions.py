@@ -194,7 +194,7 @@ def test_compaction_end_to_end(spark, tmp_path, mode):
     assert all(checks.values()), checks
     if mode == "summarize":
         made = [r for r in rows if r.get("recompactSynthetic")]
-        assert len(made) == 3 and made[0]["recompactProvenance"]["coveredUuids"] == ["a1", "a2", "a3"]
+        assert len(made) == 3 and made[0]["recompactProvenance"]["coveredUuids"] == ["a0", "a1", "a2", "a3"]  # the turn that a summary answers is covered too
     transcripts.write_twin(out, str(tmp_path / "twin"))
     with pytest.raises(Exception):
         transcripts.write_twin(out, str(tmp_path / "twin"))
@@ -222,8 +222,11 @@ def test_budget_ledger_preamble_and_footer(spark):
     assert text(got[kinds.index("ledger")]) == compact.LEDGER + "always use tabs"
     checks = {r.check_name: r.ok for r in compact.verify_output(out).collect()}
     assert checks.pop("single session id") and all(checks.values()), checks
-    turns = compact.verify_turns(out, lines).collect()
-    assert [(r.ok, r.n_trailing) for r in turns if r.n_turns] == [(True, 0)] or turns
+    assert [tuple(r) for r in compact.verify_turns(out, lines).collect()] == [("s1", True, 4, 0)]
+    grown = lines.unionByName(spark.createDataFrame([("f", 50, json.dumps(rec("user", "b1", "a14", "later")))], transcripts.LINES)).filter("line_no <> 15")
+    assert [tuple(r) for r in compact.verify_turns(out, grown).collect()] == [("s1", True, 4, 1)]
+    changed = lines.withColumn("raw_json", F.regexp_replace("raw_json", "start", "begin"))
+    assert [r.ok for r in compact.verify_turns(out, changed).collect()] == [False]
     # a second pass: neither the old preamble nor the old ledger is carried on, and the notification stays delivered
     again = out.select(F.col("session_id").alias("source"), F.col("out_pos").alias("line_no"), "raw_json")
     twice = [json.loads(r.raw_json) for r in compact.assemble(again, "mask", keep=0, ledger=spark.createDataFrame([(compact.stable_id("twin", "s1"), "new")], "session_id string, text string"), preamble=True).orderBy("out_pos").collect()]

@@ -264,10 +264,12 @@ def verify_turns(out: DataFrame, lines: DataFrame) -> DataFrame:
     """Whether the genuine turns of a twin are those of its source's active path, in order and word for word:
     session_id, ok, n_turns, n_trailing (turns that the source got since, which is growth and no fault)."""
     def turns(d: DataFrame, path: bool) -> DataFrame:
-        rec = transcripts.records(d).withColumn("ingested_at", F.lit(None).cast("timestamp")).withColumn("session_id", F.col("source")).drop("source")
-        g = tr.records_once(cut_lineage(rec)).filter("is_genuine and uuid is not null").select("session_id", "line_no", "uuid")
+        rec = transcripts.records(d).withColumn("ingested_at", F.lit(None).cast("timestamp"))
+        rec = cut_lineage(rec.withColumn("session_id", F.coalesce(norm_id("session_id"), F.col("source")) if path else F.col("source")))
+        g = tr.records_once(rec).filter("is_genuine and uuid is not null").select("session_id", "line_no", "uuid")
         g = g.join(tr.active_path(rec).select("session_id", "line_no"), ["session_id", "line_no"], "left_semi") if path else g
-        text = jsonops.apply_records(d, lambda r: (clean(fidelity_text(r)),), "source string, line_no long, text string").withColumnRenamed("source", "session_id")
+        text = jsonops.apply_records(d, lambda r: (clean(fidelity_text(r)),), "source string, line_no long, text string")
+        text = text.join(rec.select("source", "line_no", "session_id"), ["source", "line_no"]).drop("source")
         return blocked.running_sum(g.join(text, ["session_id", "line_no"]), ["session_id"], "line_no", F.lit(1), "nth").select("session_id", "nth", "uuid", "text")
 
     a = turns(lines, True).withColumnsRenamed({"uuid": "a_uuid", "text": "a_text"})
