@@ -317,4 +317,5 @@ def test_all_queries_run(spark, sf):
     from threadmill.llm import queries
 
     for name, q in queries.QUERIES.items():
-        assert q(spark, sf).columns, name
+        assert (d := q(spark, sf)).columns, name
+        d.write.format("noop").mode("overwrite").save()
