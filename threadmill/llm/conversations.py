@@ -1,6 +1,6 @@
 """Conversations from message rows: the thread of each session in order, validated by a finite-state automaton.
 
-The thread runs from the session's leaf along parents; what it comes by, and the distance from the root, come from the
+The thread runs from the session's leaf along parents; the nodes on it and their distance from the root come from the
 hierarchy operator, which works on bounded fragments. The thread is then partitioned by session and a block of
 sequence numbers, sorted within by sequence, and each block is reduced to what it does to each state of the automaton.
 Blocks compose, so the end state of a session is the composition of its blocks in order: a session that holds a third
@@ -62,11 +62,11 @@ def threads(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows of each thread (tree, id, seq, symbol), and each session's leaf with the state of its tree."""
     n = cut_lineage(nodes(records))
     leaf = leaves(records, n)
-    h = cut_lineage(hierarchy.resolve(n.select("tree", "id", "up", "pos")).select("tree", "id", "up", "pos", "depth", "status"))
+    marked = n.join(leaf.withColumn("is_leaf", F.lit(1)), ["tree", "id"], "left").select("tree", "id", "up", "pos", F.coalesce("is_leaf", F.lit(0)).alias("is_leaf"))
+    h = cut_lineage(hierarchy.resolve(marked, weight=F.col("is_leaf")).select("tree", "id", "depth", "status", "total"))
     ends = leaf.join(h.select("tree", "id", "status", "depth"), ["tree", "id"])
-    found = hierarchy.reach(h.filter("status <> 'cycle'").select("tree", "id", "up", "pos"), leaf)
-    thread = found.select("tree", "id").join(n.select("tree", "id", "symbol", "pos"), ["tree", "id"]).join(h.select("tree", "id", F.col("depth").alias("seq")), ["tree", "id"])
-    return thread.select("tree", "id", "seq", "symbol", "pos"), ends
+    on_path = h.filter("total > 0").select("tree", "id", F.col("depth").alias("seq"))
+    return on_path.join(n.select("tree", "id", "symbol", "pos"), ["tree", "id"]), ends
 
 
 def reduce_block(group: dict) -> dict:
