@@ -18,6 +18,7 @@ def build_session(app: str = "threadmill", master: str | None = None, **conf: st
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     for k, v in (base | conf).items():
@@ -41,9 +42,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of df in the folder that spark.checkpoint.dir names.
 
-    Only where neither the setting nor a folder is set (tests, a laptop) is a local folder chosen.
+    Only where neither the setting nor a folder is set, and Spark runs in one process (tests, a laptop), is a local folder
+    chosen; a cluster without the setting is an error. Checkpoints that nothing refers to any more are removed where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set, as build_session does.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="threadmill-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors reach")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="threadmill-"))
     return df.checkpoint(eager=True)

@@ -8,7 +8,7 @@ from .corpus_queries import sql_id
 from .functions.columns_text import truncate, truncate_head_tail
 from .operators import provenance as prov, sessions as op
 from .functions import jsonops
-from .operators import compact, continuation
+from .operators import compact, continuation, summarizing
 from .plans import transcript as tr
 from .session import cut_lineage, table
 from .sources import transcripts
@@ -140,6 +140,45 @@ def segment_index(spark: SparkSession, d: str) -> DataFrame:
     return op.segment_index(table(spark, d, "blocks"), table(spark, d, "records"))
 
 
+def worksheet(spark: SparkSession, d: str) -> DataFrame:
+    """What a summarizer is given of each segment, as one JSON text: its turn, flags, index, tokens and digest."""
+    blocks, records = table(spark, d, "blocks"), table(spark, d, "records")
+    doc = (
+        op.unit_digest(blocks, records).join(op.pinned_segments(records), ["session_id", "seg"]).join(op.segment_summary(records).select("session_id", "seg", "tokens"), ["session_id", "seg"])
+        .join(op.segment_index(blocks, records), ["session_id", "seg"], "left")
+    )
+    return doc.select("session_id", "seg", F.to_json(F.struct(F.col("seg").alias("index"), "needs_summary", "kept_verbatim", F.col("tokens").alias("approx_tokens"), "files", "tool_counts", "error_count", "digest")).alias("doc"))
+
+
+def unit_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Summaries of all units that need one, batched and routed, by the default summarizer."""
+    blocks, records = table(spark, d, "blocks"), table(spark, d, "records")
+    need = op.pinned_segments(records).filter("needs_summary").select("session_id", "seg")
+    units = op.unit_digest(blocks, records).join(need, ["session_id", "seg"]).join(op.salience(blocks, records), ["session_id", "seg"])
+    return summarizing.summarize_units(cut_lineage(units), escalate_with="large")
+
+
+def active_goals_raw(spark: SparkSession, d: str) -> DataFrame:
+    return transcripts.active_goals(table(spark, d, "raw_lines"))
+
+
+def scan_ranked(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions by size, largest first."""
+    return op.session_scan(table(spark, d, "records")).select("session_id", "tokens", "n_records").orderBy(F.desc("tokens"), "session_id")
+
+
+def rehydrate_dump(spark: SparkSession, d: str) -> DataFrame:
+    """The raw lines behind every synthetic record."""
+    records = table(spark, d, "records")
+    return transcripts.dump(prov.expand(prov.copies(records)), _lines(spark, d))
+
+
+def verify_twins(spark: SparkSession, d: str) -> DataFrame:
+    """Whether masked twins have the genuine turns of their sources, in order and word for word."""
+    lines = cut_lineage(_lines(spark, d))
+    return compact.verify_turns(cut_lineage(compact.assemble(lines, "mask")), lines)
+
+
 def raw_records(spark: SparkSession, d: str) -> DataFrame:
     """The envelope of every archived line that is a JSON object."""
     return transcripts.records(table(spark, d, "raw_lines")).select(
@@ -256,6 +295,12 @@ QUERIES = {
     "rehydrate_full": _c(prov.expand),
     "rehydrate_select": _c(lambda c: prov.rehydrate_select(c, selectors(c))),
     "epoch_digests": epoch_digests,
+    "worksheet": worksheet,
+    "unit_summaries": unit_summaries,
+    "active_goals_raw": active_goals_raw,
+    "scan_ranked": scan_ranked,
+    "rehydrate_dump": rehydrate_dump,
+    "verify_twins": verify_twins,
     "raw_records": raw_records,
     "raw_blocks": raw_blocks,
     "masked_lines": masked_lines,
@@ -486,6 +531,9 @@ SQL = {
     "superseded": f"WITH {_R}, {_LINEAGE} SELECT child, child IN (SELECT parent FROM l WHERE parent IS NOT NULL) AS is_superseded FROM l",
     "uuid_prefix_lookup": f"""WITH {_R}, s AS (SELECT session_id, min(substr(uuid, 1, 8)) AS selector FROM r WHERE uuid IS NOT NULL GROUP BY ALL)
         SELECT r.session_id, selector, line_no, uuid, NOT is_synthetic AND NOT is_masked AS is_ground FROM r JOIN s ON r.session_id = s.session_id AND starts_with(r.uuid, s.selector)""",
+    "scan_ranked": f"WITH {_R} SELECT session_id, CAST(floor(sum(n_bytes) / 4) AS BIGINT) AS tokens, count(*) AS n_records FROM r GROUP BY ALL ORDER BY tokens DESC, session_id",
+    "active_goals_raw": f"""WITH {_RAW}, g AS (SELECT source, line_no, CASE WHEN json_type(j->'$.attachment.met') = 'BOOLEAN' THEN (j->>'$.attachment.met') = 'true' ELSE true END AS met
+        FROM raw_r WHERE j->>'$.attachment.type' = 'goal_status') SELECT s.source, coalesce(NOT max_by(met, g.line_no), false) AS is_active FROM (SELECT DISTINCT source FROM raw_r) s LEFT JOIN g ON s.source = g.source GROUP BY s.source""",
     "synth_sources": f"WITH {_R}, {_PROV} SELECT session_id, source, min(line_no) AS first_line FROM c WHERE source IS NOT NULL GROUP BY ALL",
     "provenance_files": f"WITH RECURSIVE {_R}, {_PROV} SELECT * FROM files",
     "nth_synthetic": f"WITH {_R}, {_PROV} SELECT session_id, line_no, uuid, part, row_number() OVER (PARTITION BY session_id ORDER BY line_no) - 1 AS nth FROM c WHERE is_synthetic",

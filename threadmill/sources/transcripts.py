@@ -1,23 +1,23 @@
 """Sources and sinks of transcripts: line-delimited JSON files, sidecar maps, and create-new outputs.
 
-`scan_lines` gives each line with its number in the file. Files that fit a task are read whole, which keeps exact line
-numbers; larger ones have to be loaded into a table with line numbers first.
+`scan_lines` gives each line with its number in the file, whatever the file's size.
 """
 
 from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.columns import norm_id
 from ..functions.columns_text import munge_path
 from ..functions.fragments import _schema
 from ..functions.jsonwalk import clean, parse_object
 from ..functions import jsonops
+from ..session import cut_lineage
 
 LINES = "source string, line_no long, raw_json string"
 ENVELOPE = (
@@ -30,11 +30,16 @@ ENVELOPE = (
 def scan_lines(spark: SparkSession, folder: str, strict: bool = False) -> DataFrame:
     """source, line_no (from 0), raw_json of every line that isn't blank in a folder's *.jsonl files.
 
-    strict raises on the first bad line, naming its place; else bad lines are left out.
+    Large files are read in splits: lines are counted within each, and the splits before add their counts, so numbers
+    are exact and no task holds a file. strict raises on the first bad line, naming its place; else bad lines are left out.
     """
-    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.jsonl").select(F.col("_metadata.file_path").alias("source"), "value")
-    lines = files.select("source", F.posexplode(F.split("value", "\n")).alias("line_no", "raw_json")).select(
-        "source", F.col("line_no").cast("long").alias("line_no"), F.regexp_replace("raw_json", r"(?U)^\s+|\s+$", "").alias("raw_json")
+    text = spark.read.option("lineSep", "\n").option("pathGlobFilter", "*.jsonl").text(folder)
+    d = text.select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    splits = d.groupBy("source", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("source", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    lines = d.join(splits, ["source", "block"]).select(
+        "source", (F.col("id") + F.col("shift")).alias("line_no"), F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("raw_json")
     ).filter("raw_json <> ''")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,11 +55,40 @@ def scan_lines(spark: SparkSession, folder: str, strict: bool = False) -> DataFr
     return lines.mapInArrow(check, LINES)
 
 
+def session_files(spark: SparkSession, folder: str) -> DataFrame:
+    """source, session_id (the file's stem), modified_at of a folder's transcripts."""
+    f = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(folder)
+    return f.select(F.col("path").alias("source"), F.regexp_extract("path", r"([^/]*)\.jsonl$", 1).alias("session_id"), F.col("modificationTime").alias("modified_at"))
+
+
 def newest_session(spark: SparkSession, folder: str) -> str | None:
-    """The stem of the file that was written last."""
-    f = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(folder).select("path", "modificationTime")
-    r = f.agg(F.max_by("path", F.struct("modificationTime", "path"))).first()[0]
-    return os.path.basename(r).removesuffix(".jsonl") if r else None
+    """The session whose file was written last; of several the first by name."""
+    r = session_files(spark, folder).orderBy(F.desc("modified_at"), "session_id").first()
+    return r.session_id if r else None
+
+
+def active_goals(lines: DataFrame) -> DataFrame:
+    """source, is_active: whether the last goal status of a session says that its goal is not met; without one it is not active."""
+    def goal(record: dict) -> tuple:
+        a = record.get("attachment")
+        if not isinstance(a, dict) or a.get("type") != "goal_status":
+            return (None,)
+        return (a["met"] if isinstance(a.get("met"), bool) else True,)
+
+    g = jsonops.apply_records(lines, goal, "source string, line_no long, met boolean")
+    return g.groupBy("source").agg(F.coalesce(~F.max_by("met", F.when(F.col("met").isNotNull(), F.col("line_no"))), F.lit(False)).alias("is_active"))
+
+
+def first_value(lines: DataFrame, key: str) -> DataFrame:
+    """source, value: the first value of a top-level key that isn't null, as text."""
+    v = jsonops.apply_records(lines, lambda r: (None if r.get(key) is None else clean(r[key] if isinstance(r[key], str) else jsonops.canonical(r[key])),), "source string, line_no long, value string")
+    return v.groupBy("source").agg(F.min_by("value", F.when(F.col("value").isNotNull(), F.col("line_no"))).alias("value"))
+
+
+def part_of(key: str) -> int:
+    """The part of a unit's key ('3.1': 1; '3': 0)."""
+    tail = key.partition(".")[2]
+    return int(tail) if tail.isdigit() else 0
 
 
 def project_folder(root: str, cwd: str) -> str:
@@ -169,21 +203,87 @@ def read_map(path: str) -> dict:
     return held if isinstance(held, dict) else {}
 
 
-def write_map(path: str, held: dict) -> None:
-    """Writes a sidecar beside and moves it into place, so readers never see half of it."""
-    with open(path + ".new", "w", encoding="utf-8") as f:
-        json.dump(held, f, ensure_ascii=False, sort_keys=True, indent=1)
-    os.replace(path + ".new", path)
+class SideTable:
+    """A small keyed table beside the transcripts (lineage, cached summaries) in a folder on any file system.
+
+    Each change writes a whole new version and then its mark, so readers see the version before or after; of equal keys
+    the row with the greatest `at` counts. Two writers at once are told apart by the mark, which is created, never replaced.
+    """
 
+    def __init__(self, spark: SparkSession, folder: str, schema: str, key: str) -> None:
+        self.spark, self.folder, self.schema, self.key = spark, folder.rstrip("/"), schema, key
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        self._path = lambda *p: path("/".join((self.folder, *p)))
+        self.fs = self._path().getFileSystem(spark._jsc.hadoopConfiguration())
 
-def record_lineage(path: str, child: str, parent: str, output: str, at: int) -> None:
-    write_map(path, read_map(path) | {child: {"parent": parent, "output": output, "at": at}})
+    def version(self) -> int:
+        marks = self._path("marks")
+        return max((int(f.getPath().getName()) for f in self.fs.listStatus(marks)), default=-1) if self.fs.exists(marks) else -1
 
+    def read(self) -> DataFrame:
+        v = self.version()
+        return self.spark.createDataFrame([], self.schema) if v < 0 else self.spark.read.schema(self.schema).parquet(str(self._path(f"v{v}")))
 
-def remove_lineage(path: str, child: str) -> None:
-    write_map(path, {k: v for k, v in read_map(path).items() if k != child})
+    def _write(self, d: DataFrame, was: int) -> None:
+        place = f"v{was + 1}"
+        cut_lineage(d).write.mode("errorifexists").parquet(str(self._path(place)))
+        self.fs.create(self._path("marks", str(was + 1)), False).close()
 
+    def upsert(self, rows: DataFrame) -> None:
+        was = self.version()
+        both = self.read().unionByName(rows.select(*[c.split()[0] for c in self.schema.split(", ")]))
+        others = [c for c in both.columns if c not in (self.key, "at")]
+        last = both.groupBy(self.key).agg(F.max(F.struct("at", *others)).alias("x")).select(self.key, "x.*")
+        self._write(last.select(both.columns), was)
 
-def write_twin(rows: DataFrame, folder: str) -> None:
-    """Writes raw lines (session_id, out_pos, raw_json) as one file per session; an existing folder is refused."""
-    rows.repartition("session_id").sortWithinPartitions("session_id", "out_pos").select("session_id", F.col("raw_json").alias("value")).write.mode("errorifexists").partitionBy("session_id").text(folder)
+    def remove(self, keys: DataFrame) -> None:
+        self._write(self.read().join(keys.select(self.key), self.key, "left_anti"), self.version())
+
+
+def lineage_table(spark: SparkSession, folder: str) -> SideTable:
+    return SideTable(spark, folder, "child string, parent string, output string, at long", "child")
+
+
+def summary_cache(spark: SparkSession, folder: str) -> SideTable:
+    return SideTable(spark, folder, "content_hash string, summary string, at long", "content_hash")
+
+
+def write_twins(rows: DataFrame, folder: str, name: Callable[[str], str], verify: Callable[[DataFrame], DataFrame] | None = None) -> list[str]:
+    """Writes raw lines (session_id, out_pos, raw_json) as folder/<name(session_id)>.jsonl, one file per session.
+
+    Files are written to a staging folder, checked (verify gives rows with ok), and only then moved into place; nothing
+    is left behind if a check fails. A file that is there already is refused. Returns the names.
+    """
+    import uuid
+
+    spark = rows.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    stage = f"{folder.rstrip('/')}/_staging-{uuid.uuid4().hex}"
+    try:
+        if verify is not None and (bad := verify(rows).filter("not ok").limit(5).collect()):
+            raise ValueError(f"not written: {[tuple(r) for r in bad]}")
+        d = rows.select(F.col("session_id"), "out_pos", F.col("raw_json").alias("value")).repartition("session_id").sortWithinPartitions("session_id", "out_pos")
+        d.select("session_id", "value").write.option("maxRecordsPerFile", 0).partitionBy("session_id").text(stage)
+        moves = []
+        for folder_ in fs.listStatus(path(stage)):
+            if folder_.isDirectory():
+                from urllib.parse import unquote
+
+                session = unquote(folder_.getPath().getName().partition("=")[2])
+                part = next(f.getPath() for f in fs.listStatus(folder_.getPath()) if f.getPath().getName().startswith("part-"))
+                moves.append((part, path(f"{folder.rstrip('/')}/{name(session)}.jsonl")))
+        taken = [str(to) for _, to in moves if fs.exists(to)]
+        if taken:
+            raise FileExistsError(f"refusing to overwrite {taken[:5]}")
+        for part, to in moves:
+            fs.rename(part, to)
+        return sorted(to.getName() for _, to in moves)
+    finally:
+        fs.delete(path(stage), True)
+
+
+def dump(expanded: DataFrame, lines: DataFrame) -> DataFrame:
+    """The raw lines behind expanded records (from_session, from_line), in order: session_id, line_no, from_session, from_line, raw_json."""
+    raw = lines.select(F.col("source").alias("from_session"), F.col("line_no").alias("from_line"), "raw_json")
+    return expanded.join(raw, ["from_session", "from_line"]).select("session_id", "line_no", "from_session", "from_line", "raw_json")
