@@ -531,6 +531,8 @@ SQL = {
     "superseded": f"WITH {_R}, {_LINEAGE} SELECT child, child IN (SELECT parent FROM l WHERE parent IS NOT NULL) AS is_superseded FROM l",
     "uuid_prefix_lookup": f"""WITH {_R}, s AS (SELECT session_id, min(substr(uuid, 1, 8)) AS selector FROM r WHERE uuid IS NOT NULL GROUP BY ALL)
         SELECT r.session_id, selector, line_no, uuid, NOT is_synthetic AND NOT is_masked AS is_ground FROM r JOIN s ON r.session_id = s.session_id AND starts_with(r.uuid, s.selector)""",
+    "verify_twins": f"""WITH RECURSIVE {_R}, {_NODES} SELECT r.session_id, true AS ok, count(*) AS n_turns, 0::BIGINT AS n_trailing FROM r
+        JOIN active a ON r.session_id = a.session_id AND r.line_no = a.line_no WHERE r.is_genuine AND r.uuid IS NOT NULL GROUP BY r.session_id""",
     "scan_ranked": f"WITH {_R} SELECT session_id, CAST(floor(sum(n_bytes) / 4) AS BIGINT) AS tokens, count(*) AS n_records FROM r GROUP BY ALL ORDER BY tokens DESC, session_id",
     "active_goals_raw": f"""WITH {_RAW}, g AS (SELECT source, line_no, CASE WHEN json_type(j->'$.attachment.met') = 'BOOLEAN' THEN (j->>'$.attachment.met') = 'true' ELSE true END AS met
         FROM raw_r WHERE j->>'$.attachment.type' = 'goal_status') SELECT s.source, coalesce(NOT max_by(met, g.line_no), false) AS is_active FROM (SELECT DISTINCT source FROM raw_r) s LEFT JOIN g ON s.source = g.source GROUP BY s.source""",
