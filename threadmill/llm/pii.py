@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, functions as F
@@ -34,7 +35,10 @@ from ..session import cut_lineage
 
 #: Share of documents beyond which a word is common; rise of all scores below which they have converged, rounds at most;
 #: least score of an instance.
-COMMON, CONVERGED, ROUNDS, LEAST = 0.0012, 0.002, 30, 0.5
+COMMON, CONVERGED, ROUNDS, LEAST = 0.0012, 0.005, 30, 0.5
+
+#: Edges of the graph in a partition.
+EDGES = 50_000
 
 #: Titles before a name, and forms that say by themselves what an entity is: plain or bracketed signs of an email, street
 #: words in full, international prefixes, and shapes of public identity numbers; words that announce a number (fixed values).
@@ -234,6 +238,21 @@ def mentions(texts: DataFrame, common: list[str], proper: list[str]) -> DataFram
     return texts.mapInArrow(run, MENTIONS)
 
 
+@contextmanager
+def _fixed_plans(spark, partitions: int) -> Iterator[None]:
+    """Plans made inside have so many partitions, and none is planned anew while it runs: rounds are alike, and their
+    tables lie where the joins need them."""
+    new = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(partitions)}
+    was = {k: spark.conf.get(k) for k in new}
+    try:
+        for k, v in new.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
 def bootstrap(edges: DataFrame, rounds: int = ROUNDS, eps: float = CONVERGED) -> tuple[DataFrame, DataFrame]:
     """Scores of forms (kind, form, score) and patterns (kind, part, pattern, p), in rounds until their sum rises by less than a share of eps.
 
@@ -303,7 +322,10 @@ def find(docs: DataFrame) -> DataFrame:
     texts = cut_lineage(docs.select(F.sha2("text", 256).alias("doc_id"), "text").dropDuplicates(["doc_id"]))
     holders = docs.select(F.col("doc_id").alias("holder"), F.sha2("text", 256).alias("doc_id")).distinct()
     m = cut_lineage(mentions(texts, *common_words(texts)).distinct())
-    forms, patterns = bootstrap(cut_lineage(_edges(m)))
+    edges = cut_lineage(_edges(m))
+    spark = docs.sparkSession
+    with _fixed_plans(spark, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + edges.count() // EDGES)):
+        forms, patterns = bootstrap(edges)
 
     # emails and addresses: the form scores, or a pattern beside it does; a phrase needs the pattern before it
     at = lambda p: patterns.filter(F.col("kind").isin("email", "street_address") & (F.col("part") == p) & (F.col("p") >= LEAST)).select("kind", F.col("pattern").alias(p), F.lit(True).alias(f"p_{p}"))
@@ -311,7 +333,7 @@ def find(docs: DataFrame) -> DataFrame:
     own_seed = F.when(F.col("kind") == "email", seed_of("email")).otherwise(seed_of("street_address"))  # also where nothing stands beside it
     written = written.join(forms.filter("kind <> 'name'"), ["kind", "form"], "left").join(at("l"), ["kind", "l"], "left").join(at("r"), ["kind", "r"], "left")
     counts = F.when(F.col("slot") == "phrase", F.col("p_l")).otherwise((F.coalesce(own_seed, "score", F.lit(0.0)) >= LEAST) | F.coalesce("p_l", "p_r", F.lit(False)))
-    own = written.filter(counts).select("doc_id", F.col("kind").alias("pii_kind"), "start", "stop")
+    own = cut_lineage(written.filter(counts).select("doc_id", F.col("kind").alias("pii_kind"), "start", "stop"))
 
     # numbers count by their shape, which scored in whatever contexts it has anywhere, or is a seed
     shapes = m.filter("slot = 'num'").select("form").distinct()
@@ -322,16 +344,16 @@ def find(docs: DataFrame) -> DataFrame:
     num = m.filter("slot = 'num'").join(best, "form", "left").withColumn(
         "plain_form", F.when(F.col("x").isNull(), F.concat(F.regexp_replace(F.regexp_extract("form", "^0{1,2}", 0), "0", "9"), F.regexp_replace("form", "^0{1,2}", ""))))
     num = num.join(other, "plain_form", "left")  # a shape that never has a context counts as the one without leading zeros
-    numbers = num.select("doc_id", F.coalesce("x.kind", "plain_kind").alias("pii_kind"), "start", "stop").filter("pii_kind is not null")
+    numbers = cut_lineage(num.select("doc_id", F.coalesce("x.kind", "plain_kind").alias("pii_kind"), "start", "stop").filter("pii_kind is not null"))
 
     name = m.filter("slot = 'name'")
     scored = forms.filter("kind = 'name'").select("form", "score")
-    met = name.withColumn("is_common", F.col("kind").isNotNull()).withColumn("is_late", F.col("kind").eqNullSafe("late")).drop("kind").join(scored, "form")
+    met = cut_lineage(name.withColumn("is_common", F.col("kind").isNotNull()).withColumn("is_late", F.col("kind").eqNullSafe("late")).drop("kind").join(scored, "form"))  # read by each of the parts below
     is_known = (F.col("score") >= LEAST) & (F.col("form") != "<initial>")
     # unseen first names, and initials: the ending and a neighbour of the mention have to score, however often the form occurs
     p_of = lambda p: patterns.filter((F.col("kind") == "name") & (F.col("part") == p) & (F.col("p") >= LEAST)).select(F.col("pattern").alias(p), F.lit(1).alias(f"p_{p}"))
     unseen = met.filter(~is_known & ((F.col("form") == "<initial>") | ~F.col("is_common"))).join(p_of("s"), "s")
-    unseen = unseen.join(p_of("l"), "l", "left").join(p_of("r"), "r", "left").filter("p_l is not null or p_r is not null")
+    unseen = cut_lineage(unseen.join(p_of("l"), "l", "left").join(p_of("r"), "r", "left").filter("p_l is not null or p_r is not null").select("doc_id", "start", "stop"))
     # a common word is a surname where it follows a first name that scores; before a comma or after a title only if it does so somewhere
     first = forms.filter((F.col("kind") == "name") & (F.col("score") >= LEAST)).select(F.col("form").alias("surname"))
     late = met.filter(is_known & F.col("is_late")).withColumn("surname", F.regexp_replace("w", ",$", "")).join(first, "surname", "left_anti")  # a first name is none
