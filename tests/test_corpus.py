@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from threadmill.functions.jsonwalk import _parse_deep, parse_object
 from threadmill import corpus_queries
 from threadmill.operators import drift, hierarchy, nested, references
+from threadmill.session import cut_lineage
 
 
 # --- orphan references
@@ -161,6 +162,45 @@ def test_preorder_and_full_paths_against_brute_force(spark, mode, block, small):
         assert [v for _, v in sorted(found[t, i].items())] == path[::-1]
 
 
+@pytest.mark.parametrize("mode,piece,block,small", [("near", 8, 32, 64), ("random", 8, 32, 64), ("chain", 512, 4096, 65536)])
+def test_every_path_and_all_descendants_against_brute_force(spark, mode, piece, block, small):
+    rows = forest(mode, 11) + [("loop", i, u, p) for p, (i, u) in enumerate([("a", "c"), ("b", "a"), ("c", "b"), ("d", "b"), ("e", "d"), ("self", "self")] + [(f"f{k}", f"f{k - 1}" if k else "e") for k in range(20)])]
+    up = {(t, i): u for t, i, u, _ in rows}
+    steps, below = set(), set()
+    for t, i in up:
+        way, x = [], i
+        while x is not None and (t, x) in up and x not in way:
+            way.append(x)
+            x = up[t, x]
+        below |= {(t, x, i) for x in way if x != i}
+        if x not in way:
+            steps |= {(t, i, d, x) for d, x in enumerate(reversed(way))}
+    h = cut_lineage(hierarchy.resolve(spark.createDataFrame(rows, "tree string, id string, up string, pos long"), block=block, small=small))
+    got = [tuple(r) for r in hierarchy.every_path(h, piece, block, small).select("tree", "target", "depth", "id").collect()]
+    assert len(got) == len(steps) and set(got) == steps
+    got = [tuple(r) for r in hierarchy.descendants(h, piece, block, small).select("tree", "id", "descendant").collect()]
+    assert len(got) == len(below) and set(got) == below
+
+
+def test_queries_give_whole_paths_and_all_descendants(spark, sf):
+    nodes = {(r.session_id, r.uuid): r for r in corpus_queries.p4_hierarchy(spark, sf).collect()}
+    ways, below = collections.defaultdict(dict), collections.Counter()
+    for r in corpus_queries.p4_paths(spark, sf).collect():
+        assert r.depth not in ways[r.session_id, r.uuid]
+        ways[r.session_id, r.uuid][r.depth] = r.path_uuid
+    assert ways.keys() == {k for k, r in nodes.items() if r.status != "cycle"}
+    for (s, u), way in ways.items():
+        path = [x for _, x in sorted(way.items())]
+        assert len(path) == nodes[s, u].depth + 1 and path[0] == nodes[s, u].root and path[-1] == u
+        assert all(nodes[s, b].parent_uuid == a for a, b in zip(path, path[1:]))
+    assert max(map(len, ways.values())) > 3 * hierarchy.ANCHOR
+    pairs = {(r.session_id, r.uuid, r.descendant_uuid) for r in corpus_queries.p4_descendants(spark, sf).collect()}
+    for s, u, _ in pairs:
+        below[s, u] += 1
+    assert all(below[k] == r.n_descendants for k, r in nodes.items() if r.status != "cycle")
+    assert all(r.parent_uuid == u or (r.session_id, r.parent_uuid, u) in pairs or (r.session_id, u, r.parent_uuid) in pairs for (s, u), r in nodes.items() if r.status == "cycle")
+
+
 # --- nested records
 
 def scalars_and_paths(v, path=""):

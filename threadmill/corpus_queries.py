@@ -50,9 +50,12 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
     return references.standing(table(spark, d, "records").select("session_id", "uuid", "parent_uuid", "line_no"), table(spark, d, "removed_records"))
 
 
+def _resolved(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.resolve(hierarchy.tree_nodes(_records(spark, d)))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    h = hierarchy.resolve(hierarchy.tree_nodes(_records(spark, d)))
-    return h.filter("status = 'cycle'").select(F.col("tree").alias("session_id"), F.col("id").alias("uuid"))
+    return _resolved(spark, d).filter("status = 'cycle'").select(F.col("tree").alias("session_id"), F.col("id").alias("uuid"))
 
 
 def p4_hierarchy(spark: SparkSession, d: str) -> DataFrame:
@@ -61,9 +64,15 @@ def p4_hierarchy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Path of each node back to its anchor; anchors lead on to the root."""
-    h = hierarchy.hierarchy(_records(spark, d))
-    return h.filter("status <> 'cycle'").select("session_id", "uuid", "path_anchor", F.array_join("path_tail", "/").alias("path_tail"))
+    """The full path of every record that has one, root first: depth and path_uuid of each step, the record's own included."""
+    p = hierarchy.every_path(_resolved(spark, d))
+    return p.select(F.col("tree").alias("session_id"), F.col("target").alias("uuid"), "depth", F.col("id").alias("path_uuid"))
+
+
+def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """All descendants of every record, in and below cycles too."""
+    x = hierarchy.descendants(_resolved(spark, d))
+    return x.select(F.col("tree").alias("session_id"), F.col("id").alias("uuid"), F.col("descendant").alias("descendant_uuid"))
 
 
 def p4_leaf_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +92,7 @@ def p5_unified(spark: SparkSession, d: str) -> DataFrame:
     return drift.unify(table(spark, d, "raw_lines"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_store, p3_children, p3_links, p3_scalars, p3_values, p4_found, p4_hierarchy, p4_paths, p4_leaf_paths, p5_found, p5_unified)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_store, p3_children, p3_links, p3_scalars, p3_values, p4_found, p4_hierarchy, p4_paths, p4_descendants, p4_leaf_paths, p5_found, p5_unified)}
 
 _BLANK = "chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11) || chr(160) || chr(12288)"
 

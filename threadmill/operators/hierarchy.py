@@ -6,11 +6,13 @@ smaller, and which is solved in the same way (`_solve` calls itself); where it h
 Its results are expanded to the fragments (`_expand`), and sums over subtrees flow from quotient to fragments too.
 A chain that closes within a fragment is a local cycle, one that closes in a quotient a global one.
 
-The full paths of all nodes take quadratic space where trees are deep, so they come out in two lossless forms: a node
-holds the part of its path back to an anchor at most ANCHOR steps above (`path_tail`) and the anchor; and a node has its
-place in preorder (`first`) and the number of its descendants, so that the descendants of a node are the nodes of its
-root from first + 1 to first + n_descendants, and its path the nodes whose range holds it. `paths` gives the full paths
-of stated nodes as rows: their fragments' chains, and those that the quotient's path enters, are expanded.
+`every_path` gives the full path of every node as rows, `descendants` all descendants of every node: chains within small
+fragments are written out whole (`_ways`), and what lies above a fragment is joined to its nodes. `paths` gives the full
+paths of stated nodes: their fragments' chains, and those that the quotient's path enters, are expanded. These rows take
+quadratic space where trees are deep, so `hierarchy` also has short lossless forms: a node holds the part of its path back
+to an anchor at most ANCHOR steps above (`path_tail`) and the anchor; and a node has its place in preorder (`first`) and
+the number of its descendants, so that the descendants of a node are the nodes of its root from first + 1 to
+first + n_descendants, and its path the nodes whose range holds it.
 
 Defined results: a null or blank parent marks a root; a parent that is not there makes its child the top of a broken
 tree (status 'missing'); of several rows with one id the one at the highest position counts (of equal positions the
@@ -26,8 +28,8 @@ from ..functions.fragments import map_fragments
 from ..plans import blocked
 from ..session import cut_lineage
 
-#: Width of a block of positions, nodes of a quotient that one task solves, steps between anchors of paths.
-BLOCK, SMALL, ANCHOR = 4096, 65_536, 16
+#: Width of a block of positions, nodes of a quotient that one task solves, steps between anchors of paths, width of a block whose paths are written out.
+BLOCK, SMALL, ANCHOR, PIECE = 4096, 65_536, 16, 512
 
 LOCAL = "tree string, frag long, id string, pos long, up string, len long, w long, top string, dist long, exit_up string, exit_len long, root string, depth long, status string, lsum long, anchor string, tail array<string>"
 
@@ -249,6 +251,18 @@ def _climb(group: dict) -> dict:
     return out
 
 
+def _chains_doubled(q: DataFrame, targets: DataFrame) -> DataFrame:
+    """As _chains, for quotients that contraction hardly shrinks: the steps known from each target double in every round."""
+    met, hops = cut_lineage(targets.select("tree", "target", "id").distinct()), q.filter("up is not null").select("tree", "id", "up")
+    n, n_before = met.count(), 0
+    while n > n_before:
+        further = met.join(hops, ["tree", "id"]).select("tree", "target", F.col("up").alias("id"))
+        met = cut_lineage(met.unionByName(further).distinct())
+        hops = cut_lineage(hops.join(hops.select("tree", F.col("id").alias("up"), F.col("up").alias("beyond")), ["tree", "up"]).select("tree", "id", F.col("beyond").alias("up")))
+        n_before, n = n, met.count()
+    return met
+
+
 def _chains(nodes: DataFrame, block: Column, targets: DataFrame, width: int, small: int) -> DataFrame:
     """tree, target, id: the nodes on the way from each target (tree, target, id) up, targets included."""
     blank = {"len": F.lit(1).cast("long"), "w": F.lit(0).cast("long"), "root": F.lit(None).cast("string"), "depth": F.lit(None).cast("long"), "status": F.lit("root")}
@@ -260,14 +274,20 @@ def _chains(nodes: DataFrame, block: Column, targets: DataFrame, width: int, sma
     n_q = q.count()
     if n_q:
         own = local.select("tree", F.col("id").alias("entry"), F.col("top").alias("id"))
-        rows, part = (q, F.lit(0).cast("long")) if n_q <= small else _ranked(q, width)
-        met = _chains(rows, part, entries.join(own, ["tree", "entry"]).join(q.select("tree", "id"), ["tree", "id"], "left_semi").select("tree", "target", "id"), width, small)
+        met = entries.join(own, ["tree", "entry"]).join(q.select("tree", "id"), ["tree", "id"], "left_semi").select("tree", "target", "id")
+        if n_q > small and local.count() < 2 * n_q:
+            met = _chains_doubled(q, met)
+        else:
+            rows, part = (q, F.lit(0).cast("long")) if n_q <= small else _ranked(q, width)
+            met = _chains(rows, part, met, width, small)
         entries = entries.unionByName(met.join(q.select("tree", "id", "exit_up"), ["tree", "id"]).select("tree", "target", F.col("exit_up").alias("entry"))).distinct()
     entries = cut_lineage(entries)
     mark = entries.select("tree", F.col("entry").alias("id")).distinct().withColumn("is_entry", F.lit(True))
     marked = local.join(mark, ["tree", "id"], "left").select("tree", "frag", "id", "pos", "up", F.coalesce("is_entry", F.lit(False)).alias("is_entry"))
     used = marked.filter("is_entry").select("tree", "frag").distinct()
-    chains = map_fragments(marked.join(used, ["tree", "frag"], "left_semi"), ["tree", "frag"], ["pos", "id"], _climb, "tree string, entry string, id string")
+    # a plain repartition on the keys of the join is dropped, and adaptive plans then part fragments; this one is kept
+    whole = marked.join(used, ["tree", "frag"], "left_semi").repartition(F.xxhash64("tree", "frag"))
+    chains = map_fragments(whole, ["tree", "frag"], ["pos", "id"], _climb, "tree string, entry string, id string", spread=False)
     return entries.join(chains, ["tree", "entry"]).select("tree", "target", "id").distinct()  # where chains run into each other
 
 
@@ -283,6 +303,59 @@ def paths(h: DataFrame, targets: DataFrame, block: int = BLOCK, small: int = SMA
 
     A target that isn't there, or lies in or below a cycle, has no path.
     """
-    sound = cut_lineage(h.filter("status <> 'cycle'").select("tree", "id", "pos", "up", "depth"))
+    return _paths(_sound(h), targets, block, small)
+
+
+def _sound(h: DataFrame) -> DataFrame:
+    return cut_lineage(h.filter("status <> 'cycle'").select("tree", "id", "pos", "up", "depth"))
+
+
+def _paths(sound: DataFrame, targets: DataFrame, block: int, small: int) -> DataFrame:
     found = reach(sound, targets, block, small)
     return found.join(sound.select("tree", "id", "depth"), ["tree", "id"]).select("tree", "target", "depth", "id")
+
+
+def _ways(group: dict) -> dict:
+    """The way of each node of one fragment from its local top down to it, and the local top's parent."""
+    ids, ups = group["id"], group["up"]
+    at = dict(zip(ids, range(len(ids))))
+    ways: list = [None] * len(ids)
+    exits: list = [None] * len(ids)
+    for start in range(len(ids)):
+        chain, i = [], start
+        while i != -1 and ways[i] is None:
+            chain.append(i)
+            i = at.get(ups[i], -1)
+        if chain:
+            way, out = (ways[i], exits[i]) if i != -1 else ([], ups[chain[-1]])
+            for c in reversed(chain):
+                ways[c], exits[c] = way, out = [*way, ids[c]], out
+    return {"tree": group["tree"], "id": ids, "depth": group["depth"], "exit_up": exits, "way": ways}
+
+
+def every_path(h: DataFrame, piece: int = PIECE, block: int = BLOCK, small: int = SMALL) -> DataFrame:
+    """Full paths of all nodes of a resolved hierarchy: tree, target, depth, id, one row per node of a path, the target included.
+
+    A node in or below a cycle has no path. What is shuffled are nodes and the paths of the parents at the fragments'
+    edges, never the rows of the result.
+    """
+    sound = _sound(h)
+    within = map_fragments(
+        sound.withColumn("frag", F.floor(F.col("pos") / piece)), ["tree", "frag"], ["pos", "id"], _ways,
+        "tree string, id string, depth long, exit_up string, way array<string>", rows_out=1000,
+    )
+    edges = cut_lineage(within.filter("exit_up is not null").select("tree", F.col("id").alias("target"), "exit_up"))
+    above = _paths(sound, edges.select("tree", F.col("exit_up").alias("id")), block, small)
+    inner = within.select("tree", F.col("id").alias("target"), (F.col("depth") - F.size("way") + 1).alias("d"), F.posexplode("way").alias("i", "id"))
+    outer = edges.join(above.withColumnRenamed("target", "exit_up"), ["tree", "exit_up"])
+    return inner.select("tree", "target", (F.col("d") + F.col("i")).alias("depth"), "id").unionByName(outer.select("tree", "target", "depth", "id"))
+
+
+def descendants(h: DataFrame, piece: int = PIECE, block: int = BLOCK, small: int = SMALL) -> DataFrame:
+    """tree, id, descendant: all descendants of every node of a resolved hierarchy, one row each.
+
+    In and below cycles too: there the descendants of a node are the other nodes from which following parents comes by it.
+    """
+    looped = cut_lineage(h.filter("status = 'cycle'").select("tree", "id", "pos", "up"))
+    rows = every_path(h, piece, block, small).select("tree", "id", "target").unionByName(reach(looped, looped, block, small))
+    return rows.filter("id <> target").select("tree", "id", F.col("target").alias("descendant"))
